@@ -12,7 +12,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from gateflow.config import DATE_WORD, SLOTS, TOTAL_WORD
 from gateflow.functions.dates import parse_date
@@ -30,20 +29,24 @@ from gateflow.functions.numbers import clean_count, row_total
 ORDER = ("_file", "_block", "_row")
 
 
+_BOM = "\ufeff"
+_CSV = {"quote": '"', "escape": '"'}
+
+
 @dataclass(frozen=True)
 class Header:
     line: int  # 0 or 1
-    cells: tuple[str, ...]  # as delivered
-    title: tuple[str, ...]  # the line above the header, empty for line 0
+    text: str  # the header line as delivered
+    title: str | None  # the line above it
+
+    @property
+    def cells(self) -> list[str]:
+        return next(csv.reader([self.text]))
 
     def names(self, strip: str = "ends") -> list[str]:
         return distinct_names([strip_name(c, strip) for c in self.cells])
 
 
-def _cells(line: str) -> tuple[str, ...]:
-    return tuple(next(csv.reader([line.lstrip("﻿")])))
-
-
 def detect_header(spark: SparkSession, path: str, marker: str = DATE_WORD) -> Header:
     """Header of a delivery: line 0 if it holds the marker word, else line 1.
 
@@ -58,21 +61,21 @@ def detect_header(spark: SparkSession, path: str, marker: str = DATE_WORD) -> He
     )
     if not first:
         raise ValueError(f"no header in {path}")
-    lines = [_cells(r.value) for r in first]
-    if any(marker in c for c in lines[0]) or len(lines) == 1:
-        return Header(0, lines[0], ())
+    lines = [r.value.lstrip(_BOM) for r in first]
+    if marker in lines[0] or len(lines) == 1:
+        return Header(0, lines[0], None)
     return Header(1, lines[1], lines[0])
 
 
-def _same_cells(columns: Sequence[Column], cells: Sequence[str]) -> Column:
-    """All cells of a row equal to the given ones; blank cells are read as null.
-
-    One comparison of two arrays, which the optimizer keeps as it is, where a
-    long chain of conditions would be multiplied out.
-    """
-    want = [F.lit(cells[i] if i < len(cells) and cells[i] else None) for i in range(len(columns))]
-    have = [F.regexp_replace(columns[0], "^\ufeff", ""), *columns[1:]]
-    return F.array(*have) == F.array(*[w.cast("string") for w in want])
+def _data_lines(header: Header, marker: str, path: str, strict: bool) -> Column:
+    """Condition on the text line: neither blank, header nor title."""
+    value = F.col("value")
+    tops = [t for t in (header.text, header.title) if t is not None]
+    keep = F.when(value.isin(*tops, *[_BOM + t for t in tops]) | (F.trim(value) == ""), False)
+    if strict and marker in header.text:
+        other = F.raise_error(F.lit(f"files below {path} differ in their header"))
+        keep = keep.when(value.contains(marker), other.cast("boolean"))
+    return keep.otherwise(True)
 
 
 def read_wide_csv(
@@ -81,37 +84,33 @@ def read_wide_csv(
     strip: str = "ends",
     marker: str = DATE_WORD,
     with_order: bool = False,
+    strict: bool = True,
 ) -> DataFrame:
     """One delivery as text columns, header and title lines removed.
 
-    Every file of the delivery may start with the header. A file with another
-    header stops the read instead of being stacked by position.
+    Every file of the delivery may start with the header. With strict, a file
+    with another header stops the read instead of being stacked by position.
+    Lines are filtered as text and then parsed: a condition over all the cells
+    would be a constraint that the optimizer rewrites for each renamed column.
     """
     header = detect_header(spark, path, marker)
     names = header.names(strip)
     places = [f"c{i}" for i in range(len(names))]
-    schema = T.StructType([T.StructField(p, T.StringType()) for p in places])
-    rows = spark.read.csv(
-        path, schema=schema, header=False, encoding="UTF-8", quote='"', escape='"'
-    )
-    cols = [F.col(p) for p in places]
-    marked = [c.contains(marker) for c, cell in zip(cols, header.cells) if marker in cell]
-    is_header = F.coalesce(marked[0], F.lit(False)) if marked else _same_cells(cols, header.cells)
-    other = F.raise_error(F.lit(f"files below {path} differ in their header")).cast("boolean")
-    keep = F.when(~is_header, True).when(_same_cells(cols, header.cells), False).otherwise(other)
-    if header.title:
-        keep = keep & ~_same_cells(cols, header.title)
-    out = rows
+    schema = ", ".join(f"{p} string" for p in places)
+    lines = spark.read.text(path)
     if with_order:
-        out = rows.select(
-            *places,
+        lines = lines.select(
+            "value",
             F.col("_metadata.file_path").alias("_file"),
             F.col("_metadata.file_block_start").alias("_block"),
             F.monotonically_increasing_id().alias("_row"),
         )
     order = ORDER if with_order else ()
-    return out.where(keep).select(
-        *[F.col(p).alias(n) for p, n in zip(places, names)], *order
+    cells = F.from_csv("value", schema, _CSV)
+    return (
+        lines.where(_data_lines(header, marker, path, strict))
+        .select(cells.alias("_cells"), *order)
+        .select(*[F.col(f"_cells.{p}").alias(n) for p, n in zip(places, names)], *order)
     )
 
 

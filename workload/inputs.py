@@ -154,16 +154,16 @@ def _(spark, sf):
     "k2_append_by_date",
     sql(
         "daily",
-        """select base_date, count(*) as n_rows, sum(total_flow)::bigint as total_flow
-        from daily group by all""",
+        """select cast(date_trunc('month', base_date) as date) as part_month, line_num, count(*) as n_rows,
+        sum(total_flow)::bigint as total_flow from daily group by all""",
     ),
 )
 def _(spark, sf):
     path = t.scratch_path(spark, "appended")
-    daily = fx.daily(spark, sf)
-    t.append_by_date(daily.where("year(base_date) <= 1999"), path, "base_date", first=True)
-    df = t.append_by_date(daily.where("year(base_date) > 1999"), path, "base_date")
-    return df.groupBy("base_date").agg(n_rows(), _sum("total_flow", "total_flow"))
+    daily = fx.daily(spark, sf).withColumn("part_month", month_start(F.col("base_date")))
+    t.append_by_date(daily.where("year(base_date) <= 1999"), path, "part_month", first=True)
+    df = t.append_by_date(daily.where("year(base_date) > 1999"), path, "part_month")
+    return df.groupBy("part_month", "line_num").agg(n_rows(), _sum("total_flow", "total_flow"))
 
 
 @query(
@@ -475,11 +475,10 @@ def _(spark, sf):
     delivery = (
         F.when(date.contains("/"), "c").when(date.contains("-") | (date == "미상"), "b").otherwise("a")
     )
-    stored = t.append_by_date(
+    stored = t.write_table(
         long.withColumn("delivery", delivery),
         t.scratch_path(spark, "flow_stats"),
-        "base_date",
-        first=True,
+        partition_by=["delivery", "direction"],
     )
     return stored.groupBy("delivery", "direction", "line", "slot").agg(
         n_rows(), F.count("n_people").alias("n_counts"), _sum("n_people", "total")
