@@ -13,6 +13,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from gateflow.config import LINE_SUFFIX
+
 _WIDE = "decimal(38,0)"
 
 
@@ -27,8 +29,13 @@ def clean_count(c: Column, strip: str = r'[",\s]', keep_null: bool = False) -> C
 
 
 def digits_int(c: Column) -> Column:
-    """Digits of a text as an integer; 0 when there are none."""
-    return F.coalesce(F.regexp_replace(c, "[^0-9]", "").try_cast("int"), F.lit(0))
+    """Digits of a text as an integer; 0 when there are none.
+
+    A text that is a number once the line suffix is gone needs no pattern search.
+    """
+    plain = F.replace(c, F.lit(LINE_SUFFIX), F.lit("")).try_cast("int")
+    searched = F.regexp_replace(c, "[^0-9]", "").try_cast("int")
+    return F.coalesce(F.when(plain >= 0, plain), searched, F.lit(0))
 
 
 def in_window(hour: Column, window: tuple[int, int]) -> Column:

@@ -1,8 +1,8 @@
 """Joins of facts to dimensions.
 
-No join is forced to broadcast. Dimensions are aggregated to one row per key
-first, so they are small when the data is; Spark checks their size before it
-broadcasts and otherwise shuffles, with adaptive skew handling for hot keys.
+Dimensions are aggregated to one row per key first, so a join cannot multiply
+rows. One is broadcast only when its number of rows is bounded or was counted;
+otherwise both sides are shuffled, with adaptive skew handling for hot keys.
 """
 
 from __future__ import annotations
@@ -15,6 +15,18 @@ from gateflow.functions.names import bare_name
 from gateflow.sources.dimensions import default_label
 
 
+BROADCAST_ROWS = 500_000
+
+
+def lookup(dim: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Dimension marked for broadcast if it has few rows, else as it is.
+
+    Counting stops above the limit. Estimated sizes are no help here: for the
+    result of a join Spark assumes the product of both inputs.
+    """
+    return F.broadcast(dim) if dim.limit(max_rows + 1).count() <= max_rows else dim
+
+
 def _collated(c, collation):
     return F.collate(c, collation) if collation else c
 
@@ -29,7 +41,7 @@ def match_station(
     fact: DataFrame, dim: DataFrame, name: str = "station", collation: str | None = COLLATION
 ) -> DataFrame:
     """Add station_id by cleaned name, ignoring case and accents; null when unmatched."""
-    codes = unique_codes(dim, collation)
+    codes = lookup(unique_codes(dim, collation))
     key = _collated(bare_name(F.col(name)), collation)
     return (
         fact.withColumn("_key", key)
@@ -39,8 +51,12 @@ def match_station(
 
 
 def with_day_label(daily: DataFrame, calendar: DataFrame) -> DataFrame:
-    """Add the day label; dates outside the calendar are weekday or weekend."""
+    """Add the day label; dates outside the calendar are weekday or weekend.
+
+    Labels are one row per date, so there are at most 366 per year to broadcast.
+    """
     labels = calendar.groupBy("base_date").agg(F.max("day_label").alias("_label"))
+    labels = F.broadcast(labels.where(F.col("base_date").isNotNull()))
     return (
         daily.join(labels, "base_date", "left")
         .withColumn("day_label", F.coalesce("_label", default_label(F.col("base_date"))))

@@ -10,6 +10,8 @@ ADAPTIVE = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    # no call site per column expression: plans of many columns build faster
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

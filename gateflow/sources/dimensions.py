@@ -38,13 +38,18 @@ def calendar(
     """One row per date with its label: holiday name, else weekend, else weekday.
 
     holidays: base_date, holiday_name; the first name in text order wins when a
-    date has several, so a date never gets two rows.
+    date has several, so a date never gets two rows, and there are no more names
+    to broadcast than days in the range.
     """
     days = date_axis(spark, start, end)
     label = default_label(F.col("base_date"))
     if holidays is None:
         return days.withColumn("day_label", label)
-    names = holidays.groupBy("base_date").agg(F.min("holiday_name").alias("holiday_name"))
-    return days.join(names, "base_date", "left").select(
+    names = (
+        holidays.where(F.col("base_date").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
+        .groupBy("base_date")
+        .agg(F.min("holiday_name").alias("holiday_name"))
+    )
+    return days.join(F.broadcast(names), "base_date", "left").select(
         "base_date", F.coalesce("holiday_name", label).alias("day_label")
     )
