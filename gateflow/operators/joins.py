@@ -18,13 +18,18 @@ from gateflow.sources.dimensions import default_label
 BROADCAST_ROWS = 500_000
 
 
+def few_rows(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
+    """Whether a frame has at most that many rows; counting stops above the limit."""
+    return df.limit(max_rows + 1).count() <= max_rows
+
+
 def lookup(dim: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Dimension marked for broadcast if it has few rows, else as it is.
 
-    Counting stops above the limit. Estimated sizes are no help here: for the
-    result of a join Spark assumes the product of both inputs.
+    Estimated sizes are no help here: for the result of a join Spark assumes the
+    product of both inputs.
     """
-    return F.broadcast(dim) if dim.limit(max_rows + 1).count() <= max_rows else dim
+    return F.broadcast(dim) if few_rows(dim, max_rows) else dim
 
 
 def _collated(c, collation):
@@ -40,13 +45,28 @@ def unique_codes(dim: DataFrame, collation: str | None = COLLATION) -> DataFrame
 def match_station(
     fact: DataFrame, dim: DataFrame, name: str = "station", collation: str | None = COLLATION
 ) -> DataFrame:
-    """Add station_id by cleaned name, ignoring case and accents; null when unmatched."""
-    codes = lookup(unique_codes(dim, collation))
-    key = _collated(bare_name(F.col(name)), collation)
+    """Add station_id by cleaned name, ignoring case and accents; null when unmatched.
+
+    A collated key costs far more per row than a plain one. With a small
+    dimension, rows are first looked up by the plain name, and only the rest by
+    the collated one; equal names are in the same collated group, so both give
+    the same code. A large dimension is joined once, by the collated key.
+    """
+    codes = unique_codes(dim, collation)
+    plain = dim.select(F.trim("station_clean").alias("_plain")).distinct()
+    keyed = fact.withColumn("_key", bare_name(F.col(name)))
+    key = F.col("_key")
+    if not collation or not few_rows(plain):
+        matched = keyed.join(codes, _collated(key, collation) == F.col("_name"), "left")
+        return matched.drop("_key", "_name")
+    known = plain.join(codes, _collated(F.col("_plain"), collation) == F.col("_name")).select(
+        "_plain", F.col("station_id").alias("_known")
+    )
+    rest = F.when(F.col("_known").isNull(), _collated(key, collation))
     return (
-        fact.withColumn("_key", key)
-        .join(codes, F.col("_key") == F.col("_name"), "left")
-        .drop("_key", "_name")
+        keyed.join(F.broadcast(known), key == F.col("_plain"), "left")
+        .join(F.broadcast(codes), rest == F.col("_name"), "left")
+        .select(*fact.columns, F.coalesce("_known", "station_id").alias("station_id"))
     )
 
 

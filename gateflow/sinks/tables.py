@@ -100,14 +100,25 @@ def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     )
 
 
-def last_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
-    """One row per key, the last in the given order; combined before the shuffle."""
+def last_per_key(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str | Column] = ()
+) -> DataFrame:
+    """One row per key, the last in the given order; combined before the shuffle.
+
+    Without an order the row with the largest values is kept, so the result does
+    not depend on how the rows were spread.
+    """
     rest = [c for c in df.columns if c not in keys]
-    rows = F.struct(*[F.col(quoted(c)) for c in rest])
-    last = F.max_by(rows, F.struct(*order))
-    return df.groupBy(*keys).agg(last.alias("_r")).select(
-        *keys, *[F.col(f"_r.{quoted(c)}") for c in rest]
-    ).select(*df.columns)
+    if not rest:
+        return df.distinct()
+    row = F.struct(*[F.col(quoted(c)) for c in rest])
+    last = F.max_by(row, F.struct(*order) if order else row)
+    return (
+        df.groupBy(*keys)
+        .agg(last.alias("_row"))
+        .select(*keys, *[F.col(f"_row.{quoted(c)}") for c in rest])
+        .select(*df.columns)
+    )
 
 
 def upsert(
@@ -115,34 +126,44 @@ def upsert(
 ) -> DataFrame:
     """New rows replace old rows with the same key.
 
-    Give an order when new may hold a key twice; the last row then wins.
+    When new holds a key twice, the last row in the given order wins.
     """
-    if order:
-        new = last_per_key(new, keys, order)
-    kept = old.join(new.select(*keys).distinct(), list(keys), "left_anti")
+    new = last_per_key(new, keys, order)
+    kept = old.join(new.select(*keys), list(keys), "left_anti")
     return kept.unionByName(new.select(*old.columns))
 
 
 def upsert_update(
-    old: DataFrame, new: DataFrame, keys: Sequence[str], cols: Sequence[str]
+    old: DataFrame,
+    new: DataFrame,
+    keys: Sequence[str],
+    cols: Sequence[str],
+    order: Sequence[str | Column] = (),
 ) -> DataFrame:
-    """Insert new keys; on a known key only cols take the new value, also a null one."""
-    here = [F.col(f"o.{quoted(k)}").eqNullSafe(F.col(f"n.{quoted(k)}")) for k in keys]
-    cond = here[0]
-    for c in here[1:]:
-        cond = cond & c
-    n = new.withColumn("_new", F.lit(True)).alias("n")
-    o = old.withColumn("_old", F.lit(True)).alias("o")
-    joined = o.join(n, cond, "full")
-    has_old, has_new = F.col("_old").isNotNull(), F.col("_new").isNotNull()
+    """Insert new keys; on a known key only cols take the new value, also a null one.
+
+    Both sides are stacked and grouped by key: one shuffle, and no pairs when a
+    key comes twice.
+    """
+    rest = [c for c in old.columns if c not in keys]
+    row = F.struct(*[F.col(quoted(c)) for c in rest])
+    new = last_per_key(new, keys, order)
+    sides = old.select(*keys, row.alias("_old"), F.lit(None).cast(_row_type(old, rest)).alias("_new"))
+    sides = sides.unionByName(
+        new.select(*keys, F.lit(None).cast(_row_type(old, rest)).alias("_old"), row.alias("_new"))
+    )
+    grouped = sides.groupBy(*keys).agg(F.max("_old").alias("_old"), F.max("_new").alias("_new"))
 
     def value(c: str) -> Column:
-        ours, theirs = F.col(f"o.{quoted(c)}"), F.col(f"n.{quoted(c)}")
-        if c in cols:
-            return F.when(has_new, theirs).otherwise(ours).alias(c)
-        return F.when(has_old, ours).otherwise(theirs).alias(c)
+        ours, theirs = F.col(f"_old.{quoted(c)}"), F.col(f"_new.{quoted(c)}")
+        first, second, there = (theirs, ours, "_new") if c in cols else (ours, theirs, "_old")
+        return F.when(F.col(there).isNotNull(), first).otherwise(second).alias(c)
+
+    return grouped.select(*keys, *[value(c) for c in rest]).select(*old.columns)
+
 
-    return joined.select(*[value(c) for c in old.columns])
+def _row_type(df: DataFrame, cols: Sequence[str]) -> T.StructType:
+    return T.StructType([T.StructField(f.name, f.dataType) for f in df.schema if f.name in cols])
 
 
 def upsert_table(

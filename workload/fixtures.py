@@ -12,10 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gateflow.config import ALIGHTING_WORD, BOARDING_WORD, HOURS, SLOTS, Thresholds
+from gateflow.operators.filters import between_dates
 from gateflow.operators.joins import lookup
 from gateflow.operators.reshape import hourly_kpi
 from gateflow.plans.marts import daily_trend
-from gateflow.sinks.tables import scratch_path
+from gateflow.sinks.tables import scratch_path, write_table
 from gateflow.sources.dimensions import calendar, default_label
 
 # the five years of the marts, in the years the test data covers
@@ -229,7 +230,7 @@ TITLE = "시간대별 이용 현황"
 _WRITTEN: dict[tuple[str, str], dict[str, str]] = {}
 
 
-def _directions(spark, sf, name: str) -> DataFrame:
+def _directions(rows: DataFrame, name: str) -> DataFrame:
     """One row per direction, counts as numbers in s05 .. s24."""
 
     def one(word: str, mark: str):
@@ -240,7 +241,7 @@ def _directions(spark, sf, name: str) -> DataFrame:
 
     both = F.explode(F.array(one(BOARDING_WORD, "on"), one(ALIGHTING_WORD, "off")))
     return (
-        wide(spark, sf, PERIODS[name])
+        between_dates(rows, "base_date", *PERIODS[name])
         .select("base_date", "station", "line", "station_no", both.alias("v"))
         .select("base_date", "station", "line", "station_no", "v.*")
     )
@@ -278,12 +279,13 @@ def deliveries(spark: SparkSession, sf: str) -> dict[str, str]:
         return _WRITTEN[app]
     root = scratch_path(spark, "deliveries")
     paths = {name: f"{root}/{name}" for name in LAYOUTS}
+    rows = write_table(wide(spark, sf), f"{root}/wide")
     counts = [F.col(f"s{h:02d}") for h in HOURS]
     total = sum(counts[1:], counts[0])
     d = F.col("base_date")
     keep = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "escape": '"'}
 
-    a = _directions(spark, sf, "a").select(
+    a = _directions(rows, "a").select(
         "direction",
         F.date_format(d, "yyyyMMdd"),
         "line",
@@ -297,7 +299,7 @@ def deliveries(spark: SparkSession, sf: str) -> dict[str, str]:
     _with_title(a, LAYOUTS["a"], "c3").write.options(**keep).csv(paths["a"])
 
     bad = (F.month(d) == 2) & (F.day(d) == 13)
-    b = _directions(spark, sf, "b").select(
+    b = _directions(rows, "b").select(
         F.when(bad, "미상").otherwise(F.date_format(d, "yyyy-MM-dd")),
         "line",
         "station_no",
@@ -308,7 +310,7 @@ def deliveries(spark: SparkSession, sf: str) -> dict[str, str]:
     )
     b.toDF(*LAYOUTS["b"]).write.options(header=True, **keep).csv(paths["b"])
 
-    c = _directions(spark, sf, "c").select(
+    c = _directions(rows, "c").select(
         F.date_format(d, "dd/MM/yyyy"),
         "station_no",
         "station",
@@ -318,7 +320,7 @@ def deliveries(spark: SparkSession, sf: str) -> dict[str, str]:
     )
     c.toDF(*LAYOUTS["c"]).write.options(header=True, **keep).csv(paths["c"])
 
-    e = _directions(spark, sf, "d").select(
+    e = _directions(rows, "d").select(
         F.date_format(d, "yyyy-MM-dd"), F.lit("휴일"), "station_no"
     )
     e.toDF(*LAYOUTS["d"]).write.options(header=True, **keep).csv(paths["d"])
