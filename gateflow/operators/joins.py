@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from gateflow.config import COLLATION
 from gateflow.functions.names import bare_name
+from gateflow.sinks.tables import scratch_path, write_table
 from gateflow.sources.dimensions import default_label
 
 
@@ -42,31 +43,35 @@ def unique_codes(dim: DataFrame, collation: str | None = COLLATION) -> DataFrame
     return dim.groupBy(key.alias("_name")).agg(F.min("station_no").alias("station_id"))
 
 
+def match_names(
+    fact: DataFrame, dim: DataFrame, name: str = "station", collation: str | None = COLLATION
+) -> DataFrame:
+    """Cleaned name -> station_id for the distinct names of a fact table.
+
+    The names are written to the shared folder, one pass over one column.
+    """
+    names = fact.select(bare_name(F.col(name)).alias("_plain")).distinct()
+    names = write_table(names, scratch_path(fact.sparkSession, "names"))
+    codes = unique_codes(dim, collation)
+    matched = names.join(codes, _collated(F.col("_plain"), collation) == F.col("_name"))
+    mapping = matched.select("_plain", "station_id")
+    return F.broadcast(mapping) if few_rows(names) else mapping
+
+
 def match_station(
     fact: DataFrame, dim: DataFrame, name: str = "station", collation: str | None = COLLATION
 ) -> DataFrame:
     """Add station_id by cleaned name, ignoring case and accents; null when unmatched.
 
-    A collated key costs far more per row than a plain one. With a small
-    dimension, rows are first looked up by the plain name, and only the rest by
-    the collated one; equal names are in the same collated group, so both give
-    the same code. A large dimension is joined once, by the collated key.
+    Spark joins on a collated key by sorting both sides, even beside a broadcast
+    hint. So only the distinct names are matched under the collation; the fact
+    rows then look their plain name up and are not shuffled.
     """
-    codes = unique_codes(dim, collation)
-    plain = dim.select(F.trim("station_clean").alias("_plain")).distinct()
-    keyed = fact.withColumn("_key", bare_name(F.col(name)))
-    key = F.col("_key")
-    if not collation or not few_rows(plain):
-        matched = keyed.join(codes, _collated(key, collation) == F.col("_name"), "left")
-        return matched.drop("_key", "_name")
-    known = plain.join(codes, _collated(F.col("_plain"), collation) == F.col("_name")).select(
-        "_plain", F.col("station_id").alias("_known")
-    )
-    rest = F.when(F.col("_known").isNull(), _collated(key, collation))
+    mapping = match_names(fact, dim, name, collation)
     return (
-        keyed.join(F.broadcast(known), key == F.col("_plain"), "left")
-        .join(F.broadcast(codes), rest == F.col("_name"), "left")
-        .select(*fact.columns, F.coalesce("_known", "station_id").alias("station_id"))
+        fact.withColumn("_key", bare_name(F.col(name)))
+        .join(mapping, F.col("_key") == F.col("_plain"), "left")
+        .select(*fact.columns, "station_id")
     )
 
 

@@ -44,6 +44,14 @@ def test_match_keeps_rows_and_ignores_case_and_accents(spark):
     assert sorted((r.v, r.station_id) for r in got.collect()) == [(1, "1"), (2, "1"), (3, None)]
 
 
+def test_match_does_not_shuffle_the_fact(spark):
+    fact = spark.range(100).select(F.concat(F.lit("s"), F.col("id") % 7).alias("station"), "id")
+    dim = spark.createDataFrame([("S1", "1"), ("s2", "2")], "station_clean string, station_no string")
+    plan = plan_of(joins.match_station(fact, dim))
+    assert plan.index("BroadcastHashJoin") < plan.index("SortMergeJoin")
+    assert "Exchange" not in plan[: plan.index("BroadcastExchange")]
+
+
 def test_lookup_checks_the_size(spark):
     small, large = spark.range(10), spark.range(1000)
     assert "ResolvedHint" in joins.lookup(small, 100)._jdf.queryExecution().analyzed().toString()
