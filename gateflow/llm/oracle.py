@@ -9,4 +9,30 @@ SELECT doc_id, min(doc_id) OVER (PARTITION BY h) AS keep_id, count(*) OVER (PART
 FROM t
 """
 
-ORACLE = {"op4_exact_dedup": OP4}
+_LOWER = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = r"regexp_extract_all(" + _LOWER + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+OP8 = f"""
+WITH d AS (SELECT doc_id, {_WORDS.format('text')} AS w FROM documents),
+i AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS.format('text')} AS w FROM benchmark),
+size AS (SELECT DISTINCT least(10, len(w)) AS m FROM i WHERE len(w) > 0),
+phrase AS (
+  SELECT DISTINCT item, array_to_string(list_slice(w, p, p + least(10, len(w)) - 1), ' ') AS k
+  FROM (SELECT item, w, unnest(range(1, greatest(1, len(w) - 9) + 1)) AS p FROM i WHERE len(w) > 0)
+),
+place AS (
+  SELECT doc_id, m, p, array_to_string(list_slice(w, p, p + m - 1), ' ') AS k
+  FROM (SELECT doc_id, w, m, unnest(range(1, len(w) - m + 2)) AS p FROM d, size WHERE len(w) >= m)
+),
+hit AS (SELECT doc_id, m, p, item FROM place JOIN phrase USING (k)),
+word AS (SELECT doc_id, count(DISTINCT q) AS n FROM (SELECT doc_id, unnest(range(p, p + m)) AS q FROM hit) GROUP BY doc_id),
+own AS (
+  SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(word.n, 0) AS n_hit, coalesce(own.n, 0) AS n_items,
+       sha256(coalesce(own.items, '')) AS items_sha256, word.n IS NOT NULL AS contaminated
+FROM d LEFT JOIN word USING (doc_id) LEFT JOIN own USING (doc_id)
+"""
+
+ORACLE = {"op4_exact_dedup": OP4, "op8_decontaminate": OP8}

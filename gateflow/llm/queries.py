@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from gateflow.llm.bpe import bpe
+from gateflow.llm.decontaminate import contamination, items_digest
 from gateflow.llm.exact_dedup import DigestIndex, deduplicate
 from gateflow.llm.license_scan import scan_licences
 from gateflow.llm.tables import table
@@ -24,10 +25,17 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), digests=True)
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", "n_items", items_digest("item_ids").alias("items_sha256"), "contaminated", "spans"
+    )
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licences(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_exact_dedup, op6_bpe, op9_license_scan)
+    f.__name__: f for f in (op4_exact_dedup, op6_bpe, op8_decontaminate, op9_license_scan)
 }
