@@ -35,4 +35,31 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(word.n, 0) AS n_hit
 FROM d LEFT JOIN word USING (doc_id) LEFT JOIN own USING (doc_id)
 """
 
-ORACLE = {"op4_exact_dedup": OP4, "op8_decontaminate": OP8}
+OP10 = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all({_LOWER.format('text')}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(list_slice(w, p, p + 4), ' ') AS k
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 4) + 1)) AS p FROM d WHERE len(w) > 0)
+),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+shared AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS m FROM s AS a JOIN s AS b ON a.k = b.k AND a.doc_id < b.doc_id
+  GROUP BY a.doc_id, b.doc_id
+),
+link AS (
+  SELECT x, y FROM shared JOIN n AS nx ON nx.doc_id = x JOIN n AS ny ON ny.doc_id = y
+  WHERE 100 * m >= 75 * (nx.n + ny.n - m)
+),
+edge AS (SELECT x, y FROM link UNION SELECT y, x FROM link),
+reach(node, root) AS (
+  SELECT x, x FROM edge
+  UNION SELECT e.y, r.root FROM reach AS r JOIN edge AS e ON e.x = r.node
+),
+least AS (SELECT node, min(root) AS root FROM reach GROUP BY node)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(least.root, d.doc_id)) AS component_id
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN least ON least.node = d.doc_id
+"""
+
+ORACLE = {"op4_exact_dedup": OP4, "op8_decontaminate": OP8, "op10_ngram_join": OP10}

@@ -11,6 +11,7 @@ from gateflow.llm.bpe import bpe
 from gateflow.llm.decontaminate import contamination, items_digest
 from gateflow.llm.exact_dedup import DigestIndex, deduplicate
 from gateflow.llm.license_scan import scan_licences
+from gateflow.llm.ngram_join import ngram_components
 from gateflow.llm.tables import table
 from gateflow.sinks.tables import scratch_path
 
@@ -36,6 +37,10 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licences(table(spark, sf_dir, "documents"))
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_components(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_exact_dedup, op6_bpe, op8_decontaminate, op9_license_scan)
+    f.__name__: f for f in (op4_exact_dedup, op6_bpe, op8_decontaminate, op9_license_scan, op10_ngram_join)
 }
