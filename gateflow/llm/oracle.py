@@ -12,6 +12,17 @@ FROM t
 _LOWER = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"regexp_extract_all(" + _LOWER + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+OP5 = """
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS b, sha256(coalesce(html, '')) AS h FROM pages
+),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first FROM p)
+SELECT page_id, CAST(b AS BIGINT) AS payload_bytes, h AS payload_digest,
+       CASE WHEN b >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN b >= 100 AND page_id <> first THEN first END AS refers_to
+FROM f
+"""
+
 OP8 = f"""
 WITH d AS (SELECT doc_id, {_WORDS.format('text')} AS w FROM documents),
 i AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS.format('text')} AS w FROM benchmark),
@@ -62,4 +73,4 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(least.
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN least ON least.node = d.doc_id
 """
 
-ORACLE = {"op4_exact_dedup": OP4, "op8_decontaminate": OP8, "op10_ngram_join": OP10}
+ORACLE = {"op4_exact_dedup": OP4, "op5_warc": OP5, "op8_decontaminate": OP8, "op10_ngram_join": OP10}

@@ -13,6 +13,7 @@ from gateflow.llm.exact_dedup import DigestIndex, deduplicate
 from gateflow.llm.license_scan import scan_licences
 from gateflow.llm.ngram_join import ngram_components
 from gateflow.llm.tables import table
+from gateflow.llm.warc import payload_index, read_warc, write_warc
 from gateflow.sinks.tables import scratch_path
 
 
@@ -22,6 +23,12 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicate(table(spark, sf_dir, "documents"), index)
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "warc")
+    write_warc(table(spark, sf_dir, "pages"), path)
+    return payload_index(read_warc(spark, path))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), digests=True)
 
@@ -42,5 +49,5 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_exact_dedup, op6_bpe, op8_decontaminate, op9_license_scan, op10_ngram_join)
+    f.__name__: f for f in (op4_exact_dedup, op5_warc, op6_bpe, op8_decontaminate, op9_license_scan, op10_ngram_join)
 }
