@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gateflow.llm.bpe import bpe
 from gateflow.llm.decontaminate import contamination, items_digest
 from gateflow.llm.exact_dedup import DigestIndex, deduplicate
+from gateflow.llm.language_id import identify, learn
 from gateflow.llm.license_scan import scan_licences
 from gateflow.llm.ngram_join import ngram_components
 from gateflow.llm.tables import table
@@ -33,6 +35,14 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), digests=True)
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    samples = learn(docs, ~held_out)
+    found = identify(docs, samples)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "bits")
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -49,5 +59,5 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_exact_dedup, op5_warc, op6_bpe, op8_decontaminate, op9_license_scan, op10_ngram_join)
+    f.__name__: f for f in (op4_exact_dedup, op5_warc, op6_bpe, op7_language_id, op8_decontaminate, op9_license_scan, op10_ngram_join)
 }
