@@ -14,11 +14,27 @@ from gateflow.llm.exact_dedup import DigestIndex, deduplicate
 from gateflow.llm.language_id import identify, learn
 from gateflow.llm.license_scan import scan_licences
 from gateflow.llm.ngram_join import ngram_components
+from gateflow.llm.quality import quality_scores
 from gateflow.llm.tables import table
+from gateflow.llm.toxicity import toxicity
 from gateflow.llm.warc import payload_index, read_warc, write_warc
 from gateflow.sinks.tables import scratch_path
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = lambda c: F.crc32(F.col(c).cast("string")) % 5 == 0
+    scores, _ = quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~held_out("id"))
+    return scores.select(
+        "doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
+    )
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    toxic, good = F.col("toxic"), F.col("quality")
+    categories = {"toxic": toxic, "toxic_junk": toxic * (1 - good)}
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), categories)
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     index = DigestIndex(spark, scratch_path(spark, "digest-index"), buckets)
@@ -59,5 +75,5 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_exact_dedup, op5_warc, op6_bpe, op7_language_id, op8_decontaminate, op9_license_scan, op10_ngram_join)
+    f.__name__: f for f in (op2_quality, op3_toxicity, op4_exact_dedup, op5_warc, op6_bpe, op7_language_id, op8_decontaminate, op9_license_scan, op10_ngram_join)
 }
