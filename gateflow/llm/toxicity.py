@@ -30,7 +30,7 @@ from gateflow.llm.words import ALNUM, mix, slices, word_digests
 HASHED, FOLDS, TRAIN_ROWS, THRESHOLD = 1 << 18, 3, 20_000, 0.5
 #: Words kept for a model: seen in so many rows, so many standard errors from
 #: independence, and so many of them; weight of the penalty; steps.
-ROWS, ERRORS, KEPT, LASSO, STEPS = 4, 3.0, 4_000, 0.0002, 400
+ROWS, ERRORS, KEPT, LASSO, STEPS = 4, 3.0, 4_000, 0.00005, 600
 
 
 def hashed_words(texts: pa.Array) -> Iterator[np.ndarray]:
