@@ -14,6 +14,7 @@ from gateflow.llm.exact_dedup import DigestIndex, deduplicate
 from gateflow.llm.language_id import identify, learn
 from gateflow.llm.license_scan import scan_licences
 from gateflow.llm.ngram_join import ngram_components
+from gateflow.llm.pii import KINDS, personal_data, written
 from gateflow.llm.quality import quality_scores
 from gateflow.llm.tables import table
 from gateflow.llm.toxicity import toxicity
@@ -21,6 +22,16 @@ from gateflow.llm.warc import payload_index, read_warc, write_warc
 from gateflow.sinks.tables import scratch_path
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal_data(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        *(F.size(k).cast("long").alias(f"n_{k}") for k in KINDS),
+        F.sha2(written(KINDS), 256).alias("base_sha256"),
+        written((*KINDS, "context")).alias("spans"),
+    )
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = lambda c: F.crc32(F.col(c).cast("string")) % 5 == 0
     scores, _ = quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~held_out("id"))
@@ -75,5 +86,5 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_quality, op3_toxicity, op4_exact_dedup, op5_warc, op6_bpe, op7_language_id, op8_decontaminate, op9_license_scan, op10_ngram_join)
+    f.__name__: f for f in (op1_pii, op2_quality, op3_toxicity, op4_exact_dedup, op5_warc, op6_bpe, op7_language_id, op8_decontaminate, op9_license_scan, op10_ngram_join)
 }
