@@ -1,38 +1,79 @@
-"""Corpus pipeline: documents in, token digests of the clean part out.
+"""Corpus pipeline: documents in, tokens of the clean and distinct ones out.
 
 Each stage takes (spark, docs, sf_dir) and returns a frame, which is written and
-read back as the next one's docs.
+read back as the next one's docs. A stage works on every row its predecessor
+kept; all but the last return the columns of documents. Rows without an id pass
+the stages that drop by id.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gateflow.llm.bpe import bpe
-from gateflow.llm.exact_dedup import DigestIndex, deduplicate
+from gateflow.llm.decontaminate import contamination
+from gateflow.llm.exact_dedup import DigestIndex, deduplicate, digest_of
+from gateflow.llm.ngram_join import ngram_components
+from gateflow.llm.quality import of_quality
 from gateflow.llm.tables import stored, table
 from gateflow.sinks.tables import scratch_path
 
+#: Score from which a document is kept.
+LEAST_QUALITY = 0.3
+#: The quality model and tokenizer have no SQL form; tests hold the stages against
+#: brute force.
 ORACLE_SQL = None
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rule ensemble doesn't reject."""
+    learned_from = F.crc32(F.col("id").cast("string")) % 5 != 0
+    return of_quality(docs, table(spark, sf_dir, "labels"), learned_from, LEAST_QUALITY)
+
+
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the one with the smallest id."""
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     index = DigestIndex(spark, scratch_path(spark, "digest-index"), buckets)
-    dropped = deduplicate(docs, index).where("not kept").select("doc_id")
-    return docs.join(dropped, "doc_id", "left_anti")
+    dropped = deduplicate(docs, index).where("not kept").select(F.col("doc_id").alias("dropped"), F.unhex("text_sha256").alias("digest"))
+    same = (F.col("doc_id") == F.col("dropped")) & (digest_of(F.col("text")) == F.col("digest"))
+    return docs.join(dropped, same, "left_anti")
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the one with the smallest id."""
+    dropped = ngram_components(docs).where("component_id <> doc_id").select("doc_id")
+    return docs.join(stored(dropped, "near-dropped"), "doc_id", "left_anti")
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without any benchmark window."""
+    found = contamination(docs, table(spark, sf_dir, "benchmark"))
+    return docs.join(stored(found.where("contaminated").select("doc_id"), "contaminated"), "doc_id", "left_anti")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe(docs, public_tokenizers.path("byte_bpe_50k.json"), digests=True)
+    """Token ids of each document, with digests of them and of the decoded text."""
+    coded = bpe(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return coded.select(
+        "doc_id", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
 
 
-STAGES = [("exact dedup", exact_dedup), ("BPE encoding and decoding", tokens)]
+STAGES = [
+    ("quality classifier", quality),
+    ("exact dedup", exact_dedup),
+    ("n-gram Jaccard join", near_dedup),
+    ("benchmark decontamination", decontaminate),
+    ("BPE encoding and decoding", tokens),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; each result is written to the shared folder."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
+    for _, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir), "pipeline")
     return docs

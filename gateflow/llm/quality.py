@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gateflow.llm.tables import stored
-from gateflow.llm.text_stats import STATS, with_stats
+from gateflow.llm.text_stats import STATS, beside, with_stats
 
 TREES, DEPTH, LASSO, SEED = 16, 3, 0.0005, 7
 
@@ -88,13 +88,26 @@ def fit(train: DataFrame) -> RuleEnsemble:
     return RuleEnsemble(float(model.intercept), weights)
 
 
+def learn(stats: DataFrame, labels: DataFrame, usable: Column, doc_id: str = "doc_id", label: str = "quality") -> RuleEnsemble:
+    """Ensemble from the labels of rows that `usable` (over `id`) marks; others are
+    never read into the fit."""
+    told = labels.select(F.col(doc_id).cast("long").alias("id"), F.col(label).cast("double").alias("label"))
+    return fit(stored(stats.join(told.where(usable & F.col("label").isNotNull()), "id"), "quality-train"))
+
+
 def quality_scores(
     docs: DataFrame, labels: DataFrame, usable: Column, doc_id: str = "doc_id", text: str = "text", label: str = "quality"
-) -> tuple[DataFrame, RuleEnsemble]:
-    """(id, score) per row of `docs`, and the ensemble. Labels of rows for which
-    `usable` (over `id`) is false are never read into the fit."""
+) -> DataFrame:
+    """(id, score) per row of `docs`."""
     stats = stored(with_stats(docs, doc_id, text), "quality-stats")
-    told = labels.select(F.col(doc_id).cast("long").alias("id"), F.col(label).cast("double").alias("label"))
-    train = stored(stats.join(told.where(usable & F.col("label").isNotNull()), "id"), "quality-train")
-    ensemble = fit(train)
-    return stats.select(F.col("id").alias(doc_id), ensemble.score().alias("score")), ensemble
+    ensemble = learn(stats, labels, usable, doc_id, label)
+    return stats.select(F.col("id").alias(doc_id), ensemble.score().alias("score"))
+
+
+def of_quality(
+    docs: DataFrame, labels: DataFrame, usable: Column, least: float, doc_id: str = "doc_id", text: str = "text", label: str = "quality"
+) -> DataFrame:
+    """Rows of `docs`, all columns, that score `least` or more; rows stay where they
+    are read."""
+    ensemble = learn(with_stats(docs, doc_id, text), labels, usable, doc_id, label)
+    return beside(docs, text).where(ensemble.score() >= least).select("row.*")

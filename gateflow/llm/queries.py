@@ -34,7 +34,7 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = lambda c: F.crc32(F.col(c).cast("string")) % 5 == 0
-    scores, _ = quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~held_out("id"))
+    scores = quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~held_out("id"))
     return scores.select(
         "doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
     )

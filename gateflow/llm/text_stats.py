@@ -77,3 +77,19 @@ def with_stats(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
     return rows.mapInArrow(run, "id long, " + ", ".join(f"{s} double" for s in STATS))
+
+
+def beside(docs: DataFrame, text: str) -> DataFrame:
+    """Each row whole, as the struct `row`, with its statistics: (row, statistics).
+
+    Nothing is moved, and no column of `docs` can clash with a statistic.
+    """
+    rows = docs.select(F.struct("*").alias("row"), F.col(text).alias("text"))
+    kind = rows.schema["row"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            stats = text_stats(batch.column(1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c) for c in stats.T)], names=["row", *STATS])
+
+    return rows.mapInArrow(run, f"row {kind}, " + ", ".join(f"{s} double" for s in STATS))
