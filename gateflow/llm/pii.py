@@ -42,49 +42,55 @@ _BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 _SPAN = "array<struct<start:bigint,end:bigint>>"
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once, however often body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _sums(items: Column, size) -> Column:
+    """Running sums of size(item)."""
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("out"))
+    step = lambda a, x: let(a["at"] + size(x), lambda at: F.struct(at.alias("at"), F.array_append(a["out"], at).alias("out")))
+    return F.aggregate(items, start, step, lambda a: a["out"])
+
+
 def found(text: Column, pattern: str) -> Column:
     """Matches as an array of structs: start, end (code points), match, and the
     last characters before the match since the match before."""
-    match = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gap = F.split(text, pattern, -1)
-    sized = F.transform(
-        match,
-        lambda m, i: F.struct(
-            F.length(F.get(gap, i)).cast("long").alias("gap"),
-            F.length(m).cast("long").alias("size"),
-            m.alias("match"),
-            F.substring(F.get(gap, i), -80, 80).alias("before"),
-        ),
-    )
-    blocks = F.transform(
-        F.sequence(F.lit(0), F.floor((F.size(match) - 1) / BLOCK).cast("int")),
-        lambda b: F.slice(sized, b * BLOCK + 1, F.lit(BLOCK)),
-    )
-    empty = F.array().cast("array<bigint>")
-    ends = lambda xs, size: F.aggregate(  # noqa: E731  running sums
-        xs,
-        F.struct(F.lit(0).cast("long").alias("at"), empty.alias("out")),
-        lambda a, x: F.struct((a["at"] + size(x)).alias("at"), F.array_append(a["out"], a["at"] + size(x)).alias("out")),
-        lambda a: a["out"],
-    )
-    inner = F.transform(blocks, lambda b: F.struct(b.alias("rows"), ends(b, lambda x: x["gap"] + x["size"]).alias("ends")))
-    starts = F.concat(F.array(F.lit(0).cast("long")), ends(inner, lambda b: F.element_at(b["ends"], -1)))
-    placed = F.flatten(
-        F.transform(
-            inner,
-            lambda b, k: F.transform(
-                b["rows"],
-                lambda x, i: F.struct(
-                    (F.get(starts, k) + F.get(b["ends"], i) - x["size"]).alias("start"),
-                    (F.get(starts, k) + F.get(b["ends"], i)).alias("end"),
-                    x["match"].alias("match"),
-                    x["before"].alias("before"),
-                ),
+    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    gaps = F.split(text, pattern, -1)
+
+    def sized(match: Column, gap: Column) -> Column:
+        return F.transform(
+            match,
+            lambda m, i: F.struct(
+                F.length(F.get(gap, i)).cast("long").alias("gap"),
+                F.length(m).cast("long").alias("size"),
+                m.alias("match"),
+                F.substring(F.get(gap, i), -80, 80).alias("before"),
             ),
         )
-    )
+
+    def blocks(rows: Column) -> Column:
+        of = F.sequence(F.lit(0), F.floor((F.size(rows) - 1) / BLOCK).cast("int"))
+        cut = F.transform(of, lambda b: F.slice(rows, b * BLOCK + 1, F.lit(BLOCK)))
+        return F.transform(cut, lambda b: F.struct(b.alias("rows"), _sums(b, lambda x: x["gap"] + x["size"]).alias("ends")))
+
+    def placed(inner: Column) -> Column:
+        starts = F.concat(F.array(F.lit(0).cast("long")), _sums(inner, lambda b: F.element_at(b["ends"], -1)))
+        span = lambda x, end: F.struct(
+            (end - x["size"]).alias("start"), end.alias("end"), x["match"].alias("match"), x["before"].alias("before")
+        )
+        block = lambda b, start: F.transform(
+            b["rows"], lambda x, i: let(start + F.get(b["ends"], i), lambda end: span(x, end))
+        )
+        return F.flatten(
+            let(starts, lambda at: F.transform(inner, lambda b, k: let(F.get(at, k), lambda start: block(b, start))))
+        )
+
     none = F.array().cast("array<struct<start:bigint,end:bigint,match:string,before:string>>")
-    return F.when(F.size(match) > 0, placed).otherwise(none)
+    whole = lambda m: let(gaps, lambda g: let(sized(m, g), lambda rows: let(blocks(rows), placed)))
+    return let(matches, lambda m: F.when(F.size(m) > 0, whole(m)).otherwise(none))
 
 
 def _digits(match: Column) -> Column:
