@@ -101,7 +101,7 @@ class Languages:
                     if code := self.codes[ord(c)]:
                         table[state, code] = to
             # where a phrase ends, the next begins with the same character: the
-            # negative entry is the root's move, less one
+            # negative entry tells the root's move, -1 that the root has none
             root = np.maximum(table[0], 0)
             self.tables.append(np.where(table < 0, -1 - root[None, :], table).astype(np.int32).ravel())
             self.bits.append(float(np.log2(len(samples[name]) + 1)))
@@ -135,8 +135,10 @@ class Languages:
             move = table[state[:m] * np.int32(self.alphabet) + codes[:m]]
             miss = move < 0
             ended[:m] += miss
+            # a letter that the sample lacks is a phrase alone, after the one it ends
+            ended[:m] += (move == -1) & (state[:m] != 0)
             state[:m] = np.where(miss, -1 - move, move)
-        return ended + 1
+        return ended + (state != 0)
 
 
 def learn(docs: DataFrame, usable: Column, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> dict[str, str]:
