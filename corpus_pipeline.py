@@ -37,9 +37,9 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the one with the smallest id."""
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     index = DigestIndex(spark, scratch_path(spark, "digest-index"), buckets)
-    dropped = deduplicate(docs, index).where("not kept").select(F.col("doc_id").alias("dropped"), F.unhex("text_sha256").alias("digest"))
-    same = (F.col("doc_id") == F.col("dropped")) & (digest_of(F.col("text")) == F.col("digest"))
-    return docs.join(dropped, same, "left_anti")
+    dropped = deduplicate(docs, index).where("not kept").select("doc_id", F.unhex("text_sha256").alias("digest"))
+    same = (F.col("doc.doc_id") == F.col("gone.doc_id")) & (digest_of(F.col("doc.text")) == F.col("gone.digest"))
+    return docs.alias("doc").join(stored(dropped, "dropped").alias("gone"), same, "left_anti")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
