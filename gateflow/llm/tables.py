@@ -2,12 +2,24 @@
 
 from __future__ import annotations
 
+import os
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 
 from gateflow.sinks.tables import scratch_path
 
+#: Folder that holds the package.
+_HOME = str(Path(__file__).resolve().parents[2])
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the folder. Python workers on this machine will find the package
+    from whatever folder the job was started; a cluster gets it with --py-files."""
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if _HOME not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([*paths, _HOME])
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
