@@ -24,6 +24,8 @@ def clean_count(c: Column, strip: str = r'[",\s]', keep_null: bool = False) -> C
     Anything that is not a number becomes 0, or stays null with keep_null.
     """
     text = F.regexp_replace(c, strip, "")
+    # a cast alone would take 5d and 7f for numbers
+    text = F.when(text.rlike(r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"), text)
     value = F.coalesce(text.try_cast("bigint"), text.try_cast("double").try_cast("bigint"))
     return value if keep_null else F.coalesce(value, F.lit(0).cast("bigint"))
 

@@ -1,8 +1,8 @@
 """Joins of facts to dimensions.
 
 Dimensions are aggregated to one row per key first, so a join cannot multiply
-rows. One is broadcast only when its number of rows is bounded or was counted;
-otherwise both sides are shuffled, with adaptive skew handling for hot keys.
+rows. One is broadcast by hint only when its number of rows is bounded; else Spark
+decides by size, and joins that shuffle have adaptive skew handling for hot keys.
 """
 
 from __future__ import annotations
@@ -12,27 +12,9 @@ from pyspark.sql import functions as F
 
 from gateflow.config import COLLATION
 from gateflow.functions.names import bare_name
-from gateflow.sinks.tables import scratch_path, write_table
 from gateflow.sources.dimensions import default_label
 
 
-BROADCAST_ROWS = 500_000
-
-
-def few_rows(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """Whether a frame has at most that many rows; counting stops above the limit."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
-def lookup(dim: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Dimension marked for broadcast if it has few rows, else as it is.
-
-    Estimated sizes are no help here: for the result of a join Spark assumes the
-    product of both inputs.
-    """
-    return F.broadcast(dim) if few_rows(dim, max_rows) else dim
-
-
 def _collated(c, collation):
     return F.collate(c, collation) if collation else c
 
@@ -43,31 +25,23 @@ def unique_codes(dim: DataFrame, collation: str | None = COLLATION) -> DataFrame
     return dim.groupBy(key.alias("_name")).agg(F.min("station_no").alias("station_id"))
 
 
-def match_names(
+def name_map(
     fact: DataFrame, dim: DataFrame, name: str = "station", collation: str | None = COLLATION
 ) -> DataFrame:
-    """Cleaned name -> station_id for the distinct names of a fact table.
+    """Cleaned name -> station_id for the distinct names of a fact table that match.
 
-    The names are written to the shared folder, one pass over one column.
+    Spark joins on a collated key by sorting both sides, so only the distinct names
+    are matched under the collation. Store the map before it is used for several
+    tables: read back, its size is known and Spark decides on a broadcast.
     """
     names = fact.select(bare_name(F.col(name)).alias("_plain")).distinct()
-    names = write_table(names, scratch_path(fact.sparkSession, "names"))
     codes = unique_codes(dim, collation)
     matched = names.join(codes, _collated(F.col("_plain"), collation) == F.col("_name"))
-    mapping = matched.select("_plain", "station_id")
-    return F.broadcast(mapping) if few_rows(names) else mapping
-
+    return matched.select("_plain", "station_id")
 
-def match_station(
-    fact: DataFrame, dim: DataFrame, name: str = "station", collation: str | None = COLLATION
-) -> DataFrame:
-    """Add station_id by cleaned name, ignoring case and accents; null when unmatched.
 
-    Spark joins on a collated key by sorting both sides, even beside a broadcast
-    hint. So only the distinct names are matched under the collation; the fact
-    rows then look their plain name up and are not shuffled.
-    """
-    mapping = match_names(fact, dim, name, collation)
+def match_station(fact: DataFrame, mapping: DataFrame, name: str = "station") -> DataFrame:
+    """Add station_id by cleaned name from a name map; null when unmatched."""
     return (
         fact.withColumn("_key", bare_name(F.col(name)))
         .join(mapping, F.col("_key") == F.col("_plain"), "left")

@@ -26,28 +26,22 @@ def top_net_flow(mart: DataFrame, n: int = 20) -> DataFrame:
     ).limit(n)
 
 
-def list_pages(df: DataFrame, per_page: int = 1000) -> int:
-    """Number of pages that keeps a page near the given length, from one row count."""
-    return max(1, -(-df.count() // per_page))
-
-
-def page_of(name: Column, pages: int) -> Column:
-    """Page of a name: spread evenly by a digest of the name."""
+def bucket_of(name: Column, buckets: int) -> Column:
+    """Bucket of a name: spread evenly by a digest of the name."""
     digest = F.conv(F.substring(F.md5(name.cast("binary")), 1, 8), 16, 10)
-    return (digest.cast("bigint") % F.lit(pages)).cast("int")
+    return (digest.cast("bigint") % F.lit(buckets)).cast("int")
 
 
-def stations_by_line(stations: DataFrame, pages: int | None = None) -> DataFrame:
-    """Stations of a line as a nested list ordered by name.
+def stations_by_line(stations: DataFrame, buckets: int) -> DataFrame:
+    """Stations of a line as nested lists ordered by name, one per line and bucket.
 
-    A line with very many stations is spread over pages, each a list of bounded
-    length, so no list grows with the data. With one page it is one list per line.
+    With one bucket it is one list per line. The caller chooses the number, so the
+    shape of the result never depends on how many stations there are.
     """
-    pages = pages if pages is not None else list_pages(stations)
     rest = [c for c in stations.columns if c not in ("line_num", "display_name")]
     item = F.struct("display_name", *rest)
     return (
-        stations.withColumn("page", page_of(F.col("display_name"), pages))
-        .groupBy("line_num", "page")
+        stations.withColumn("bucket", bucket_of(F.col("display_name"), buckets))
+        .groupBy("line_num", "bucket")
         .agg(F.sort_array(F.collect_list(item)).alias("stations"))
     )

@@ -123,28 +123,27 @@ def _in_both(both: DataFrame, keys: Sequence[str], sums: Sequence[Column]) -> Da
 
 
 def hourly_kpi_joined(
-    on_df: DataFrame, off_df: DataFrame, slot_map: Mapping[str, int] = SLOT_HOURS
+    on_df: DataFrame,
+    off_df: DataFrame,
+    slot_map: Mapping[str, int] = SLOT_HOURS,
+    unique: bool = False,
 ) -> DataFrame:
     """Hourly mart with both directions in one row per (date, station, line, hour).
 
-    The wide rows are brought together before they are unpivoted: the shuffle
-    carries one row per date, station and line instead of twenty.
+    The wide rows are joined before they are unpivoted: the shuffle carries one row
+    per date, station and line and side instead of twenty. Unless the keys are known
+    to be unique (quality.duplicate_keys checks them), each side is summed per key
+    first, which uses the partitioning of the join.
     """
     keys = list(ID_COLS)
     hours = {s: int(h) for s, h in slot_map.items()}
 
-    def side(df: DataFrame, mark: str, number: int) -> DataFrame:
-        other = "off" if mark == "on" else "on"
-        return df.select(
-            *keys,
-            *[F.col(quoted(s)).try_cast("bigint").alias(f"{mark}_{h}") for s, h in hours.items()],
-            *[F.lit(None).cast("bigint").alias(f"{other}_{h}") for h in hours.values()],
-            F.lit(number).alias("_side"),
-        )
+    def side(df: DataFrame, mark: str) -> DataFrame:
+        values = {f"{mark}_{h}": F.col(quoted(s)).try_cast("bigint") for s, h in hours.items()}
+        wide = df.select(*keys, *[v.alias(n) for n, v in values.items()])
+        return wide if unique else wide.groupBy(*keys).agg(*[F.sum(n).alias(n) for n in values])
 
-    both = side(on_df, "on", 1).unionByName(side(off_df, "off", 2))
-    sums = [F.sum(f"{m}_{h}").alias(f"{m}_{h}") for m in ("on", "off") for h in hours.values()]
-    wide = _in_both(both, keys, sums)
+    wide = side(on_df, "on").join(side(off_df, "off"), keys)
     pairs = wide.select(
         *keys,
         *[

@@ -25,7 +25,7 @@ from gateflow.functions.dates import month_start, month_text, year_later
 from gateflow.functions.names import station_name
 from gateflow.functions.numbers import digits_int, exceeds, in_window, round_ratio, sum_when
 from gateflow.operators.filters import between_dates, in_years, matched_only, with_traffic
-from gateflow.operators.joins import with_day_label
+from gateflow.operators.joins import name_map, with_day_label
 from gateflow.operators.reshape import hourly_kpi
 from gateflow.plans.layers import int_flow
 from gateflow.sinks.tables import conform, write_table
@@ -329,13 +329,17 @@ def build_marts(
     shock_years: tuple[int, int] = (2019, 2020),
     divisor: int = THRESHOLDS.traffic_divisor,
 ) -> Mapping[str, DataFrame]:
-    """Write all marts below path and return them as read back.
+    """Write raw, name map, intermediate layer and all marts below path; return the
+    marts as read back.
+
+    raw is evaluated once: what follows reads the stored copy.
 
     The two tables that others are built from are partitioned by month and
     sorted by station; the others read them, not the raw layer.
     """
     by_month = {"partition_by": ["part_month"], "sort_by": ["stn_name", "base_date"]}
     month = month_start(F.col("base_date"))
+    raw = write_table(raw, f"{path}/raw")
     kpi = write_table(
         hourly_kpi(raw).withColumn("part_month", month), f"{path}/hourly_kpi", **by_month
     )
@@ -345,9 +349,16 @@ def build_marts(
         **by_month,
     )
     m = "part_month"
+    mapping = write_table(name_map(raw, station_dim), f"{path}/name_map")
+    flow = write_table(
+        int_flow(raw, mapping).withColumn("part_month", month),
+        f"{path}/int_flow",
+        partition_by=["part_month"],
+        sort_by=["station", "base_date"],
+    )
     plans = {
         "station_spatial": station_spatial(raw),
-        "station_hours": station_hour_totals(int_flow(raw, station_dim)),
+        "station_hours": station_hour_totals(flow),
         "station_profile": station_profile(kpi, *profile_period, month_col=m),
         "site_scores": site_scores(kpi, *period, divisor=divisor, month_col=m),
         "growth_trend": growth_trend(daily, *period, month_col=m),

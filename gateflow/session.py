@@ -26,7 +26,7 @@ def sized(input_bytes: int, per_task: int = 128 << 20) -> dict[str, str]:
         **ADAPTIVE,
         "spark.sql.files.maxPartitionBytes": str(per_task),
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(per_task),
-        "spark.sql.shuffle.partitions": str(min(tasks, 100_000)),
+        "spark.sql.shuffle.partitions": str(tasks),
     }
 
 

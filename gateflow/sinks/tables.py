@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -142,28 +143,17 @@ def upsert_update(
 ) -> DataFrame:
     """Insert new keys; on a known key only cols take the new value, also a null one.
 
-    Both sides are stacked and grouped by key: one shuffle, and no pairs when a
-    key comes twice.
+    Only the new side is made unique. Old rows keep their number: each takes the
+    new value of its key, and rows with a null key match nothing and stay.
     """
-    rest = [c for c in old.columns if c not in keys]
-    row = F.struct(*[F.col(quoted(c)) for c in rest])
     new = last_per_key(new, keys, order)
-    sides = old.select(*keys, row.alias("_old"), F.lit(None).cast(_row_type(old, rest)).alias("_new"))
-    sides = sides.unionByName(
-        new.select(*keys, F.lit(None).cast(_row_type(old, rest)).alias("_old"), row.alias("_new"))
+    fresh = new.select(*keys, F.lit(True).alias("_there"), *[F.col(quoted(c)).alias(f"_new_{c}") for c in cols])
+    value = lambda c: F.when(F.col("_there"), F.col(quoted(f"_new_{c}"))).otherwise(F.col(quoted(c))).alias(c)
+    updated = old.join(fresh, list(keys), "left").select(
+        *[value(c) if c in cols else F.col(quoted(c)) for c in old.columns]
     )
-    grouped = sides.groupBy(*keys).agg(F.max("_old").alias("_old"), F.max("_new").alias("_new"))
-
-    def value(c: str) -> Column:
-        ours, theirs = F.col(f"_old.{quoted(c)}"), F.col(f"_new.{quoted(c)}")
-        first, second, there = (theirs, ours, "_new") if c in cols else (ours, theirs, "_old")
-        return F.when(F.col(there).isNotNull(), first).otherwise(second).alias(c)
-
-    return grouped.select(*keys, *[value(c) for c in rest]).select(*old.columns)
-
-
-def _row_type(df: DataFrame, cols: Sequence[str]) -> T.StructType:
-    return T.StructType([T.StructField(f.name, f.dataType) for f in df.schema if f.name in cols])
+    added = new.join(old.select(*keys).distinct(), list(keys), "left_anti")
+    return updated.unionByName(added.select(*old.columns))
 
 
 def upsert_table(
@@ -180,8 +170,18 @@ def upsert_table(
     or follow from them. The merged rows go to a scratch table first, because a
     path cannot be overwritten while it is read.
     """
-    met = new.select(*partition_by).distinct()
-    old = spark.read.parquet(path).join(met, list(partition_by), "left_semi")
-    staged = scratch_path(spark, "upsert")
-    merged = write_table(upsert(old, new, keys, order), staged)
-    return replace_partitions(merged, path, partition_by)
+    staged = write_table(last_per_key(new, keys, order), scratch_path(spark, "upsert-new"))
+    # one row per partition that is met: the values reach the scan as partition filters
+    met = staged.select(*partition_by).distinct().collect()
+    if not met:
+        return spark.read.parquet(path)
+    here = reduce(
+        lambda a, b: a | b,
+        [reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.lit(r[c])) for c in partition_by]) for r in met],
+    )
+    if len(partition_by) == 1 and all(r[0] is not None for r in met):
+        here = F.col(partition_by[0]).isin([r[0] for r in met])
+    old = spark.read.parquet(path).where(here)
+    kept = old.join(staged.select(*keys), list(keys), "left_anti")
+    merged = kept.unionByName(staged.select(*old.columns))
+    return replace_partitions(write_table(merged, scratch_path(spark, "upsert")), path, partition_by)

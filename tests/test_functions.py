@@ -112,3 +112,10 @@ def test_slot_names():
 
 def test_slot_hour_of_data(spark):
     assert values(spark, list(SLOTS), names.slot_hour) == list(HOURS)
+
+
+def test_suffixed_numbers_are_no_counts(spark):
+    texts = ["5d", "7f", "1D ", "0x1", "1,234", " 12 ", "-3", "4.0", "1e3", "", None, "NaN", "Infinity", "."]
+    df = spark.createDataFrame([(x,) for x in texts], "c string")
+    got = [r[0] for r in df.select(numbers.clean_count(F.col("c"))).collect()]
+    assert got == [0, 0, 0, 0, 1234, 12, -3, 4, 1000, 0, 0, 0, 0, 0]

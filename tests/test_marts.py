@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from gateflow.config import BIN_LABELS, HOURS, Thresholds
 from gateflow.operators import joins, ordered, reshape
 from gateflow.plans import marts, metrics, reports
+from gateflow.sinks.tables import scratch_path, write_table
 
 DAILY = "base_date date, stn_name string, line_num int, on_cnt bigint, off_cnt bigint, day_label string"
 KPI = "base_date date, stn_name string, line_num int, hour int, on_cnt bigint, off_cnt bigint"
@@ -40,22 +41,25 @@ def test_two_hour_bins(spark):
 def test_match_keeps_rows_and_ignores_case_and_accents(spark):
     fact = spark.createDataFrame([("Café역(x)", 1), (" CAFE ", 2), ("none", 3)], "station string, v int")
     dim = spark.createDataFrame([("cafe", "2"), ("CAFÉ ", "1")], "station_clean string, station_no string")
-    got = joins.match_station(fact, dim)
+    got = joins.match_station(fact, joins.name_map(fact, dim))
     assert sorted((r.v, r.station_id) for r in got.collect()) == [(1, "1"), (2, "1"), (3, None)]
 
 
-def test_match_does_not_shuffle_the_fact(spark):
+def test_stored_name_map_is_broadcast_by_its_size(spark):
     fact = spark.range(100).select(F.concat(F.lit("s"), F.col("id") % 7).alias("station"), "id")
     dim = spark.createDataFrame([("S1", "1"), ("s2", "2")], "station_clean string, station_no string")
-    plan = plan_of(joins.match_station(fact, dim))
-    assert plan.index("BroadcastHashJoin") < plan.index("SortMergeJoin")
-    assert "Exchange" not in plan[: plan.index("BroadcastExchange")]
+    mapping = write_table(joins.name_map(fact, dim), scratch_path(spark, "map"))
+    plan = plan_of(joins.match_station(fact, mapping))
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
 
 
-def test_lookup_checks_the_size(spark):
-    small, large = spark.range(10), spark.range(1000)
-    assert "ResolvedHint" in joins.lookup(small, 100)._jdf.queryExecution().analyzed().toString()
-    assert "ResolvedHint" not in joins.lookup(large, 100)._jdf.queryExecution().analyzed().toString()
+def test_building_a_plan_runs_no_job(spark):
+    fact = spark.range(10).select(F.concat(F.lit("s"), "id").alias("station"))
+    dim = spark.createDataFrame([("s1", "1")], "station_clean string, station_no string")
+    spark.sparkContext.setJobGroup("plans", "none may run")
+    joins.match_station(fact, joins.name_map(fact, dim))
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("plans")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
 
 
 def test_growth_is_null_over_a_gap(spark):
@@ -119,7 +123,7 @@ def test_maturity_borders(spark, now, want):
     assert metrics.station_metrics(daily).first().market_maturity == want
 
 
-def test_unknown_station_gives_no_row_and_compare_takes_two_or_three(spark):
+def test_unknown_station_gives_no_row_and_compare_takes_two_or_more(spark):
     assert _report(spark, [_days(2021, 1)], [], [], stations=["y"]).count() == 0
     daily = spark.createDataFrame([_days(2021, 1)], DAILY)
     with pytest.raises(ValueError):
@@ -157,12 +161,24 @@ def test_station_list_does_not_multiply(spark):
     assert (got["나역"].avg_score, got["나역"].area_type, got["나역"].location_grade) == (0.0, None, "B")
 
 
-def test_pages_bound_the_lists(spark):
-    df = spark.range(5000).select(F.lit(1).alias("line_num"), F.concat(F.lit("s"), "id").alias("display_name"))
-    lines = ordered.stations_by_line(df, ordered.list_pages(df, 500))
-    sizes = [len(r.stations) for r in lines.collect()]
-    assert sum(sizes) == 5000 and len(sizes) == 10 and max(sizes) < 700
-    assert len(ordered.stations_by_line(df, 1).first().stations) == 5000
+def test_lists_do_not_depend_on_the_number_of_stations(spark):
+    for n in (1000, 1001):
+        df = spark.range(n).select(F.lit(1).alias("line_num"), F.concat(F.lit("s"), "id").alias("display_name"))
+        (whole,) = ordered.stations_by_line(df, 1).collect()
+        names = [s.display_name for s in whole.stations]
+        assert names == sorted(names) and len(names) == n
+        parts = ordered.stations_by_line(df, 4).collect()
+        assert sorted(r.bucket for r in parts) == [0, 1, 2, 3] and sum(len(r.stations) for r in parts) == n
+
+
+def test_history_is_in_date_order_within_a_station(spark):
+    rows = [(date(2021, 1, 1 + (7 * i) % 28), f"s{i % 3}", 1, i, i, "평일") for i in range(84)]
+    df = spark.createDataFrame(rows, "base_date date, stn_name string, line_num int, on_cnt bigint, off_cnt bigint, day_label string")
+    got = [(r.stn_name, r.base_date) for r in reports.station_history(df).collect()]
+    for s in ("s0", "s1", "s2"):
+        own = [d for n, d in got if n == s]
+        assert own == sorted(own) and len(own) == len(set(own))
+    assert [r.base_date for r in reports.station_history(df, "s1").collect()] == sorted({d for n, d in got if n == "s1"})
 
 
 def test_top_rows_need_no_full_sort(spark):

@@ -138,3 +138,25 @@ def test_checks(spark):
     text = spark.createDataFrame([("2019-01-01", "1"), ("x", "-"), (None, "-4"), ("20190101", None)],
                                  "d string, n string")
     assert tuple(quality.reject_counts(text, "d", ["n"]).first()) == (4, 1, 1, 1, 1, 1)
+
+
+def test_upsert_reads_only_the_partitions_it_meets(spark, monkeypatch):
+    path = t.scratch_path(spark, "pruned")
+    old = spark.createDataFrame([(d, k, 0) for d in range(5) for k in range(3)], "d int, k int, v int")
+    t.write_table(old, path, partition_by=["d"])
+    plans = []
+    real = t.write_table
+    monkeypatch.setattr(t, "write_table", lambda df, p, *a, **b: plans.append(plan_of(df)) or real(df, p, *a, **b))
+    new = spark.createDataFrame([(3, 1, 7), (3, 9, 8), (9, 1, 9)], "d int, k int, v int")
+    got = rows(t.upsert_table(spark, path, new, ["d", "k"], ["d"]).select("d", "k", "v"))
+    want = [(d, k, 7 if (d, k) == (3, 1) else 0) for d in range(5) for k in range(3)] + [(3, 9, 8), (9, 1, 9)]
+    assert got == sorted(want)
+    assert any("PartitionFilters: [d#" in p and " IN (" in p for p in plans)
+
+
+def test_column_upsert_keeps_old_rows(spark):
+    old = spark.createDataFrame([("a", 1, 1), ("a", 2, 2), (None, 3, 3), (None, 4, 4)], "k string, x int, y int")
+    new = spark.createDataFrame([("b", 9, 9)], "k string, x int, y int")
+    assert len(t.upsert_update(old, new, ["k"], ["x"]).collect()) == 5
+    both = t.upsert_update(old, new.union(spark.createDataFrame([("a", 7, 7)], new.schema)), ["k"], ["x"])
+    assert sorted((r.k or "", r.x, r.y) for r in both.collect()) == [("", 3, 3), ("", 4, 4), ("a", 7, 1), ("a", 7, 2), ("b", 9, 9)]

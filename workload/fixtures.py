@@ -6,15 +6,14 @@ become dirty station names. Every frame grows with the tables it is read from.
 
 from __future__ import annotations
 
-from datetime import date
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gateflow.config import ALIGHTING_WORD, BOARDING_WORD, HOURS, SLOTS, Thresholds
+from gateflow.operators import joins
 from gateflow.operators.filters import between_dates
-from gateflow.operators.joins import lookup
 from gateflow.operators.reshape import hourly_kpi
+from gateflow.plans.layers import int_flow
 from gateflow.plans.marts import daily_trend
 from gateflow.sinks.tables import scratch_path, write_table
 from gateflow.sources.dimensions import calendar, default_label
@@ -52,25 +51,6 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return _TABLES[key]
 
 
-def spread(df: DataFrame, scan: DataFrame, key: str) -> DataFrame:
-    """Deal out the rows of a scan that has fewer tasks than there are cores.
-
-    The test tables are one file with one row group, so one task would do all
-    the work on names. A scan of many files has tasks enough and is not shuffled.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if _scan_tasks(scan) < cores else df
-
-
-_TASKS: dict[int, int] = {}
-
-
-def _scan_tasks(scan: DataFrame) -> int:
-    if id(scan) not in _TASKS:
-        _TASKS[id(scan)] = scan.rdd.getNumPartitions()
-    return _TASKS[id(scan)]
-
-
 _NAMES: dict[tuple[str, str], DataFrame] = {}
 
 
@@ -86,7 +66,7 @@ def station_text(spark: SparkSession, sf: str) -> DataFrame:
     )
     key = (spark.sparkContext.applicationId, sf)
     if key not in _NAMES:
-        _NAMES[key] = lookup(
+        _NAMES[key] = (
             table(spark, sf, "supplier")
             .join(table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
             .select("s_suppkey", name.alias("station"))
@@ -94,22 +74,12 @@ def station_text(spark: SparkSession, sf: str) -> DataFrame:
     return _NAMES[key]
 
 
-def raw_long(
-    spark: SparkSession, sf: str, period: tuple[str, str] | None = None, number: bool = False
-) -> DataFrame:
-    """Raw layer. A period is pushed into the scan of lineitem."""
+def raw_long(spark: SparkSession, sf: str, number: bool = False) -> DataFrame:
+    """Raw layer over all of lineitem; operators cut their own periods."""
     scan = table(spark, sf, "lineitem")
     lines = scan.select(
         "l_orderkey", "l_suppkey", "l_linenumber", "l_quantity", "l_returnflag", "l_shipdate"
     )
-    if period:
-        a, b = (date.fromisoformat(d) for d in period)
-        ts = F.col("l_shipdate")
-        lines = lines.where(
-            (ts >= F.lit(a).cast("timestamp_ntz"))
-            & (ts < F.date_add(F.lit(b), 1).cast("timestamp_ntz"))
-        )
-    lines = spread(lines, scan, "l_orderkey")
     key, order = F.col("l_suppkey"), F.col("l_orderkey")
     step = F.when(key % 3 == 0, order % 10).when(key % 3 == 1, order % 20).otherwise(order % 17)
     n = F.col("l_quantity").cast("bigint")
@@ -129,12 +99,20 @@ def raw_long(
     )
 
 
-def kpi(spark, sf, period=None) -> DataFrame:
-    return hourly_kpi(raw_long(spark, sf, period))
+def name_map(spark, sf) -> DataFrame:
+    return joins.name_map(raw_long(spark, sf), station_dim(spark, sf))
+
+
+def flow(spark, sf) -> DataFrame:
+    return int_flow(raw_long(spark, sf), name_map(spark, sf))
+
+
+def kpi(spark, sf) -> DataFrame:
+    return hourly_kpi(raw_long(spark, sf))
 
 
-def daily(spark, sf, period=None) -> DataFrame:
-    return daily_trend(kpi(spark, sf, period))
+def daily(spark, sf) -> DataFrame:
+    return daily_trend(kpi(spark, sf))
 
 
 def holidays(spark, sf) -> DataFrame:
@@ -161,7 +139,7 @@ def labelled(spark, sf) -> DataFrame:
     return daily_trend(kpi(spark, sf), days(spark, sf))
 
 
-def wide(spark, sf, period=None) -> DataFrame:
+def wide(spark, sf) -> DataFrame:
     """Both directions per date, station and line: on_05 .. on_24, off_05 .. off_24."""
     sums = [
         F.sum(F.when(F.col("hour") == f"{h:02d}", F.col(c)).otherwise(0))
@@ -171,7 +149,7 @@ def wide(spark, sf, period=None) -> DataFrame:
         for h in HOURS
     ]
     return (
-        raw_long(spark, sf, period, number=True)
+        raw_long(spark, sf, number=True)
         .groupBy("base_date", "station", "line", "station_no")
         .agg(*sums)
     )

@@ -6,10 +6,9 @@ from pyspark.sql import functions as F
 
 from gateflow.functions.headers import quoted
 from gateflow.operators import ordered, quality
-from gateflow.operators.filters import order_by_locale
+from gateflow.operators.filters import between_dates, order_by_locale
 from gateflow.operators.reshape import two_hour_bins
 from gateflow.plans import marts, metrics, reports
-from gateflow.plans.layers import int_flow
 from gateflow.sinks.tables import scratch_path
 from workload import fixtures as fx
 from workload.oracle import GOT_TOTAL, grade, ratio, sql
@@ -22,15 +21,15 @@ def n_rows():
 
 
 def _flow(spark, sf):
-    return int_flow(fx.raw_long(spark, sf), fx.station_dim(spark, sf))
+    return fx.flow(spark, sf)
 
 
 def _profile(spark, sf):
-    return marts.station_profile(fx.kpi(spark, sf, fx.PROFILE_PERIOD), *fx.PROFILE_PERIOD)
+    return marts.station_profile(fx.kpi(spark, sf), *fx.PROFILE_PERIOD)
 
 
 def _scores(spark, sf):
-    return marts.site_scores(fx.kpi(spark, sf, fx.PERIOD), *fx.PERIOD, divisor=10)
+    return marts.site_scores(fx.kpi(spark, sf), *fx.PERIOD, divisor=10)
 
 
 # --- aggregates -----------------------------------------------------------------------
@@ -65,12 +64,12 @@ def _(spark, sf):
 
 @query("a5_monthly_site", sql("site", "select * from site"))
 def _(spark, sf):
-    return marts.monthly_site(fx.kpi(spark, sf, fx.PERIOD), *fx.PERIOD)
+    return marts.monthly_site(fx.kpi(spark, sf), *fx.PERIOD)
 
 
 @query("a6_profile_base", sql("pbase", "select * from pbase"))
 def _(spark, sf):
-    return marts.profile_base(fx.kpi(spark, sf, fx.PROFILE_PERIOD), *fx.PROFILE_PERIOD)
+    return marts.profile_base(fx.kpi(spark, sf), *fx.PROFILE_PERIOD)
 
 
 _PATTERN = f"""
@@ -83,7 +82,7 @@ _PATTERN = f"""
 
 @query("a7_hourly_pattern", sql("kpi", _PATTERN))
 def _(spark, sf):
-    return reports.hourly_pattern(fx.kpi(spark, sf, ("2000-02-01", "2000-02-29")), fx.MONTH)
+    return reports.hourly_pattern(fx.kpi(spark, sf), fx.MONTH)
 
 
 @query(
@@ -136,12 +135,12 @@ def _(spark, sf):
     ),
 )
 def _(spark, sf):
-    return marts.pivot_years(fx.daily(spark, sf, ("1999-01-01", "2000-12-31")), fx.SHOCK)
+    return marts.pivot_years(fx.daily(spark, sf), fx.SHOCK)
 
 
 @query("a12_available_months", sql("growth", "select distinct strftime(base_ym, '%Y-%m') as base_ym from growth"))
 def _(spark, sf):
-    return marts.available_months(marts.growth_trend(fx.daily(spark, sf, fx.PERIOD), *fx.PERIOD))
+    return marts.available_months(marts.growth_trend(fx.daily(spark, sf), *fx.PERIOD))
 
 
 @query("a13_station_lines", sql("kpi", "select distinct stn_name, line_num from kpi"))
@@ -171,19 +170,19 @@ def _(spark, sf):
     sql(
         "stations",
         """
-    select line_num, page, count(*) as n_stations,
+    select line_num, bucket, count(*) as n_stations,
       string_agg(display_name || ':' || location_grade, '|' order by display_name) as names
     from (select *, (('0x' || substr(md5(display_name), 1, 8))::bigint
-        % (select greatest(1, (count(*) + 999) // 1000) from stations))::int as page from stations)
+        % 2)::int as bucket from stations)
     group by all""",
     ),
 )
 def _(spark, sf):
-    lines = ordered.stations_by_line(_stations(spark, sf))
+    lines = ordered.stations_by_line(_stations(spark, sf), 2)
     texts = F.transform("stations", lambda s: F.concat(s.display_name, F.lit(":"), s.location_grade))
     return lines.select(
         "line_num",
-        "page",
+        "bucket",
         F.size("stations").cast("bigint").alias("n_stations"),
         F.array_join(texts, "|").alias("names"),
     )
@@ -235,7 +234,7 @@ _HEAT = f"""
 
 @query("w2_w3_c2_calendar_heatmap", sql("lab", _HEAT))
 def _(spark, sf):
-    daily = marts.daily_trend(fx.kpi(spark, sf, ("2000-02-01", "2000-02-29")), fx.days(spark, sf))
+    daily = marts.daily_trend(fx.kpi(spark, sf), fx.days(spark, sf))
     return reports.calendar_heatmap(daily, fx.MONTH)
 
 
@@ -249,7 +248,7 @@ def _(spark, sf):
 
 @query("o2_o3_ordered_months", sql("monthly", "select base_ym, stn_name, t as total from monthly"))
 def _(spark, sf):
-    months = marts.monthly_total(fx.daily(spark, sf, fx.PERIOD))
+    months = marts.monthly_total(between_dates(fx.daily(spark, sf), "base_date", *fx.PERIOD))
     return months.select(
         "base_ym", "stn_name", F.col("monthly_total_passenger").alias("total")
     ).orderBy("stn_name", F.col("base_ym").desc())

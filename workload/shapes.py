@@ -11,7 +11,6 @@ from gateflow.operators import filters as fl
 from gateflow.operators import reshape as rs
 from gateflow.operators.joins import match_station, with_day_label
 from gateflow.plans import marts, reports
-from gateflow.plans.layers import int_flow
 from workload import fixtures as fx
 from workload.oracle import DEFAULT_LABEL, ratio, sql
 from workload.registry import query
@@ -135,7 +134,7 @@ _OFF = _H.replace("on_", "off_")
 )
 def _(spark, sf):
     off = fx.wide_side(spark, sf, "off").where("line <> '7호선'")  # keys absent on one side
-    kpi = rs.hourly_kpi_joined(fx.wide_side(spark, sf, "on"), off, fx.WIDE_SLOTS)
+    kpi = rs.hourly_kpi_joined(fx.wide_side(spark, sf, "on"), off, fx.WIDE_SLOTS, unique=True)
     by_hour = F.col("hour") * (F.col("on_cnt") - F.col("off_cnt"))
     return kpi.groupBy("base_date", "stn_name", "line_num").agg(
         n_rows(), _sum("on_cnt"), _sum("off_cnt"), _sum(by_hour, "by_hour")
@@ -144,7 +143,7 @@ def _(spark, sf):
 
 @query("p14_int_flow", sql("flow", "select * from flow"))
 def _(spark, sf):
-    return int_flow(fx.raw_long(spark, sf), fx.station_dim(spark, sf))
+    return fx.flow(spark, sf)
 
 
 # --- filters ------------------------------------------------------------------------------
@@ -156,12 +155,12 @@ def _(spark, sf):
 )
 def _(spark, sf):
     span = ("1999-03-15", "2000-02-29")
-    return fl.between_dates(fx.daily(spark, sf, span), "base_date", *span)
+    return fl.between_dates(fx.daily(spark, sf), "base_date", *span)
 
 
 @query("l2_in_month", sql("daily", "select * from daily where strftime(base_date, '%Y-%m') = '1999-12'"))
 def _(spark, sf):
-    return fl.in_month(fx.daily(spark, sf, ("1999-12-01", "1999-12-31")), "base_date", "1999-12")
+    return fl.in_month(fx.daily(spark, sf), "base_date", "1999-12")
 
 
 @query(
@@ -178,7 +177,7 @@ def _(spark, sf):
 
 @query("l4_matched_only", sql("flow", "select station_id, station, boarding from flow where station_id is not null"))
 def _(spark, sf):
-    flow = int_flow(fx.raw_long(spark, sf), fx.station_dim(spark, sf))
+    flow = fx.flow(spark, sf)
     return fl.matched_only(flow).select("station_id", "station", "boarding")
 
 
@@ -187,13 +186,13 @@ def _(spark, sf):
     sql("daily", "select * from daily where line_num in (2, 5) and year(base_date) = 2000"),
 )
 def _(spark, sf):
-    year = fl.in_years(fx.daily(spark, sf, ("2000-01-01", "2000-12-31")), "base_date", [2000])
+    year = fl.in_years(fx.daily(spark, sf), "base_date", [2000])
     return fl.pick(year, line_num=[2, 5], stn_name=None)
 
 
 @query("l7_group_filter", sql("pbase", "select * from pbase"))
 def _(spark, sf):
-    return marts.profile_base(fx.kpi(spark, sf, fx.PROFILE_PERIOD), *fx.PROFILE_PERIOD)
+    return marts.profile_base(fx.kpi(spark, sf), *fx.PROFILE_PERIOD)
 
 
 @query(
@@ -238,7 +237,7 @@ def _stations(spark, sf):
     ),
 )
 def _(spark, sf):
-    flow = match_station(fx.raw_long(spark, sf), fx.station_dim(spark, sf))
+    flow = match_station(fx.raw_long(spark, sf), fx.name_map(spark, sf))
     return flow.groupBy("station", "station_id").agg(n_rows(), _sum("boarding"))
 
 
@@ -264,12 +263,12 @@ def _(spark, sf):
 
 @query("j3_growth_trend", sql("growth", "select * from growth"))
 def _(spark, sf):
-    return marts.growth_trend(fx.daily(spark, sf, fx.PERIOD), *fx.PERIOD)
+    return marts.growth_trend(fx.daily(spark, sf), *fx.PERIOD)
 
 
 @query("j3_growth_trend_join_form", sql("growth", "select * from growth"))
 def _(spark, sf):
-    return marts.growth_trend(fx.daily(spark, sf, fx.PERIOD), *fx.PERIOD, form="join")
+    return marts.growth_trend(fx.daily(spark, sf), *fx.PERIOD, form="join")
 
 
 @query("j4_station_list", sql("stations", "select * from stations"))
