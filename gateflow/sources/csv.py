@@ -50,15 +50,14 @@ class Header:
 def detect_header(spark: SparkSession, path: str, marker: str = DATE_WORD) -> Header:
     """Header of a delivery: line 0 if it holds the marker word, else line 1.
 
-    Only the first two lines of one file reach the driver.
+    Only the first two lines of one file reach the driver, the first by path that
+    has any.
     """
-    first = (
-        spark.read.text(path)
-        .select("value", F.col("_metadata.file_block_start").alias("start"))
-        .where((F.col("start") == 0) & (F.trim("value") != ""))
-        .limit(2)
-        .collect()
-    )
+    first = []
+    for file in sorted(spark.read.text(path).inputFiles()):
+        first = spark.read.text(file).where(F.trim("value") != "").take(2)
+        if first:
+            break
     if not first:
         raise ValueError(f"no header in {path}")
     lines = [r.value.lstrip(_BOM) for r in first]
@@ -73,11 +72,46 @@ def _data_lines(header: Header, marker: str, path: str, strict: bool) -> Column:
     tops = [t for t in (header.text, header.title) if t is not None]
     keep = F.when(value.isin(*tops, *[_BOM + t for t in tops]) | (F.trim(value) == ""), False)
     if strict and marker in header.text:
+        # another header has most of the same cells; a name with the marker word hasn't
+        cells = [c for c in dict.fromkeys(header.cells) if c.strip()]
+        shared = row_total([value.contains(c).cast("int") for c in cells])
         other = F.raise_error(F.lit(f"files below {path} differ in their header"))
-        keep = keep.when(value.contains(marker), other.cast("boolean"))
+        keep = keep.when(value.contains(marker) & (shared * 2 >= len(cells)), other.cast("boolean"))
+    if strict:
+        quotes = F.length(value) - F.length(F.replace(value, F.lit('"'), F.lit("")))
+        broken = F.raise_error(F.lit(f"a quoted cell below {path} has a line break: read with multi_line"))
+        keep = keep.when(quotes % 2 == 1, broken.cast("boolean"))
     return keep.otherwise(True)
 
 
+def _ordered(df: DataFrame, with_order: bool) -> DataFrame:
+    if not with_order:
+        return df
+    return df.select(
+        "*",
+        F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_row"),
+    )
+
+
+def _multi_line(spark: SparkSession, path: str, header: Header, schema: str, with_order: bool) -> DataFrame:
+    """Cells of a delivery with line breaks in quoted cells; a file is one task.
+
+    Rows that repeat the header or title line are left out by their cells.
+    """
+    df = _ordered(spark.read.csv(path, f"{schema}, _bad string", multiLine=True, mode="PERMISSIVE",
+                                 columnNameOfCorruptRecord="_bad", **_CSV), with_order)
+    cells = [c for c in df.columns if c not in ORDER and c != "_bad"]
+    read = F.struct(*[F.coalesce(F.regexp_replace(c, f"^{_BOM}", ""), F.lit("")).alias(c) for c in cells])
+    keep = F.lit(True)
+    for top in (header.cells, next(csv.reader([header.title])) if header.title is not None else None):
+        if top is not None:
+            line = (top + [""] * len(cells))[: len(cells)]
+            keep = keep & (read != F.struct(*[F.lit(x).alias(c) for x, c in zip(line, cells, strict=True)]))
+    return df.where(keep).drop("_bad")
+
+
 def read_wide_csv(
     spark: SparkSession,
     path: str,
@@ -85,11 +119,13 @@ def read_wide_csv(
     marker: str = DATE_WORD,
     with_order: bool = False,
     strict: bool = True,
+    multi_line: bool = False,
 ) -> DataFrame:
     """One delivery as text columns, header and title lines removed.
 
     Every file of the delivery may start with the header. With strict, a file
-    with another header stops the read instead of being stacked by position.
+    with another header stops the read instead of being stacked by position, and
+    so does a quoted cell that goes on in the next line; multi_line reads those.
     Lines are filtered as text and then parsed: a condition over all the cells
     would be a constraint that the optimizer rewrites for each renamed column.
     """
@@ -97,15 +133,11 @@ def read_wide_csv(
     names = header.names(strip)
     places = [f"c{i}" for i in range(len(names))]
     schema = ", ".join(f"{p} string" for p in places)
-    lines = spark.read.text(path)
-    if with_order:
-        lines = lines.select(
-            "value",
-            F.col("_metadata.file_path").alias("_file"),
-            F.col("_metadata.file_block_start").alias("_block"),
-            F.monotonically_increasing_id().alias("_row"),
-        )
     order = ORDER if with_order else ()
+    if multi_line:
+        rows = _multi_line(spark, path, header, schema, with_order)
+        return rows.select(*[F.col(p).alias(n) for p, n in zip(places, names)], *order)
+    lines = _ordered(spark.read.text(path), with_order)
     cells = F.from_csv("value", schema, _CSV)
     return (
         lines.where(_data_lines(header, marker, path, strict))

@@ -105,3 +105,19 @@ def test_year_table_first_file_and_line_win(spark, folder):
     assert got == {
         ("2019-01-01", "1"): "신정", ("2019-01-02", "1"): "평일", ("2019-01-01", "2"): "평일",
     }
+
+
+def test_name_with_the_date_word_is_data(spark, folder):
+    path = folder("a", "\n".join([HEAD, line("2019-01-02", station="날짜변경선")]))
+    assert [r["역명"] for r in csv.read_wide_csv(spark, path).collect()] == ["날짜변경선"]
+
+
+def test_quoted_line_break(spark, folder):
+    text = "\n".join(["표 제목,,", HEAD, line("2019-01-02", station='"강\n남"'), line("2019-01-03")])
+    path = folder("a", text, text)
+    with pytest.raises(Exception, match="multi_line"):
+        csv.read_wide_csv(spark, path).collect()
+    got = csv.read_wide_csv(spark, path, multi_line=True)
+    assert sorted((r["날짜"], r["역명"]) for r in got.collect()) == [("2019-01-02", "강\n남")] * 2 + [("2019-01-03", "강남(2)")] * 2
+    ordered = csv.read_wide_csv(spark, path, multi_line=True, with_order=True)
+    assert set(csv.ORDER) <= set(ordered.columns) and ordered.count() == 4
