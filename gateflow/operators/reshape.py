@@ -62,6 +62,26 @@ def to_raw_long(
     return both.withColumn("line", line_label(F.col("line")))
 
 
+def raw_long(
+    wide: DataFrame,
+    on_word: str,
+    off_word: str,
+    slot_map: Mapping[str, int] = SLOT_HOURS,
+    id_cols: Sequence[str] = ID_COLS,
+) -> DataFrame:
+    """Raw layer, as to_raw_long gives it, from rows that name their direction."""
+    long = unpivot_slots(wide, [*id_cols, "direction"], slot_map, "count")
+    count = F.coalesce(F.col("count").try_cast("bigint"), F.lit(0).cast("bigint"))
+    mine = lambda word: F.when(F.col("direction") == word, count).otherwise(F.lit(0).cast("bigint"))
+    plain = {"station": F.trim("station"), "line": line_label(F.col("line"))}
+    return long.select(
+        *[plain.get(c, F.col(c)).alias(c) for c in id_cols],
+        F.lpad(F.col("hour").cast("string"), 2, "0").alias("hour"),
+        mine(on_word).alias("boarding"),
+        mine(off_word).alias("alighting"),
+    )
+
+
 def peak_flags(
     df: DataFrame,
     hour: str = "hour",

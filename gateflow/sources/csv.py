@@ -217,23 +217,43 @@ def ingest_wide(
     Columns: base_date, line, station_no, station, the slots and their sum.
     Rows without a readable date are left out; quality.reject_counts counts them.
     """
+    names, ids = _ids(df)
+    wide = align_slots(filter_direction(df, word, column), ids, slot_columns(names, "clock"), canonical)
+    if not keep_rejects:
+        wide = wide.where(F.col("base_date").isNotNull())
+    total = row_total([F.col(quoted(c)) for c in canonical])
+    return wide.withColumn(f"{word}{TOTAL_WORD}", total)
+
+
+def _ids(df: DataFrame) -> tuple[list[str], list[Column]]:
+    """Names of a delivery's columns, and its key columns in the fixed shape."""
     names = [n for n in df.columns if n not in ORDER]
     keys = key_columns(names)
     missing = [role for role, name in keys.items() if name is None]
     if missing:
         raise ValueError(f"no column for {missing}")
-    rows = filter_direction(df, word, column)
-    ids = [
+    return names, [
         parse_date(F.col(quoted(keys["base_date"]))).alias("base_date"),
         line_label(F.col(quoted(keys["line"]))).alias("line"),
         F.col(quoted(keys["station_no"])).alias("station_no"),
         F.col(quoted(keys["station"])).alias("station"),
     ]
-    wide = align_slots(rows, ids, slot_columns(names, "clock"), canonical)
-    if not keep_rejects:
-        wide = wide.where(F.col("base_date").isNotNull())
-    total = row_total([F.col(quoted(c)) for c in canonical])
-    return wide.withColumn(f"{word}{TOTAL_WORD}", total)
+
+
+def ingest_directions(
+    df: DataFrame, words: Sequence[str], column: str | None = None, canonical: Sequence[str] = SLOTS
+) -> DataFrame:
+    """Rows of several directions in the fixed wide shape, from one pass.
+
+    The column `direction` holds the word; a value with several words takes the first.
+    """
+    column = column or next((c for c in direction_columns(df, words).values() if c), None)
+    if column is None:
+        raise ValueError(f"no column with any of {list(words)}")
+    names, ids = _ids(df)
+    kinds = [F.when(F.col(quoted(column)).contains(w), w) for w in words]
+    wide = align_slots(df, [*ids, F.coalesce(*kinds).alias("direction")], slot_columns(names, "clock"), canonical)
+    return wide.where(F.col("base_date").isNotNull() & F.col("direction").isNotNull())
 
 
 def ingest_many(

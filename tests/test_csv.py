@@ -121,3 +121,10 @@ def test_quoted_line_break(spark, folder):
     assert sorted((r["날짜"], r["역명"]) for r in got.collect()) == [("2019-01-02", "강\n남")] * 2 + [("2019-01-03", "강남(2)")] * 2
     ordered = csv.read_wide_csv(spark, path, multi_line=True, with_order=True)
     assert set(csv.ORDER) <= set(ordered.columns) and ordered.count() == 4
+
+
+def test_raw_layer_reads_a_delivery_once(spark, folder):
+    text = "\n".join([HEAD, line("2019-01-02"), line("2019-01-02", kind="하차")])
+    paths = [folder("a", text), folder("b", text)]
+    plan = plan_of(raw_from_files(spark, paths, {p: "구분" for p in paths}))
+    assert plan.count("FileScan text") == 2

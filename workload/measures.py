@@ -9,9 +9,10 @@ from gateflow.operators import ordered, quality
 from gateflow.operators.filters import between_dates, order_by_locale
 from gateflow.operators.reshape import two_hour_bins
 from gateflow.plans import marts, metrics, reports
+from gateflow.plans.layers import raw_from_files
 from gateflow.sinks.tables import scratch_path
 from workload import fixtures as fx
-from workload.oracle import GOT_TOTAL, grade, ratio, sql
+from workload.oracle import GOT_CHECK, GOT_TOTAL, grade, ratio, sql
 from workload.registry import query
 from workload.shapes import _stations
 
@@ -585,6 +586,48 @@ def _(spark, sf):
     return out.unionByName(shock)
 
 
+@query(
+    "c9_build_from_files",
+    sql(
+        "got",
+        f"""
+    select year(base_date)::int as yr, line, count(*) * 20 as n_rows, count(*) * 20 as n_int,
+      sum(case when direction = '승차' then total else 0 end)::bigint as on_cnt,
+      sum(case when direction = '하차' then total else 0 end)::bigint as off_cnt,
+      sum(case when direction = '승차' then by_slot else 0 end)::bigint as on_by_hour,
+      sum(total)::bigint as total_flow
+    from (select base_date, line, direction, {GOT_TOTAL} as total, {GOT_CHECK} as by_slot from got where not bad_date)
+    group by all""",
+    ),
+)
+def _(spark, sf):
+    """Files, raw, intermediate layer, marts: each from the stored one before."""
+    paths = [fx.deliveries(spark, sf)[k] for k in "abc"]
+    root = scratch_path(spark, "layers")
+    built = marts.build_marts(
+        raw_from_files(spark, paths, columns={p: "구분" for p in paths}),
+        fx.station_dim(spark, sf),
+        fx.days(spark, sf),
+        root,
+        fx.PERIOD,
+        fx.PROFILE_PERIOD,
+        fx.SHOCK,
+        divisor=10,
+    )
+    keys = [F.year("base_date").alias("yr"), F.col("line_num").cast("string").alias("line")]
+    hourly = built["hourly_kpi"].groupBy(*keys).agg(
+        n_rows(),
+        F.sum("on_cnt").alias("on_cnt"),
+        F.sum("off_cnt").alias("off_cnt"),
+        F.sum(F.col("hour") * F.col("on_cnt")).cast("bigint").alias("on_by_hour"),
+    )
+    daily = built["daily_trend"].groupBy(*keys).agg(F.sum("total_flow").cast("bigint").alias("total_flow"))
+    line = F.regexp_replace("line", "[^0-9]", "").alias("line")
+    typed = spark.read.parquet(f"{root}/int_flow").groupBy(F.year("base_date").alias("yr"), line).agg(n_rows())
+    typed = typed.withColumnRenamed("n_rows", "n_int")
+    return hourly.join(daily, ["yr", "line"]).join(typed, ["yr", "line"])
+
+
 # --- checks -------------------------------------------------------------------------------
 
 
