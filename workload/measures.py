@@ -547,6 +547,35 @@ _MARTS = {
 }
 
 
+def built(spark, sf):
+    """All marts, stored below a new path."""
+    return marts.build_marts(
+        fx.raw_long(spark, sf),
+        fx.station_dim(spark, sf),
+        fx.days(spark, sf),
+        scratch_path(spark, "marts"),
+        fx.PERIOD,
+        fx.PROFILE_PERIOD,
+        fx.SHOCK,
+        divisor=10,
+    )
+
+
+def on_stored(spark, sf, tables):
+    """Reports on stored marts, by name; the bench times them."""
+    scored = tables["daily_trend"], tables["station_profile"], tables["site_scores"]
+    return {
+        "c1_station_report": reports.station_report(*scored, fx.YEAR, **_OPTIONS),
+        "c4_compare": reports.compare(*scored, PAIRS, fx.YEAR, **_OPTIONS),
+        "j4_station_list": reports.station_list(
+            tables["station_spatial"], fx.station_dim(spark, sf), *scored[1:], fx.YEAR
+        ),
+        "c6_station_history": reports.station_history(tables["daily_trend"]),
+        "m6_m7_m8_station_metrics": metrics.station_metrics(tables["daily_trend"], fx.YEAR, fx.YEARS),
+        "a7_hourly_pattern": reports.hourly_pattern(tables["hourly_kpi"], fx.MONTH),
+    }
+
+
 @query(
     "c9_build_marts",
     sql(
@@ -560,25 +589,16 @@ _MARTS = {
     ),
 )
 def _(spark, sf):
-    built = marts.build_marts(
-        fx.raw_long(spark, sf),
-        fx.station_dim(spark, sf),
-        fx.days(spark, sf),
-        scratch_path(spark, "marts"),
-        fx.PERIOD,
-        fx.PROFILE_PERIOD,
-        fx.SHOCK,
-        divisor=10,
-    )
+    tables = built(spark, sf)
     out = None
     for name, (_, check) in _MARTS.items():
-        one = built[name].selectExpr(
+        one = tables[name].selectExpr(
             f"'{name}' as mart", "1 as one", f"{check.replace('sum(', '(', 1)} as v"
         )
         one = one.groupBy("mart").agg(n_rows(), F.sum("v").cast("bigint").alias("checksum"))
         out = one if out is None else out.unionByName(one)
-    flow = built["daily_trend"].where("year(base_date) in (1999, 2000)")
-    shock = built["shock"].select("stn_name").join(flow, "stn_name").groupBy(
+    flow = tables["daily_trend"].where("year(base_date) in (1999, 2000)")
+    shock = tables["shock"].select("stn_name").join(flow, "stn_name").groupBy(
         F.lit("shock").alias("mart")
     ).agg(
         F.countDistinct("stn_name").alias("n_rows"), F.sum("total_flow").cast("bigint").alias("checksum")
@@ -604,7 +624,7 @@ def _(spark, sf):
     """Files, raw, intermediate layer, marts: each from the stored one before."""
     paths = [fx.deliveries(spark, sf)[k] for k in "abc"]
     root = scratch_path(spark, "layers")
-    built = marts.build_marts(
+    tables = marts.build_marts(
         raw_from_files(spark, paths, columns={p: "구분" for p in paths}),
         fx.station_dim(spark, sf),
         fx.days(spark, sf),
@@ -615,13 +635,13 @@ def _(spark, sf):
         divisor=10,
     )
     keys = [F.year("base_date").alias("yr"), F.col("line_num").cast("string").alias("line")]
-    hourly = built["hourly_kpi"].groupBy(*keys).agg(
+    hourly = tables["hourly_kpi"].groupBy(*keys).agg(
         n_rows(),
         F.sum("on_cnt").alias("on_cnt"),
         F.sum("off_cnt").alias("off_cnt"),
         F.sum(F.col("hour") * F.col("on_cnt")).cast("bigint").alias("on_by_hour"),
     )
-    daily = built["daily_trend"].groupBy(*keys).agg(F.sum("total_flow").cast("bigint").alias("total_flow"))
+    daily = tables["daily_trend"].groupBy(*keys).agg(F.sum("total_flow").cast("bigint").alias("total_flow"))
     line = F.regexp_replace("line", "[^0-9]", "").alias("line")
     typed = spark.read.parquet(f"{root}/int_flow").groupBy(F.year("base_date").alias("yr"), line).agg(n_rows())
     typed = typed.withColumnRenamed("n_rows", "n_int")
