@@ -13,9 +13,14 @@ A tile holds the nodes with such a shingle whose sizes lie in one band or the ne
    overlap from above: where k bits differ, at least k shingles are in one set
    only. Pairs that pass are compared by exact intersection of sorted arrays.
 2. Components of the links found so far make most tiles one component. In tiles
-   that hold several, every pair of nodes from different components is held
-   against sizes and bitmaps, and what passes is compared exactly. Tiles are cut
-   into blocks and the pairs of blocks dealt out, so a hot tile is many tasks.
+   that hold several, nodes of different components are held against sizes and
+   bitmaps; of the pairs that pass, a spanning forest, the most similar bitmaps
+   first, is compared exactly. Large groups so grow together by about as many
+   comparisons as nodes. Nodes without a partner that passes are out from then on,
+   and the others go on with larger bitmaps.
+3. What pairs of different components are left then, all those that pass sizes and
+   bitmaps, are compared exactly. Tiles are cut into blocks and the pairs of blocks
+   dealt out, so a hot tile is many tasks.
 
 Each pair that reaches the similarity is so either compared or in one component
 already: no link between components is lost, and no group is expanded into all
@@ -45,8 +50,8 @@ PERCENT = 75
 #: Frequent shingles: seen so often among this many shingles of one task, and so
 #: many of them kept (the most frequent). They only set the order of shingles.
 STRETCH, OFTEN, FREQUENT = 1_000_000, 6, 200_000
-#: Nodes of a block of a tile.
-BLOCK = 2_000
+#: Nodes of a block of a tile; rounds that compare forests before all pairs.
+BLOCK, FORESTS = 1_000, 2
 
 
 def band(n: int, percent: int) -> int:
@@ -109,18 +114,24 @@ class Order:
 
 
 def nodes_of(docs: DataFrame, width: int) -> DataFrame:
-    """(id, sid, n, bits) per document; sid null without shingles."""
+    """(id, sid, n, bits, fine) per document; sid null without shingles. Both are
+    bitmaps, `fine` with four times as many buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sids, ns, bits = [], [], []
+            sids, ns, bits, fine = [], [], [], []
             for own in shingle_sets(batch.column(1), width):
                 ns.append(len(own))
                 sids.append(set_digest(own) if len(own) else None)
-                bits.append(bitmap(own) if len(own) else None)
-            yield _batch([batch.column(0), sids, ns, bits], ["id", "sid", "n", "bits"], [pa.int64(), pa.int64(), pa.int64(), pa.binary()])
+                bits.append(bitmap(own, 1) if len(own) else None)
+                fine.append(bitmap(own, 4) if len(own) else None)
+            yield _batch(
+                [batch.column(0), sids, ns, bits, fine],
+                ["id", "sid", "n", "bits", "fine"],
+                [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()],
+            )
 
-    return docs.mapInArrow(run, "id long, sid long, n long, bits binary")
+    return docs.mapInArrow(run, "id long, sid long, n long, bits binary, fine binary")
 
 
 def tile_rows(docs: DataFrame, often: DataFrame, width: int, percent: int) -> DataFrame:
@@ -270,51 +281,120 @@ def exact(pairs: DataFrame, docs: DataFrame, ids: DataFrame, width: int, percent
     return both.select("a", "b", "own_a", "own_b").mapInArrow(run, "a long, b long")
 
 
-def across(rows: DataFrame, percent: int) -> DataFrame:
+def apart(n: np.ndarray, label: np.ndarray, bits: list[bytes], side: np.ndarray, percent: int):
+    """Pairs (i, j) of a cell's rows that labels, sizes and bitmaps allow, and the
+    share of their summed sizes that lies in one set only, at least."""
+    left = np.flatnonzero(side == 0)
+    right = np.flatnonzero(side == 1)
+    alone = not len(right)
+    if alone:
+        right = left
+    n_l, n_r = n[left][:, None], n[right][None, :]
+    ok = (label[left][:, None] != label[right][None, :]) & (100 * n_r >= percent * n_l) & (100 * n_l >= percent * n_r)
+    i, j = np.nonzero(np.triu(ok, 1) if alone else ok)
+    i, j = left[i], right[j]
+    if not len(i):
+        return i, j, np.zeros(0, np.float32)
+    words = np.array([len(x) // 8 for x in bits])
+    width = np.minimum(words[i], words[j])
+    total = n[i] + n[j]
+    differ = np.empty(len(i), np.int64)
+    for w in np.unique(width).tolist():
+        these = np.flatnonzero(width == w)
+        rows, at = np.unique(np.concatenate([i[these], j[these]]), return_inverse=True)
+        maps = np.stack([folded(np.frombuffer(bits[k], np.uint64), w) for k in rows.tolist()])
+        for lo in range(0, len(these), 20_000):
+            part = slice(lo, min(lo + 20_000, len(these)))
+            x, y = maps[at[: len(these)][part]], maps[at[len(these) :][part]]
+            differ[these[part]] = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+    passes = linked((total - differ) // 2, total, percent)
+    return i[passes], j[passes], (differ[passes] / total[passes]).astype(np.float32)
+
+
+def forest(i: np.ndarray, j: np.ndarray, share: np.ndarray, label: np.ndarray) -> list[int]:
+    """Pairs (their places) of a spanning forest of the components, least share
+    first: each component offers its best pair to another, until none has one."""
+    root = np.unique(label, return_inverse=True)[1]
+    order = np.argsort(share, kind="stable")
+    kept = []
+    while len(order):
+        order = order[root[i[order]] != root[j[order]]]
+        if not len(order):
+            break
+        # the first pair in order of each component, on either side
+        ends = np.stack([root[i[order]], root[j[order]]], axis=1).ravel()
+        first = np.unique(np.unique(ends, return_index=True)[1] // 2)
+        for k in order[first].tolist():
+            x, y = root[i[k]], root[j[k]]
+            if x != y:
+                root[root == max(x, y)] = min(x, y)
+                kept.append(k)
+    return kept
+
+
+ACTIVE = "a long, b long, shingle long"
+
+
+def across(rows: DataFrame, percent: int, all_pairs: bool) -> DataFrame:
     """Pairs (a, b) of different components in one cell whose sizes and bitmaps
-    pass. Rows: shingle, i, j (cell), side, n, sid, label, bits, sorted by cell.
+    pass: all of them, or a forest per cell. Rows: shingle, i, j (cell), side, n,
+    sid, label, bits, sorted by cell.
 
     The left block of a cell meets the right one; a block meets itself in the cell
-    (i, i). A pair is given once per batch of cells.
+    (i, i). Besides pairs (shingle null), each node that some partner passes with is
+    given as (a, null, shingle): only those can be in a pair later, as components
+    only grow together.
     """
 
-    def compare(block: list[tuple], met: set) -> None:
-        left = [r for r in block if r[3] == 0]
-        right = [r for r in block if r[3] == 1] or left
-        sizes = np.array([r[4] for r in right])
-        labels = np.array([r[6] for r in right])
-        maps: dict[int, np.ndarray] = {}
-        for r in left:
-            n, sid, label = r[4], r[5], r[6]
-            near = np.flatnonzero((labels != label) & (100 * sizes >= percent * n) & (100 * n >= percent * sizes))
-            if not len(near):
-                continue
-            # bitmaps of the sizes that pass fold to one length
-            width = min(len(r[7]), min(len(right[k][7]) for k in near.tolist())) // 8
-            if width not in maps:
-                maps[width] = np.stack([folded(np.frombuffer(x[7], np.uint64), width) if len(x[7]) >= 8 * width else np.zeros(width, np.uint64) for x in right])
-            own = folded(np.frombuffer(r[7], np.uint64), width)
-            apart = np.bitwise_count(maps[width][near] ^ own).sum(axis=1, dtype=np.int64)
-            total = sizes[near] + n
-            for k in near[linked((total - apart) // 2, total, percent)].tolist():
-                met.add((min(sid, right[k][5]), max(sid, right[k][5])))
+    def compare(shingle: int, cell: list[np.ndarray], bits: list[bytes], met: set) -> None:
+        side, n, sid, label = cell
+        if len(label) < 2 or (label == label[0]).all():
+            return
+        i, j, share = apart(n, label, bits, side, percent)
+        if not len(i):
+            return
+        met.update((x, None, shingle) for x in np.unique(sid[np.concatenate([i, j])]).tolist())
+        if not all_pairs:
+            kept = np.array(forest(i, j, share, label), np.int64)
+            i, j = i[kept], j[kept]
+        low, high = np.minimum(sid[i], sid[j]), np.maximum(sid[i], sid[j])
+        met.update((a, b, None) for a, b in zip(low.tolist(), high.tolist(), strict=True))
+
+    def out(met: set) -> pa.RecordBatch:
+        rows = list(met)
+        return _batch([[r[k] for r in rows] for k in range(3)], ["a", "b", "shingle"], [pa.int64()] * 3)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, met = [], set()
+        columns: list[np.ndarray] | None = None  # rows of the last cell, which may go on
+        bits: list[bytes] = []
+        met: set = set()
+
+        def cells_of(last: bool):
+            """Compare the whole cells that are held; what remains may go on."""
+            key = columns[:3]
+            edge = np.flatnonzero((key[0][1:] != key[0][:-1]) | (key[1][1:] != key[1][:-1]) | (key[2][1:] != key[2][:-1])) + 1
+            bounds = [0, *edge.tolist(), *([len(key[0])] if last else [])]
+            for lo, hi in zip(bounds, bounds[1:], strict=False):
+                if hi - lo > 1:
+                    compare(int(key[0][lo]), [c[lo:hi] for c in columns[3:]], bits[lo:hi], met)
+            return bounds[-1]
+
         for batch in batches:
-            for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held and r[:3] != held[-1][:3]:
-                    compare(held, met)
-                    held = []
-                held.append(r)
+            if not batch.num_rows:
+                continue
+            own = [c.to_numpy(zero_copy_only=False) for c in batch.columns[:7]]
+            columns = own if columns is None else [np.concatenate([a, b]) for a, b in zip(columns, own, strict=True)]
+            bits = bits + batch.column(7).to_pylist()
+            done = cells_of(last=False)
+            columns, bits = [c[done:] for c in columns], bits[done:]
             if len(met) > 100_000:
-                yield _batch([[a for a, _ in met], [b for _, b in met]], ["a", "b"], [pa.int64(), pa.int64()])
-                met = set()
-        if held:
-            compare(held, met)
-        yield _batch([[a for a, _ in met], [b for _, b in met]], ["a", "b"], [pa.int64(), pa.int64()])
+                yield out(met)
+                met.clear()
+        if columns is not None and len(columns[0]):
+            cells_of(last=True)
+        yield out(met)
 
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(run, ACTIVE)
 
 
 def cells(found: DataFrame, nodes: DataFrame, labels: DataFrame, block: int) -> DataFrame:
@@ -348,6 +428,17 @@ def cells(found: DataFrame, nodes: DataFrame, labels: DataFrame, block: int) ->
     )
 
 
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """(sid, label) after links (a, b) between nodes have tied their components."""
+    for x in ("a", "b"):
+        known = labels.select(F.col("sid").alias(x), F.col("label").alias(f"label_{x}"))
+        links = links.join(known, x, "left").withColumn(x, F.coalesce(f"label_{x}", x)).drop(f"label_{x}")
+    over = stored(components(links), "ngram-labels").select(F.col("node").alias("label"), F.col("label").alias("top"))
+    alone = over.select(F.col("label").alias("sid"), "top").join(labels.select("sid"), "sid", "left_anti")
+    grown = labels.join(over, "label", "left").select("sid", F.coalesce("top", "label").alias("label"))
+    return grown.union(alone)
+
+
 def ngram_components(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT, block: int = BLOCK
 ) -> DataFrame:
@@ -362,19 +453,24 @@ def ngram_components(
 
     stars = found.where("pivot <> sid").select(F.least("pivot", "sid").alias("a"), F.greatest("pivot", "sid").alias("b")).distinct()
     near = stored(passing(stars, maps, percent), "ngram-pairs")
-    first = stored(exact(near, docs, ids, width, percent), "ngram-links")
-    labels = stored(components(first), "ngram-labels").withColumnRenamed("node", "sid")
-
-    rest = across(cells(found, maps, labels, block), percent).distinct().join(near, ["a", "b"], "left_anti")
-    second = stored(exact(stored(rest, "ngram-pairs"), docs, ids, width, percent), "ngram-links")
-    # links of the second kind tie components of the first
-    tied = second
-    for x in ("a", "b"):
-        known = labels.select(F.col("sid").alias(x), F.col("label").alias(f"label_{x}"))
-        tied = tied.join(known, x, "left").withColumn(x, F.coalesce(f"label_{x}", x)).drop(f"label_{x}")
-    over = stored(components(tied), "ngram-labels").select(F.col("node").alias("label"), F.col("label").alias("top"))
-    alone = over.select(F.col("label").alias("sid"), "top").join(labels.select("sid"), "sid", "left_anti")
-    groups = labels.join(over, "label", "left").select("sid", F.coalesce("top", "label").alias("top")).union(alone)
+    links = stored(exact(near, docs, ids, width, percent), "ngram-links")
+    labels = stored(components(links), "ngram-labels").withColumnRenamed("node", "sid")
+    tested, active, by = near, found, maps
+    for step in range(FORESTS + 1):
+        met = stored(across(cells(active, by, labels, block), percent, step == FORESTS), "ngram-met")
+        given = met.where("b is not null").select("a", "b").distinct()
+        if given.isEmpty():  # no pair of different components passes any more
+            break
+        fresh = stored(given.join(tested, ["a", "b"], "left_anti"), "ngram-pairs")
+        links = stored(exact(fresh, docs, ids, width, percent), "ngram-links")
+        if not links.isEmpty():
+            labels = stored(merged(labels, links), "ngram-labels")
+        tested = tested.union(fresh)
+        active = met.where("b is null").select("shingle", F.col("a").alias("sid")).distinct()
+        # the nodes left are few: larger bitmaps exclude nearly all that aren't similar
+        by = profiles.join(nodes.select("id", "sid").join(active.select("sid").distinct(), "sid"), ["id", "sid"])
+        by = by.select("sid", "n", F.col("fine").alias("bits")).dropDuplicates(["sid"])
+    groups = labels.withColumnRenamed("label", "top")
 
     smallest = nodes.join(groups, "sid").groupBy("top").agg(F.min("id").alias("component_id"))
     named = groups.join(smallest, "top").select("sid", "component_id")

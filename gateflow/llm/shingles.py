@@ -42,10 +42,10 @@ def set_digest(shingles: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def bitmap(shingles: np.ndarray) -> bytes:
-    """Parity of the shingles in each of 2**k buckets, at least as many as shingles
-    and 64, so the map grows with the set and stays telling."""
-    size = max(64, 1 << (len(shingles) - 1).bit_length())
+def bitmap(shingles: np.ndarray, times: int) -> bytes:
+    """Parity of the shingles in each of 2**k buckets, at least `times` as many as
+    shingles and 64, so the map grows with the set and stays telling."""
+    size = max(64, 1 << (times * len(shingles) - 1).bit_length())
     odd = np.bincount((shingles & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
     return np.packbits(odd.astype(bool), bitorder="little").tobytes()
 
