@@ -3,8 +3,11 @@
 Base rule: e-mail addresses, IPv4 addresses, card numbers that pass Luhn's check,
 and phone numbers, each kind by its own leftmost non-overlapping matches.
 
-Bootstrapping: a token with a digit or an @ is an instance, the two words before it
-are its pattern. Instances that overlap a base match are seeds. Patterns and
+Bootstrapping: every base match is an instance and a seed; every other word of five
+characters or more with a digit or an @, without closing punctuation, is an
+instance unless it overlaps a base match. The two words before an instance are its
+pattern, whatever they hold; for a base match inside a word, those before that
+word. Instances with fewer words before them have no pattern. Patterns and
 instances form a graph, scored in rounds: a pattern by the share of its
 occurrences that are trusted instances, an instance by the patterns it occurs in
 (noisy or). Patterns that end up with a high score and enough trusted instances
@@ -37,7 +40,11 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 TOKEN = r"(?<!\S)(?=\S*[0-9@])\S++"
+#: The last two words of a text; each word is tried once.
+LAST_TWO = r"(?<!\S)\S++\s++\S++\s*+\z"
 ROUNDS, TRUST, SUPPORT, BLOCK = 3, 0.75, 3, 400
+#: Characters of an instance that is no base match.
+LEAST = 5
 _BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 _SPAN = "array<struct<start:bigint,end:bigint>>"
 
@@ -55,8 +62,8 @@ def _sums(items: Column, size) -> Column:
 
 
 def found(text: Column, pattern: str) -> Column:
-    """Matches as an array of structs: start, end (code points), match, and the
-    last characters before the match since the match before."""
+    """Matches as an array of structs: start, end (code points), match, and before,
+    the text since the match before."""
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
 
@@ -67,7 +74,7 @@ def found(text: Column, pattern: str) -> Column:
                 F.length(F.get(gap, i)).cast("long").alias("gap"),
                 F.length(m).cast("long").alias("size"),
                 m.alias("match"),
-                F.substring(F.get(gap, i), -80, 80).alias("before"),
+                F.get(gap, i).alias("before"),
             ),
         )
 
@@ -122,32 +129,77 @@ def passes(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
-def base_spans(text: Column, kind: str) -> Column:
-    """Spans of one kind; the pattern is tried where its telling characters occur."""
+def base_matches(text: Column, kind: str) -> Column:
+    """Spans of one kind and their text; the pattern is tried where its telling
+    characters occur."""
     there = {"email": F.contains(text, F.lit("@")), "phone": F.contains(text, F.lit("+"))}.get(kind, text.rlike("[0-9]"))
     kept = F.filter(found(text, PATTERNS[kind]), lambda m: passes(kind, m["match"]))
-    spans = F.transform(kept, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end")))
-    return F.when(there, spans).otherwise(F.array().cast(_SPAN))
+    spans = F.transform(kept, lambda m: F.struct(*(m[c].alias(c) for c in ("start", "end", "match"))))
+    return F.when(there, spans).otherwise(F.array().cast("array<struct<start:bigint,end:bigint,match:string>>"))
+
+
+def last_of(items: Column, holds) -> Column:
+    """The last of the items for which `holds`, by bisection: it holds for the first
+    ones only. Null if it holds for none."""
+    def halved(a: Column, _: Column) -> Column:
+        bounds = lambda low, high: F.struct(low.cast("int").alias("low"), high.cast("int").alias("high"))
+        middle = F.floor((a["low"] + a["high"]) / 2).cast("int")
+        return let(middle, lambda k: F.when(holds(F.get(items, k)), bounds(k + 1, a["high"])).otherwise(bounds(a["low"], k)))
+
+    steps = F.sequence(F.lit(1), F.ceil(F.log2(F.size(items) + 1.0)).cast("int") + 1)
+    whole = F.struct(F.lit(0).alias("low"), F.size(items).alias("high"))
+    return F.aggregate(steps, whole, halved, lambda a: F.get(items, a["low"] - 1))
 
 
 def tokens(text: Column) -> Column:
-    """Instances with place and pattern (two words before, digits as 0; null where
-    the text has fewer words there)."""
+    """Words with a digit or an @: start, end and instance without closing
+    punctuation, and pattern (two words before, digits as 0; null where the text has
+    fewer words there)."""
     tell = lambda m: F.regexp_replace(m["match"], r"[.,;:!?)]+$", "")
-    before = lambda m: F.regexp_extract(m["before"], r"(?<!\S)(\S+)\s+(\S+)\s*$", 0)
-    words = lambda m: F.translate(F.lower(F.trim(F.regexp_replace(before(m), r"\s+", " "))), "123456789", "000000000")
-    parts = F.transform(
-        found(text, TOKEN),
-        lambda m: F.struct(
-            m["start"].alias("start"),
-            (m["start"] + F.length(tell(m))).alias("end"),
-            tell(m).alias("instance"),
-            F.nullif(words(m), F.lit("")).alias("pattern"),
-        ),
-    )
-    kept = F.filter(parts, lambda t: F.length(t["instance"]) >= 5)
+
+    def pattern(of: Column, m: Column, i: Column) -> Column:
+        # tokens are whole words, so two of them and their gaps hold two words
+        last = F.get(of, i - 1)
+        before = F.concat_ws("", F.get(of, i - 2)["match"], last["before"], last["match"], m["before"])
+        words = F.trim(F.regexp_replace(F.regexp_extract(before, LAST_TWO, 0), r"\s+", " "))
+        return F.nullif(F.translate(F.lower(words), "123456789", "000000000"), F.lit(""))
+
+    def told(of: Column) -> Column:
+        return F.transform(
+            of,
+            lambda m, i: F.struct(
+                m["start"].alias("start"),
+                (m["start"] + F.length(tell(m))).alias("end"),
+                tell(m).alias("instance"),
+                pattern(of, m, i).alias("pattern"),
+            ),
+        )
+
     none = F.array().cast("array<struct<start:bigint,end:bigint,instance:string,pattern:string>>")
-    return F.when(text.rlike("[0-9@]"), kept).otherwise(none)
+    return F.when(text.rlike("[0-9@]"), let(found(text, TOKEN), told)).otherwise(none)
+
+
+def instances() -> Column:
+    """Base matches, as seeds with the pattern of the token they begin in, and tokens
+    of some length that overlap none; over columns KINDS and `token`."""
+
+    def seed(m: Column) -> Column:
+        there = last_of(F.col("token"), lambda t: t["start"] <= m["start"])
+        return F.struct(
+            m["start"].alias("start"), m["end"].alias("end"), m["match"].alias("instance"), there["pattern"].alias("pattern"), F.lit(True).alias("seed")
+        )
+
+    def beside(tokens: Column, kind: str) -> Column:
+        # matches of one kind lie one after another
+        last = lambda t: last_of(F.col(kind), lambda m: m["start"] < t["end"])
+        kept = F.filter(tokens, lambda t: F.coalesce(last(t)["end"] <= t["start"], F.lit(True)))
+        return F.when(F.size(kind) > 0, kept).otherwise(tokens)
+
+    free = F.filter("token", lambda t: F.length(t["instance"]) >= LEAST)
+    for kind in KINDS:
+        free = beside(free, kind)
+    others = F.transform(free, lambda t: F.struct(*(t[c].alias(c) for c in ("start", "end", "instance", "pattern")), F.lit(False).alias("seed")))
+    return F.concat(*(F.transform(k, seed) for k in KINDS), others)
 
 
 def trusted_patterns(edges: DataFrame) -> DataFrame:
@@ -188,13 +240,10 @@ def personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), body.alias("text"))
     read = stored(
-        rows.select("id", F.xxhash64("text").alias("key"), *(base_spans(F.col("text"), k).alias(k) for k in KINDS), tokens(F.col("text")).alias("token")),
+        rows.select("id", F.xxhash64("text").alias("key"), *(base_matches(F.col("text"), k).alias(k) for k in KINDS), tokens(F.col("text")).alias("token")),
         "pii-spans",
     )
-    base = F.concat(*KINDS)
-    seen = lambda t: F.exists(base, lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"]))
-    told = F.transform("token", lambda t: F.struct(*(t[c].alias(c) for c in ("start", "end", "instance", "pattern")), seen(t).alias("seed")))
-    edges = read.where(F.size("token") > 0).select("id", "key", F.explode(told).alias("t")).select("id", "key", "t.*").where("pattern is not null")
+    edges = read.where(F.size("token") > 0).select("id", "key", F.explode(instances()).alias("t")).select("id", "key", "t.*").where("pattern is not null")
     patterns = stored(trusted_patterns(edges), "pii-patterns")
     added = (
         edges.where("not seed")
@@ -205,7 +254,8 @@ def personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     )
     on = F.col("id").eqNullSafe(F.col("id_added")) & (F.col("key") == F.col("key_added"))
     none = F.array().cast(_SPAN)
-    return read.join(added, on, "left").select(F.col("id").alias(doc_id), *KINDS, F.coalesce("context", none).alias("context"))
+    spans = [F.transform(k, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"))).alias(k) for k in KINDS]
+    return read.join(added, on, "left").select(F.col("id").alias(doc_id), *spans, F.coalesce("context", none).alias("context"))
 
 
 def written(kinds: tuple[str, ...]) -> Column:

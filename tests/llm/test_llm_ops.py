@@ -86,6 +86,45 @@ def test_trusted_contexts_mark_unseen_identifiers(docs):
     assert got[51]["context"] == [] and all(got[i]["context"] == [] for i in range(6))
 
 
+def test_contexts_reach_across_tokens_and_whole_base_matches(docs):
+    rows = [(i, f"{prose(5, i)} my number: +1 ({743 + i}) 555-38{24 + i} and ticket {17 + i}: <user{i}@mail.org> end") for i in range(6)]
+    unseen = [(50, f"{prose(5, 50)} my number: 743.555.9999 ok"), (51, f"{prose(5, 51)} TICKET 98:  user50(at)mail, 4 12 34567"), (52, "number: 743.555.9998")]
+    long = "w" * 100
+    rows += [(20 + i, f"{long} {long} q{i}@r.org") for i in range(6)] + [(60, f"{long} {long} q(at)r12")]
+    got = {r["doc_id"]: [tuple(s) for s in r["context"]] for r in pii.personal_data(docs(rows + unseen)).collect()}
+    for i, text, found in ((50, unseen[0][1], "743.555.9999"), (51, unseen[1][1], "user50(at)mail"), (60, rows[-1][1], "q(at)r12")):
+        at = text.index(found)
+        assert got[i] == [(at, at + len(found))]
+    assert not any(x for i, x in got.items() if i not in (50, 51, 60))
+
+
+def test_instances_of_odd_texts_match_plain_rules(docs):
+    import re
+
+    pick = random.Random(8)
+    pieces = ["a.b@c.de", "x@y", "1.2.3.4", "4111 1111 1111 1111", "+1 (234) 555-7890", "(743)", "word", "Other", "12345,", "7", "😀", "("]
+    rows = [(i, "".join(pick.choice(pieces) + pick.choice(["", " ", "  ", "\n"]) for _ in range(pick.randint(1, 25)))) for i in range(60)]
+
+    def plain(text):
+        words = list(re.finditer(r"[^ \n]+", text))
+        before = lambda at: " ".join(w[0] for w in [w for w in words if w.end() <= at][-2:])
+        pattern = lambda at: re.sub("[1-9]", "0", before(at).lower()) if " " in before(at) else None
+        base, out = personal(text), []
+        for _, s, e in base:
+            out.append((s, e, text[s:e], pattern(max(w.start() for w in words if w.start() <= s)), True))
+        for w in words:
+            told = re.sub(r"[.,;:!?)]+$", "", w[0])
+            s, e = w.start(), w.start() + len(told)
+            if re.search("[0-9@]", w[0]) and len(told) >= 5 and not any(a < e and s < b for _, a, b in base):
+                out.append((s, e, told, pattern(s), False))
+        return sorted(out, key=repr)
+
+    cut = [pii.base_matches(F.col("text"), k).alias(k) for k in pii.KINDS]
+    read = docs(rows).select("doc_id", *cut, pii.tokens(F.col("text")).alias("token")).select("doc_id", pii.instances().alias("t"))
+    got = {r["doc_id"]: sorted((tuple(t) for t in r["t"]), key=repr) for r in read.collect()}
+    assert got == {i: plain(t) for i, t in rows}
+
+
 def test_pii_has_no_python_on_the_executors(spark):
     from conftest import plan_of
 
