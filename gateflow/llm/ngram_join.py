@@ -114,8 +114,9 @@ class Order:
 
 
 def nodes_of(docs: DataFrame, width: int) -> DataFrame:
-    """(id, sid, n, bits, fine) per document; sid null without shingles. Both are
-    bitmaps, `fine` with four times as many buckets."""
+    """(id, key, sid, n, bits, fine) per document; key is a digest of the text, sid
+    null without shingles. The last two are bitmaps, `fine` with four times as many
+    buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -126,12 +127,13 @@ def nodes_of(docs: DataFrame, width: int) -> DataFrame:
                 bits.append(bitmap(own, 1) if len(own) else None)
                 fine.append(bitmap(own, 4) if len(own) else None)
             yield _batch(
-                [batch.column(0), sids, ns, bits, fine],
-                ["id", "sid", "n", "bits", "fine"],
-                [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()],
+                [batch.column(0), batch.column(2), sids, ns, bits, fine],
+                ["id", "key", "sid", "n", "bits", "fine"],
+                [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()],
             )
 
-    return docs.mapInArrow(run, "id long, sid long, n long, bits binary, fine binary")
+    keyed = docs.select("id", "text", F.xxhash64("text").alias("key"))
+    return keyed.mapInArrow(run, "id long, key long, sid long, n long, bits binary, fine binary")
 
 
 def tile_rows(docs: DataFrame, often: DataFrame, width: int, percent: int) -> DataFrame:
@@ -253,18 +255,20 @@ def passing(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 def exact(pairs: DataFrame, docs: DataFrame, ids: DataFrame, width: int, percent: int) -> DataFrame:
     """Pairs (a, b) that reach the similarity, by intersection of sorted arrays.
 
-    `ids` names a document for each node; only those texts are cut into shingles
-    again, so no array is kept for nodes without a candidate.
+    `ids` names a document for each node, by id and digest of its text, as ids may be
+    null or repeat; only those texts are cut into shingles again, so no array is kept
+    for nodes without a candidate.
     """
     wanted = pairs.select(F.col("a").alias("sid")).union(pairs.select(F.col("b").alias("sid"))).distinct().join(ids, "sid")
 
     def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [(set_digest(own), own) for own in shingle_sets(batch.column(1), width)]
-            mine = [(s, own.tobytes()) for (s, own), sid in zip(sets, batch.column(0).to_pylist(), strict=True) if s == sid]
-            yield _batch([[s for s, _ in mine], [x for _, x in mine]], ["sid", "own"], [pa.int64(), pa.binary()])
+            mine = {s: own.tobytes() for (s, own), sid in zip(sets, batch.column(0).to_pylist(), strict=True) if s == sid}
+            yield _batch([list(mine), list(mine.values())], ["sid", "own"], [pa.int64(), pa.binary()])
 
-    texts = docs.join(wanted, "id").select("sid", "text")
+    named = F.col("doc.id").eqNullSafe(F.col("node.id")) & (F.xxhash64("doc.text") == F.col("node.key"))
+    texts = docs.alias("doc").join(wanted.alias("node"), named).select("node.sid", "doc.text")
     sets = stored(texts.mapInArrow(arrays, "sid long, own binary").dropDuplicates(["sid"]), "ngram-sets")
     side = lambda x: sets.select(F.col("sid").alias(x), F.col("own").alias(f"own_{x}"))
 
@@ -447,8 +451,11 @@ def ngram_components(
     docs = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
     profiles = stored(nodes_of(docs, width), "ngram-profiles")
     sets = profiles.where("sid is not null")
-    nodes = stored(sets.groupBy("sid").agg(F.min("id").alias("id"), F.max("n").alias("n"), F.max("bits").alias("bits")), "ngram-nodes")
-    ids, maps = nodes.select("id", "sid"), nodes.select("sid", "n", "bits")
+    # the document that stands for a node: the smallest id, null after all others
+    first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "key")).alias("first")
+    nodes = sets.groupBy("sid").agg(first, F.max("n").alias("n"), F.max("bits").alias("bits"))
+    nodes = stored(nodes.select("sid", "first.id", "first.key", "n", "bits"), "ngram-nodes")
+    ids, maps = nodes.select("id", "key", "sid"), nodes.select("sid", "n", "bits")
     found = stored(tiles(tile_rows(docs, frequent(docs, width), width, percent)), "ngram-tiles")
 
     stars = found.where("pivot <> sid").select(F.least("pivot", "sid").alias("a"), F.greatest("pivot", "sid").alias("b")).distinct()
@@ -468,8 +475,10 @@ def ngram_components(
         tested = tested.union(fresh)
         active = met.where("b is null").select("shingle", F.col("a").alias("sid")).distinct()
         # the nodes left are few: larger bitmaps exclude nearly all that aren't similar
-        by = profiles.join(nodes.select("id", "sid").join(active.select("sid").distinct(), "sid"), ["id", "sid"])
-        by = by.select("sid", "n", F.col("fine").alias("bits")).dropDuplicates(["sid"])
+        left = nodes.select("id", "sid").join(active.select("sid").distinct(), "sid").alias("node")
+        own = F.col("profile.id").eqNullSafe(F.col("node.id")) & (F.col("profile.sid") == F.col("node.sid"))
+        by = profiles.alias("profile").join(left, own)
+        by = by.select("profile.sid", "profile.n", F.col("profile.fine").alias("bits")).dropDuplicates(["sid"])
     groups = labels.withColumnRenamed("label", "top")
 
     smallest = nodes.join(groups, "sid").groupBy("top").agg(F.min("id").alias("component_id"))

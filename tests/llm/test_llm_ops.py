@@ -404,6 +404,23 @@ def test_components_of_odd_rows(docs):
     assert spaced(" ") == []
 
 
+def test_null_ids_link_and_bridge(docs):
+    base = prose(120, 82).split()
+    part = lambda k: " ".join(base[k : k + 60])
+    rows = [(5, prose(90, 83)), (None, prose(90, 83) + " tail"), (8, part(0)), (None, part(5)), (9, part(10)), (None, prose(50, 84)), (None, prose(50, 84) + " x")]
+    pick = random.Random(10)
+    for k in range(40):  # pairs for the later rounds, half of them without an id
+        w = prose(100, 85).split()
+        for _ in range(pick.randint(1, 6)):
+            w[pick.randrange(100)] = f"z{pick.randrange(9)}"
+        rows.append((200 + k if k % 2 else None, " ".join(w)))
+    want = near(rows)
+    assert [c for _, _, c in want[:5]] == [5, 5, 8, 8, 8] and near([rows[2], rows[4]])[1][2] == 9
+    for block in (1_000, 5):
+        got = ngram_join.ngram_components(docs(rows), block=block)
+        assert of(got, "doc_id", "n_shingles", "component_id") == sorted(want, key=repr)
+
+
 # --- queries and pipeline
 
 
