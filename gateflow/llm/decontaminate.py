@@ -9,18 +9,20 @@ and every row is answered where it was read.
 
 Phrases: `window` consecutive words of an item; an item with fewer words, but not
 none, is one phrase. Items are taken in blocks of bounded size; if there are
-several blocks, each is searched over all rows and the spans are merged by id.
+several blocks, rows are written once with a number, each block is searched over
+all rows, and the spans are merged by that number.
 
 Words are compared by 64-bit digests. Null and empty texts have no words. Rows
-that repeat an id are answered row by row with one block of items, and as one
-document of their joined hits with several. Items with a null id count under the
-empty name. An empty item table finds nothing; an empty table gives an empty
+that repeat an id, and rows without one, are answered row by row. Items with a null
+id count under the empty name. An empty item table finds nothing; an empty table gives an empty
 result. Very long texts make a shard of their own.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gateflow.llm.fm_index import FMIndex
+from gateflow.llm.tables import numbered
 from gateflow.llm.words import ALNUM, slices, word_digests
 
 WINDOW = 10
@@ -115,13 +118,12 @@ def search(counts: np.ndarray, numbers: np.ndarray, phrases: Phrases) -> list[tu
     return found
 
 
-_OUT = pa.schema(
-    [("id", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.list_(pa.int64()))), ("items", pa.list_(pa.string()))]
-)
-_DDL = "id long, n_words long, spans array<array<bigint>>, items array<string>"
+_OUT = pa.schema([("n_words", pa.int64()), ("spans", pa.list_(pa.list_(pa.int64()))), ("items", pa.list_(pa.string()))])
+_DDL = "n_words long, spans array<array<bigint>>, items array<string>"
 
 
 def _searched(docs: DataFrame, items: list[tuple[str, str | None]], window: int, shard_words: int) -> DataFrame:
+    """(id, n_words, spans, items) of rows (id, text); ids of any type pass through."""
     given = docs.sparkSession.sparkContext.broadcast(items)  # at most BLOCK_BYTES of text
 
     def answer(ids: list, counts: list, numbers: list, phrases: Phrases) -> pa.RecordBatch:
@@ -134,7 +136,7 @@ def _searched(docs: DataFrame, items: list[tuple[str, str | None]], window: int,
                 pa.array([s for s, _ in found], _OUT.field("spans").type),
                 pa.array([[phrases.names[i] for i in own] for _, own in found], _OUT.field("items").type),
             ],
-            names=_OUT.names,
+            names=["id", *_OUT.names],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,11 +155,11 @@ def _searched(docs: DataFrame, items: list[tuple[str, str | None]], window: int,
         if ids:
             yield answer(ids, counts, numbers, phrases)
 
-    return docs.mapInArrow(run, _DDL)
+    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, {_DDL}")
 
 
 def _blocks(items: DataFrame, item_id: str, text: str, limit: int) -> Iterator[list[tuple[str, str | None]]]:
-    """Items in blocks of about `limit` bytes; the driver holds one at a time."""
+    """Items in blocks of about `limit` bytes, each made when it is asked for."""
     block, size = [], 0
     for row in items.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")), F.col(text)).toLocalIterator():
         block.append((row[0], row[1]))
@@ -183,19 +185,20 @@ def contamination(
     """One row per row of `docs`: id, n_words, spans (merged, of words), n_hit,
     item_ids (sorted as strings, distinct), n_items, contaminated."""
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
-    parts = [_searched(rows, b, window, shard_words) for b in _blocks(items, item_id, item_text, block_bytes)]
-    if not parts:
-        parts = [_searched(rows, [], window, shard_words)]
-    out = parts[0]
-    if len(parts) > 1:
-        for p in parts[1:]:
-            out = out.union(p)
+    blocks = _blocks(items, item_id, item_text, block_bytes)
+    first, second = next(blocks, []), next(blocks, None)
+    if second is None:
+        out = _searched(rows, first, window, shard_words)
+    else:
+        rows, row = numbered(rows)
+        rows = rows.select(F.struct(F.col(row).alias("row"), "id").alias("id"), "text")
+        out = reduce(DataFrame.union, (_searched(rows, b, window, shard_words) for b in chain([first, second], blocks)))
         out = out.groupBy("id").agg(
             F.max("n_words").alias("n_words"),
             F.flatten(F.collect_list("spans")).alias("spans"),
             F.flatten(F.collect_list("items")).alias("items"),
         )
-        out = out.withColumn("spans", merged("spans"))
+        out = out.withColumn("spans", merged("spans")).withColumn("id", F.col("id")["id"])
     items_of = F.array_sort(F.array_distinct("items"))
     return out.select(
         F.col("id").alias(doc_id),

@@ -6,6 +6,7 @@ import os
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gateflow.sinks.tables import scratch_path
 
@@ -30,3 +31,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def numbered(df: DataFrame) -> tuple[DataFrame, str]:
+    """Rows with a number of their own, and the name of its column, which no other
+    column has. Written once, so that every later read has the same numbers."""
+    name = "row_number"
+    while name in (c.lower() for c in df.columns):
+        name += "_"
+    return stored(df.withColumn(name, F.monotonically_increasing_id()), "numbered"), name

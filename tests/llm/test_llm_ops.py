@@ -350,6 +350,16 @@ def test_leaks_of_odd_rows(docs, spark):
     assert {r["n_hit"] for r in decontaminate.contamination(docs(rows), bench.limit(0)).collect()} == {0}
 
 
+def test_several_blocks_answer_each_row_by_itself(docs, spark):
+    items = [(1, prose(40, 60)), (2, prose(12, 61)), (None, prose(25, 62))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = [*ODD, (5, f"a {prose(40, 60)}"), (None, f"a b {prose(12, 61)}"), (None, prose(25, 62)), (5, prose(12, 61)), (5, prose(12, 61))]
+    one, several = (decontaminate.contamination(docs(rows), bench, block_bytes=b) for b in (1 << 20, 100))
+    cols = ("doc_id", "n_words", "spans", "n_hit", "item_ids")
+    assert of(several, *cols) == of(one, *cols)
+    assert of(several, *cols[:2], *cols[3:]) == sorted([(i, *leaks(t, items)) for i, t in rows], key=repr)
+
+
 # --- licences
 
 
