@@ -2,8 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a frame, which is written and
 read back as the next one's docs. A stage works on every row its predecessor
-kept; all but the last return the columns of documents. Rows without an id pass
-the stages that drop by id.
+kept; all but the last return the columns of documents. Ids may be null or repeat:
+the stages that drop rows write their docs once with a number for each row and
+drop by that number. Of copies the row with the smallest id stays, a null id comes
+after all others, and of equal ids the smallest number.
 """
 
 from __future__ import annotations
@@ -14,10 +16,10 @@ from pyspark.sql import functions as F
 
 from gateflow.llm.bpe import bpe
 from gateflow.llm.decontaminate import contamination
-from gateflow.llm.exact_dedup import DigestIndex, deduplicate, digest_of
+from gateflow.llm.exact_dedup import DigestIndex, deduplicate
 from gateflow.llm.ngram_join import ngram_components
 from gateflow.llm.quality import of_quality
-from gateflow.llm.tables import stored, table
+from gateflow.llm.tables import numbered, stored, table
 from gateflow.sinks.tables import scratch_path
 
 #: Score from which a document is kept.
@@ -33,25 +35,39 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return of_quality(docs, table(spark, sf_dir, "labels"), learned_from, LEAST_QUALITY)
 
 
+def without(docs: DataFrame, dropped: DataFrame, row: str) -> DataFrame:
+    """Numbered documents less those whose number is in `dropped` (row)."""
+    return docs.join(stored(dropped.withColumnRenamed("row", row), "dropped"), row, "left_anti").drop(row)
+
+
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the one with the smallest id."""
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     index = DigestIndex(spark, scratch_path(spark, "digest-index"), buckets)
-    dropped = deduplicate(docs, index).where("not kept").select("doc_id", F.unhex("text_sha256").alias("digest"))
-    same = (F.col("doc.doc_id") == F.col("gone.doc_id")) & (digest_of(F.col("doc.text")) == F.col("gone.digest"))
-    return docs.alias("doc").join(stored(dropped, "dropped").alias("gone"), same, "left_anti")
+    docs, row = numbered(docs)
+    told = stored(deduplicate(docs, index, row=row), "deduplicated").where("group_size > 1 or not kept")
+    # all rows with the smallest id are marked kept; the first of them stays
+    first = told.where("kept").groupBy("text_sha256").agg(F.min("row").alias("row"))
+    return without(docs, told.select("row").join(first.select("row"), "row", "left_anti"), row)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the one with the smallest id."""
-    dropped = ngram_components(docs).where("component_id <> doc_id").select("doc_id")
-    return docs.join(stored(dropped, "near-dropped"), "doc_id", "left_anti")
+    docs, row = numbered(docs)
+    found = stored(ngram_components(docs, doc_id=row).select(F.col(row).alias("row"), "component_id"), "near-rows")
+    linked = found.where("component_id <> row")
+    members = linked.unionByName(linked.select(F.col("component_id").alias("row"), "component_id").distinct())
+    ids = docs.select(F.col(row).alias("row"), F.col("doc_id").alias("id"))
+    place = F.struct(F.col("id").isNull().alias("last"), "id", "row")
+    first = members.join(ids, "row").groupBy("component_id").agg(F.min(place)["row"].alias("row"))
+    return without(docs, members.select("row").join(first.select("row"), "row", "left_anti"), row)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any benchmark window."""
-    found = contamination(docs, table(spark, sf_dir, "benchmark"))
-    return docs.join(stored(found.where("contaminated").select("doc_id"), "contaminated"), "doc_id", "left_anti")
+    docs, row = numbered(docs)
+    found = contamination(docs, table(spark, sf_dir, "benchmark"), doc_id=row)
+    return without(docs, found.where("contaminated").select(F.col(row).alias("row")), row)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

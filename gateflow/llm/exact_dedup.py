@@ -58,13 +58,15 @@ class DigestIndex:
         self.spark.catalog.refreshTable(self.name)
 
 
-def deduplicate(docs: DataFrame, index: DigestIndex, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of `docs`: id, keep_id, group_size, kept, text_sha256.
+def deduplicate(docs: DataFrame, index: DigestIndex, doc_id: str = "doc_id", text: str = "text", row: str | None = None) -> DataFrame:
+    """One row per row of `docs`: id, keep_id, group_size, kept, text_sha256; and the
+    column `row`, if named, which tells rows apart.
 
     keep_id comes from the index where an earlier batch had the text; group_size
     counts the rows of this batch.
     """
-    digests = stored(docs.select(F.col(doc_id).cast("long").alias("id"), digest_of(F.col(text)).alias("digest")), "digests")
+    own = [F.col(row).alias("row")] if row else []
+    digests = stored(docs.select(F.col(doc_id).cast("long").alias("id"), digest_of(F.col(text)).alias("digest"), *own), "digests")
     groups = stored(
         digests.groupBy("digest").agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("n")), "digest-groups"
     )
@@ -85,4 +87,5 @@ def deduplicate(docs: DataFrame, index: DigestIndex, doc_id: str = "doc_id", tex
         F.coalesce("n", F.lit(1)).cast("long").alias("group_size"),
         F.col("id").eqNullSafe(keep).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
+        *(["row"] if row else []),
     )

@@ -484,6 +484,28 @@ def test_pipeline_stages(spark):
     assert of(out, "doc_id", "decoded_sha256", "ids") == sorted(((i, d, bytearray(x)) for i, d, x in want), key=repr)
 
 
+def test_pipeline_drops_rows_without_or_with_repeated_ids(spark, docs):
+    leak = next(b["text"] for b in given("benchmark") if len(alnum(b["text"])) >= 10)
+    texts = {k: prose(90, 300 + k) for k in range(6)}
+    rows = [
+        (None, texts[0]), (4, texts[0]), (None, texts[0]), (4, texts[0]), (None, texts[1]), (None, texts[1]),
+        (None, texts[2]), (9, texts[2] + " tail"), (None, texts[3]), (None, texts[3] + " end"),
+        (7, texts[4]), (7, texts[5]), (7, texts[4] + " more"), (3, texts[5] + " b"), (None, "x " + leak), (8, f"{prose(200, 321)} {leak}"), (8, prose(40, 320)),
+    ]
+    frame = docs(rows)
+    stage = dict(corpus_pipeline.STAGES)
+    exact = corpus_pipeline.stored(stage["exact dedup"](spark, frame, SF), "stage")
+    assert exact.columns == frame.columns
+    assert of(exact, "doc_id", "text") == sorted([rows[1], rows[4], *rows[6:]], key=repr)
+    near_kept = corpus_pipeline.stored(stage["n-gram Jaccard join"](spark, exact, SF), "stage")
+    kept = of(near_kept, "doc_id", "text")
+    clear = [rows[1], rows[4], rows[7], rows[13], *rows[14:]]
+    assert all(r in kept for r in clear) and len(kept) == len(clear) + 2
+    assert sum(r in kept for r in (rows[8], rows[9])) == sum(r in kept for r in (rows[10], rows[12])) == 1
+    clean = of(stage["benchmark decontamination"](spark, near_kept, SF), "doc_id", "text")
+    assert clean == [r for r in kept if r not in (rows[14], rows[15])]
+
+
 def test_pipeline_of_odd_rows(spark, docs):
     frame = docs(ODD)
     for _, stage in corpus_pipeline.STAGES:
