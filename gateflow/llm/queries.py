@@ -17,6 +17,7 @@ from gateflow.llm.ngram_join import ngram_components
 from gateflow.llm.pii import KINDS, personal_data, written
 from gateflow.llm.quality import quality_scores
 from gateflow.llm.tables import table
+from gateflow.llm.token_files import read_tokens, token_index, write_tokens
 from gateflow.llm.toxicity import toxicity
 from gateflow.llm.warc import payload_index, read_warc, write_warc
 from gateflow.sinks.tables import scratch_path
@@ -85,6 +86,16 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(table(spark, sf_dir, "documents"))
 
 
+def op11_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "tokens")
+    write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return token_index(read_tokens(spark, path, with_ids=False))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_pii, op2_quality, op3_toxicity, op4_exact_dedup, op5_warc, op6_bpe, op7_language_id, op8_decontaminate, op9_license_scan, op10_ngram_join)
+    f.__name__: f
+    for f in (
+        op1_pii, op2_quality, op3_toxicity, op4_exact_dedup, op5_warc, op6_bpe, op7_language_id, op8_decontaminate,
+        op9_license_scan, op10_ngram_join, op11_token_output,
+    )
 }
