@@ -13,6 +13,7 @@ from gateflow.llm.decontaminate import contamination, items_digest
 from gateflow.llm.exact_dedup import DigestIndex, deduplicate
 from gateflow.llm.language_id import identify, learn
 from gateflow.llm.license_scan import scan_licences
+from gateflow.llm.merkle import manifest
 from gateflow.llm.ngram_join import ngram_components
 from gateflow.llm.pii import KINDS, personal_data, written
 from gateflow.llm.quality import quality_scores
@@ -92,10 +93,20 @@ def op11_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_index(read_tokens(spark, path, with_ids=False))
 
 
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return manifest(
+        table(spark, sf_dir, "documents"),
+        ["doc_id", "source", "lang", "n_chars", "text"],
+        F.crc32(F.col("doc_id").cast("string")) % 5 == 0,
+        {"text": F.translate("text", upper, upper.lower())},
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_pii, op2_quality, op3_toxicity, op4_exact_dedup, op5_warc, op6_bpe, op7_language_id, op8_decontaminate,
-        op9_license_scan, op10_ngram_join, op11_token_output,
+        op9_license_scan, op10_ngram_join, op11_token_output, op12_merkle,
     )
 }
