@@ -73,4 +73,84 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(least.
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN least ON least.node = d.doc_id
 """
 
-ORACLE = {"op4_exact_dedup": OP4, "op5_warc": OP5, "op8_decontaminate": OP8, "op10_ngram_join": OP10}
+#: Levels that the text below has: as many as 16**6 leaves a source and 16**3 sources need.
+_LEAF_LEVELS, _SOURCE_LEVELS = 6, 3
+
+
+def _tree(name: str, key: str, levels: int) -> str:
+    """CTEs {name}1.. of nodes above {name}0 (key, i, n, h), and {name}0s.. with the
+    siblings of each node in its run of 16."""
+    out = []
+    for k in range(levels):
+        side = lambda frame: f"coalesce(string_agg(h, '') OVER (PARTITION BY {key}, i // 16 ORDER BY i ROWS BETWEEN {frame}), '')"
+        out.append(
+            f"""{name}{k}s AS (
+  SELECT {key}, i, n, h, {side('UNBOUNDED PRECEDING AND 1 PRECEDING')} AS l, {side('1 FOLLOWING AND UNBOUNDED FOLLOWING')} AS r FROM {name}{k}
+),
+{name}{k + 1} AS (
+  SELECT {key}, i // 16 AS i, (n + 15) // 16 AS n, CASE WHEN n > 1 THEN sha256(string_agg(h, '' ORDER BY i)) ELSE min(h) END AS h
+  FROM {name}{k} GROUP BY {key}, i // 16, n
+)"""
+        )
+    return ",\n".join(out)
+
+
+def _fold(name: str, key: str, place: str, levels: int, before: str, after: str) -> str:
+    """CTEs that carry proof, digest and number of copies of each leaf up the levels."""
+    out, last = [], before
+    for k in range(levels):
+        out.append(
+            f"""{after}{k} AS (
+  SELECT f.* REPLACE (
+    CASE WHEN t.n > 1 THEN f.proof || t.l || t.r ELSE f.proof END AS proof,
+    CASE WHEN t.n > 1 THEN sha256(t.l || f.d || t.r) ELSE f.d END AS d,
+    f.c + CAST(t.n > 1 AS INT) AS c)
+  FROM {last} AS f JOIN {name}{k}s AS t ON t.{key} IS NOT DISTINCT FROM f.{key} AND t.i = f.{place} // {16**k}
+)"""
+        )
+        last = f"{after}{k}"
+    return ",\n".join(out)
+
+
+def _field(value: str) -> str:
+    text = f"CAST({value} AS VARCHAR)"
+    return f"coalesce(CAST(strlen({text}) AS VARCHAR) || ':' || {text}, '-')"
+
+
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join(map(_field, ("doc_id", "source", "lang", "n_chars", text))) + ")"
+
+
+OP12 = f"""
+WITH crc AS (
+  SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b) ORDER BY b) AS t
+  FROM (SELECT unnest(range(256)) AS b)
+),
+d AS (
+  SELECT doc_id, source, {_leaf('text')} AS leaf, CASE WHEN
+    xor(list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT)),
+      lambda c, b: xor(c >> 8, t[1 + xor(c & 255, b)]), 4294967295), 4294967295) % 5 = 0
+    THEN {_leaf("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} END AS other
+  FROM documents, crc
+),
+leaves AS (
+  SELECT doc_id, source, leaf, '' AS proof, coalesce(other, leaf) AS d, 0 AS c,
+    row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place
+  FROM d
+),
+a0 AS (SELECT source, place AS i, count(*) OVER (PARTITION BY source) AS n, leaf AS h FROM leaves),
+{_tree('a', 'source', _LEAF_LEVELS)},
+b0 AS (SELECT '' AS whole, source, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS i, count(*) OVER () AS n, h FROM a{_LEAF_LEVELS}),
+{_tree('b', 'whole', _SOURCE_LEVELS)},
+{_fold('a', 'source', 'place', _LEAF_LEVELS, 'leaves', 'up')},
+tops AS (
+  SELECT f.doc_id, f.leaf, f.proof, f.d, f.c, '' AS whole, s.i AS own, s.h AS subroot
+  FROM up{_LEAF_LEVELS - 1} AS f JOIN b0 AS s ON s.source IS NOT DISTINCT FROM f.source
+),
+{_fold('b', 'whole', 'own', _SOURCE_LEVELS, 'tops', 'top')}
+SELECT doc_id, leaf, subroot, (SELECT h FROM b{_SOURCE_LEVELS}) AS root, sha256(proof) AS proof_sha256, d AS folded_root,
+  d = (SELECT h FROM b{_SOURCE_LEVELS}) AS verified, greatest(c, 1) AS copies
+FROM top{_SOURCE_LEVELS - 1}
+"""
+
+ORACLE = {"op4_exact_dedup": OP4, "op5_warc": OP5, "op8_decontaminate": OP8, "op10_ngram_join": OP10, "op12_merkle": OP12}
