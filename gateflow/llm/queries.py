@@ -14,6 +14,7 @@ from gateflow.llm.exact_dedup import DigestIndex, deduplicate
 from gateflow.llm.language_id import identify, learn
 from gateflow.llm.license_scan import scan_licences
 from gateflow.llm.merkle import manifest
+from gateflow.llm.multi_index import hard_negatives
 from gateflow.llm.ngram_join import ngram_components
 from gateflow.llm.pii import KINDS, personal_data, written
 from gateflow.llm.quality import quality_scores
@@ -103,10 +104,15 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, moved)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_pii, op2_quality, op3_toxicity, op4_exact_dedup, op5_warc, op6_bpe, op7_language_id, op8_decontaminate,
-        op9_license_scan, op10_ngram_join, op11_token_output, op12_merkle,
+        op9_license_scan, op10_ngram_join, op11_token_output, op12_merkle, op13_hard_negatives,
     )
 }
