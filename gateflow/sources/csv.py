@@ -7,10 +7,13 @@ header. Files with different headers are different deliveries, see read_many.
 from __future__ import annotations
 
 import csv
-from collections.abc import Sequence
+import re
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from urllib.parse import unquote
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gateflow.config import DATE_WORD, SLOTS, TOTAL_WORD
@@ -24,11 +27,14 @@ from gateflow.functions.headers import (
 )
 from gateflow.functions.names import line_label
 from gateflow.functions.numbers import clean_count, row_total
+from gateflow.sinks.tables import scratch_path, write_table
 
 # order of a row within a delivery: file, start of the block, row in the block
 ORDER = ("_file", "_block", "_row")
 
 
+#: Lines whose quotes are counted together.
+STRETCH = 4096
 _BOM = "\ufeff"
 _CSV = {"quote": '"', "escape": '"'}
 
@@ -47,26 +53,99 @@ class Header:
         return distinct_names([strip_name(c, strip) for c in self.cells])
 
 
+def _header_of(lines: Sequence[str], marker: str) -> Header:
+    """Header among the first two lines that are not blank: line 0 if it holds the
+    marker word, else line 1."""
+    lines = [x.lstrip(_BOM) for x in lines]
+    if marker in lines[0] or len(lines) == 1:
+        return Header(0, lines[0], None)
+    return Header(1, lines[1], lines[0])
+
+
 def detect_header(spark: SparkSession, path: str, marker: str = DATE_WORD) -> Header:
     """Header of a delivery: line 0 if it holds the marker word, else line 1.
 
     Only the first two lines of one file reach the driver, the first by path that
     has any.
     """
-    first = []
     for file in sorted(spark.read.text(path).inputFiles()):
         first = spark.read.text(file).where(F.trim("value") != "").take(2)
         if first:
-            break
-    if not first:
-        raise ValueError(f"no header in {path}")
-    lines = [r.value.lstrip(_BOM) for r in first]
-    if marker in lines[0] or len(lines) == 1:
-        return Header(0, lines[0], None)
-    return Header(1, lines[1], lines[0])
+            return _header_of([r.value for r in first], marker)
+    raise ValueError(f"no header in {path}")
+
+
+# --- catalogue of headers ---------------------------------------------------------------
+
 
+def _plain(file: str) -> str:
+    """Name of a file with one slash after a scheme, however a listing writes it."""
+    return re.sub(r"^([a-z0-9+.-]+):/+", r"\1:/", file)
+
+
+@dataclass(frozen=True)
+class Delivered:
+    """Files that share a header and a title line, in order of their names."""
+
+    header: Header
+    files: tuple[str, ...]
+
+
+def catalogue(spark: SparkSession, paths: Sequence[str], marker: str = DATE_WORD) -> list[Delivered]:
+    """Files below the paths by their header, found in one job whatever their number.
+
+    Each task opens one file and asks for no more than it needs to see two lines. Files
+    without any line are left out. What reaches the driver is a row per header with the
+    names of its files, which the scan's own list of files holds too.
+    """
+    if not paths:
+        raise ValueError("no files")
+    probe = spark.newSession()  # settings of its own: no task gets two files
+    most = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    probe.conf.set("spark.sql.files.maxPartitionBytes", most)
+    probe.conf.set("spark.sql.files.openCostInBytes", most)
+    lines = probe.read.text(list(paths)).select("value", "_metadata.file_path", "_metadata.file_block_start")
+
+    def top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file, seen = None, []
+        for batch in batches:
+            if batch.num_rows and batch.column(2)[0].as_py() > 0:
+                break  # not the beginning of its file
+            for value, path in zip(batch.column(0), batch.column(1), strict=True):
+                if len(seen) < 2 and value.as_py().strip(" "):
+                    seen.append(value.as_py())
+                    file = path.as_py()
+            if len(seen) == 2:
+                break
+        columns = [pa.array([file] if seen else [], pa.string()), pa.array([seen] if seen else [], pa.list_(pa.string()))]
+        yield pa.RecordBatch.from_arrays(columns, names=["file", "top"])
+
+    first, second = (F.regexp_replace(F.try_element_at("top", F.lit(i)), f"^{_BOM}+", "") for i in (1, 2))
+    at_once = first.contains(marker) | second.isNull()
+    kinds = lines.mapInArrow(top, "file string, top array<string>").select(
+        "file", F.when(at_once, first).otherwise(second).alias("text"), F.when(~at_once, first).alias("title")
+    )
+    found = kinds.groupBy("text", "title").agg(F.sort_array(F.collect_list("file")).alias("files")).collect()
+    groups = [Delivered(Header(int(r["title"] is not None), r["text"], r["title"]), tuple(r["files"])) for r in found]
+    return sorted(groups, key=lambda g: g.files)
 
-def _data_lines(header: Header, marker: str, path: str, strict: bool) -> Column:
+
+def delivered(spark: SparkSession, paths: Sequence[str], marker: str = DATE_WORD) -> list[tuple[str, Delivered]]:
+    """(path, files of it that share a header) of several paths; headers from one job."""
+    header_of = {_plain(f): g.header for g in catalogue(spark, paths, marker) for f in g.files}
+    out = []
+    for path in sorted(paths):
+        by_header: dict[Header, list[str]] = {}
+        for file in sorted(unquote(f) for f in spark.read.text(path).inputFiles()):
+            if (header := header_of.get(_plain(file))) is not None:
+                by_header.setdefault(header, []).append(file)
+        if not by_header:
+            raise ValueError(f"no header in {path}")
+        out += [(path, Delivered(h, tuple(files))) for h, files in by_header.items()]
+    return out
+
+
+def _data_lines(header: Header, marker: str, path: str, strict: bool, multi_line: bool) -> Column:
     """Condition on the text line: neither blank, header nor title."""
     value = F.col("value")
     tops = [t for t in (header.text, header.title) if t is not None]
@@ -77,7 +156,7 @@ def _data_lines(header: Header, marker: str, path: str, strict: bool) -> Column:
         shared = row_total([value.contains(c).cast("int") for c in cells])
         other = F.raise_error(F.lit(f"files below {path} differ in their header"))
         keep = keep.when(value.contains(marker) & (shared * 2 >= len(cells)), other.cast("boolean"))
-    if strict:
+    if strict and not multi_line:
         quotes = F.length(value) - F.length(F.replace(value, F.lit('"'), F.lit("")))
         broken = F.raise_error(F.lit(f"a quoted cell below {path} has a line break: read with multi_line"))
         keep = keep.when(quotes % 2 == 1, broken.cast("boolean"))
@@ -95,21 +174,46 @@ def _ordered(df: DataFrame, with_order: bool) -> DataFrame:
     )
 
 
-def _multi_line(spark: SparkSession, path: str, header: Header, schema: str, with_order: bool) -> DataFrame:
-    """Cells of a delivery with line breaks in quoted cells; a file is one task.
+def whole_records(lines: DataFrame, stretch: int = STRETCH) -> DataFrame:
+    """Lines (value and ORDER) as records: a quoted cell that goes on in the next lines
+    is one value again. Files stay splittable.
 
-    Rows that repeat the header or title line are left out by their cells.
+    A line that has an odd number of quotes opens or closes a cell. Their numbers are
+    counted per stretch of lines, summed over the stretches of a file block and over the
+    blocks of a file; so each stretch knows how many stand before it, and whether it
+    begins inside a cell. Stretches without such a line, outside a cell, are passed on
+    where they were read. Only the others are sorted, and of those lines the ones of a
+    cell come together under the number of the cell in its file.
     """
-    df = _ordered(spark.read.csv(path, f"{schema}, _bad string", multiLine=True, mode="PERMISSIVE",
-                                 columnNameOfCorruptRecord="_bad", **_CSV), with_order)
-    cells = [c for c in df.columns if c not in ORDER and c != "_bad"]
-    read = F.struct(*[F.coalesce(F.regexp_replace(c, f"^{_BOM}", ""), F.lit("")).alias(c) for c in cells])
-    keep = F.lit(True)
-    for top in (header.cells, next(csv.reader([header.title])) if header.title is not None else None):
-        if top is not None:
-            line = (top + [""] * len(cells))[: len(cells)]
-            keep = keep & (read != F.struct(*[F.lit(x).alias(c) for x, c in zip(line, cells, strict=True)]))
-    return df.where(keep).drop("_bad")
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    lines = lines.withColumns({"_odd": quotes % 2, "_stretch": F.floor(F.col("_row") / stretch)})
+    block, at = ["_file", "_block"], ["_file", "_block", "_stretch"]
+    counts = lines.groupBy(*at).agg(F.sum("_odd").alias("_n"))
+    before = lambda part, order: Window.partitionBy(*part).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    all_in = Window.partitionBy("_file")
+    open_end = F.raise_error(F.concat(F.lit("a quoted cell is never closed in "), "_file")).cast("bigint")
+    blocks = counts.groupBy(*block).agg(F.sum("_n").alias("_sum")).select(
+        *block,
+        F.when(F.sum("_sum").over(all_in) % 2 == 1, open_end)
+        .otherwise(F.coalesce(F.sum("_sum").over(before(["_file"], "_block")), F.lit(0))).alias("_of_block"),
+    )
+    within = F.coalesce(F.sum("_n").over(before(block, "_stretch")), F.lit(0))
+    based = counts.withColumn("_within", within).join(blocks, block).withColumn("_base", F.col("_within") + F.col("_of_block"))
+    touched = based.where((F.col("_n") > 0) | (F.col("_base") % 2 == 1)).select(*at, "_base")
+    # written, so that its size is known when lines are joined to it
+    touched = write_table(touched, scratch_path(lines.sparkSession, "quoted-stretches"))
+    alone = lines.join(touched, at, "left_anti").select("value", *ORDER)
+    told = F.col("_base") + F.coalesce(F.sum("_odd").over(before(at, "_row")), F.lit(0))
+    marked = lines.join(touched, at).withColumn("_before", told)
+    inside = (F.col("_before") % 2 == 1) | (F.col("_odd") == 1)
+    cell = F.when(inside, F.floor(F.col("_before") / 2))
+    one = F.when(~inside, F.col("_row"))
+    parts = F.sort_array(F.collect_list(F.struct("_block", "_row", "value")))
+    joined = marked.groupBy("_file", cell.alias("_cell"), one.alias("_one")).agg(parts.alias("_parts")).select(
+        F.array_join("_parts.value", "\n").alias("value"), "_file", F.col("_parts")[0]["_block"].alias("_block"), F.col("_parts")[0]["_row"].alias("_row")
+    )
+    records = alone.unionByName(joined)
+    return records.withColumn("value", F.regexp_replace("value", "\r$", ""))
 
 
 def read_wide_csv(
@@ -125,27 +229,47 @@ def read_wide_csv(
 
     Every file of the delivery may start with the header. With strict, a file
     with another header stops the read instead of being stacked by position, and
-    so does a quoted cell that goes on in the next line; multi_line reads those.
+    so does a quoted cell that goes on in the next line; multi_line reads those, with
+    two more scans of the lines, and files stay splittable.
     Lines are filtered as text and then parsed: a condition over all the cells
     would be a constraint that the optimizer rewrites for each renamed column.
     """
-    header = detect_header(spark, path, marker)
+    return _read(spark, path, detect_header(spark, path, marker), strip, marker, with_order, strict, multi_line)
+
+
+def _read(
+    spark: SparkSession,
+    files: str | Sequence[str],
+    header: Header,
+    strip: str = "ends",
+    marker: str = DATE_WORD,
+    with_order: bool = False,
+    strict: bool = True,
+    multi_line: bool = False,
+) -> DataFrame:
+    """One scan of files whose header is known."""
     names = header.names(strip)
     places = [f"c{i}" for i in range(len(names))]
     schema = ", ".join(f"{p} string" for p in places)
     order = ORDER if with_order else ()
+    files = files if isinstance(files, str) else list(files)
     if multi_line:
-        rows = _multi_line(spark, path, header, schema, with_order)
-        return rows.select(*[F.col(p).alias(n) for p, n in zip(places, names)], *order)
-    lines = _ordered(spark.read.text(path), with_order)
-    cells = F.from_csv("value", schema, _CSV)
+        lines = whole_records(_ordered(spark.read.text(files, lineSep="\n"), True), STRETCH)
+    else:
+        lines = _ordered(spark.read.text(files), with_order)
+    cells = F.from_csv("value", schema, {**_CSV, "multiLine": str(multi_line).lower()})
     return (
-        lines.where(_data_lines(header, marker, path, strict))
+        lines.where(_data_lines(header, marker, str(files), strict, multi_line))
         .select(cells.alias("_cells"), *order)
         .select(*[F.col(f"_cells.{p}").alias(n) for p, n in zip(places, names)], *order)
     )
 
 
+def read_delivered(spark: SparkSession, group: Delivered, strip: str = "ends", marker: str = DATE_WORD, **how) -> DataFrame:
+    """One scan of all files that share a header; options as in read_wide_csv."""
+    return _read(spark, group.files, group.header, strip, marker, **how)
+
+
 def read_many(
     spark: SparkSession,
     paths: Sequence[str],
@@ -153,13 +277,14 @@ def read_many(
     marker: str = DATE_WORD,
     with_order: bool = False,
 ) -> DataFrame:
-    """Deliveries sorted by name and stacked by column name; absent columns are null."""
-    if not paths:
-        raise ValueError("no files")
+    """Files below the paths stacked by column name, those of the first by name first;
+    absent columns are null. One job finds all headers, and each header is one scan."""
     out = None
-    for path in sorted(paths):
-        df = read_wide_csv(spark, path, strip, marker, with_order)
+    for group in catalogue(spark, paths, marker):
+        df = read_delivered(spark, group, strip, marker, with_order=with_order)
         out = df if out is None else out.unionByName(df, allowMissingColumns=True)
+    if out is None:
+        raise ValueError(f"no header below {list(paths)}")
     return out
 
 
@@ -265,9 +390,8 @@ def ingest_many(
 ) -> DataFrame:
     """Several deliveries of one direction; each is aligned by its own header."""
     out = None
-    for path in sorted(paths):
-        df = read_wide_csv(spark, path)
-        wide = ingest_wide(df, word, (columns or {}).get(path), canonical)
+    for path, group in delivered(spark, paths):
+        wide = ingest_wide(read_delivered(spark, group), word, (columns or {}).get(path), canonical)
         out = wide if out is None else out.unionByName(wide)
     return out
 

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from conftest import plan_of
 from pyspark.sql import functions as F
@@ -128,3 +130,64 @@ def test_raw_layer_reads_a_delivery_once(spark, folder):
     paths = [folder("a", text), folder("b", text)]
     plan = plan_of(raw_from_files(spark, paths, {p: "구분" for p in paths}))
     assert plan.count("FileScan text") == 2
+
+
+def test_split_and_whole_reads_of_quoted_line_breaks_are_equal(spark, folder):
+    pick = random.Random(5)
+    pieces = ["a", "b c", "\n", "\r\n", '""', ",", "\n\n", "역", "x" * 30]
+    cell = lambda: '"' + "".join(pick.choice(pieces) for _ in range(pick.randint(0, 6))) + '"' if pick.random() < 0.4 else pick.choice(["1", "k", "", "긴 이름"])
+    files = []
+    for _ in range(3):
+        body = [f"{i}," + ",".join(cell() for _ in range(3)) for i in range(pick.randint(0, 120))]
+        files.append("\n".join(["날짜,p,q,r", *body]) + "\n")
+    path = folder("a", *files)
+    whole = spark.read.csv(path, "`날짜` string, p string, q string, r string", header=True, multiLine=True, quote='"', escape='"')
+    want = sorted(tuple(x or "" for x in r) for r in whole.collect())
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for most, stretch in (("96", 3), ("700", 8), ("128m", 4096)):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", most)
+            csv.STRETCH = stretch
+            df = csv.read_wide_csv(spark, path, multi_line=True, with_order=True)
+            assert sorted(tuple(r[c] or "" for c in ("날짜", "p", "q", "r")) for r in df.collect()) == want
+            ordered = [r["날짜"] for r in df.orderBy(*csv.ORDER).collect()]
+            assert sorted(ordered) == sorted(r[0] for r in want)
+            lines = spark.read.text(path, lineSep="\n")
+            assert (lines.rdd.getNumPartitions() > 3) == (most != "128m")  # several tasks a file
+        assert "SortMergeJoin" not in plan_of(csv.read_wide_csv(spark, path, multi_line=True))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+        csv.STRETCH = 4096
+
+
+def test_cell_over_several_blocks_and_never_closed(spark, folder):
+    long = "\n".join(f"line {i}" for i in range(60))
+    path = folder("a", f'날짜,p\n1,"{long}"\n2,x\n')
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "64")
+        got = csv.read_wide_csv(spark, path, multi_line=True)
+        assert sorted((r["날짜"], r["p"]) for r in got.collect()) == [("1", long), ("2", "x")]
+        with pytest.raises(Exception, match="never closed"):
+            csv.read_wide_csv(spark, folder("b", '날짜,p\n1,"open\n2,x\n'), multi_line=True).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+
+
+def test_headers_of_many_files_are_found_in_one_job(spark, folder):
+    heads = ["날짜,역번호", "역번호, 날짜 ,공휴일구분", "날짜,역번호,호선"]
+    rows = ["2019-01-02,1", "1,2019-01-02,휴일", "2019-01-02,1,2호선"]
+    texts = [("제목\n" if i % 6 == 1 else "") + heads[i % 3] + "\n" + "\n".join([rows[i % 3]] * (i % 5)) + "\n" for i in range(50)]
+    path = folder("a", *texts, "", "\n \n")
+    spark.sparkContext.setJobGroup("headers", "headers")
+    try:
+        df = csv.read_many(spark, [path], with_order=True)
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("headers"))
+    finally:
+        spark.sparkContext.setJobGroup("tests", "tests")
+    assert jobs <= 3  # one action; adaptive execution runs its stages as jobs
+    assert plan_of(df).count("FileScan text") == 4  # one header also stands below a title
+    assert df.count() == sum(i % 5 for i in range(50))
+    assert [g.header.line for g in csv.catalogue(spark, [path])].count(1) == 1
+    assert sum(len(g.files) for g in csv.catalogue(spark, [path])) == 50
+    assert df.where("`날짜` = '2019-01-02' and `역번호` = '1'").count() == df.count()
