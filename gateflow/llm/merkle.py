@@ -148,7 +148,8 @@ def _arrow(ddl: str) -> pa.Schema:
 
 def risen(nodes: DataFrame, round_: int) -> DataFrame:
     """All nodes that a round makes of nodes (tree, index, n, digest): the same columns
-    and `level` within the tree, and whether the node goes on as its block's `top`."""
+    and `level` within the tree, and whether the node goes on as its block's `top`. A
+    tree that is done goes on as it is, at level -1."""
     out = f"{_NODE}, level int, top int"
     schema = _arrow(out)
 
@@ -160,7 +161,7 @@ def risen(nodes: DataFrame, round_: int) -> DataFrame:
                 for k, level in enumerate(levels):
                     at, last = block * SPAN // WIDTH**k, k == len(levels) - 1
                     for i, d in enumerate(level if k or last else ()):
-                        yield tree, block if last else at + i, -(-n // SPAN), d.decode(), 2 * round_ + k, int(last)
+                        yield tree, block if last else at + i, -(-n // SPAN), d.decode(), 2 * round_ + k if k else -1, int(last)
 
         return _frames(made(), schema)
 
@@ -195,7 +196,7 @@ class Tree:
         for up in self.made:
             own = up.where("level > 0").select("tree", "level", "index", "digest")
             out = own if out is None else out.unionByName(own)
-        return out.distinct()  # a root that is done early goes on through later rounds
+        return out
 
     def down(self, tops: DataFrame, made: Callable[[Block, int, tuple, list], tuple], out: str, extra: Sequence[str]) -> DataFrame:
         """`made(block, place, leaf, top)` for each leaf, with the siblings up to the root.

@@ -38,8 +38,10 @@ from gateflow.llm.running import sums_before
 from gateflow.llm.tables import stored
 from gateflow.llm.words import buffers, slices
 
+#: Ids from which a frame is closed, frames a file, bytes of texts turned into ids at once.
 FRAME_IDS = 1 << 19
 FRAMES_A_FILE = 16
+SLICE = 2 << 20
 #: Fixed values of the file format.
 MAGIC, END = b"S8BFRAME", "S8BENDF\n"
 NO_ID = 1 << 63
@@ -224,7 +226,7 @@ def write_tokens(
             [pa.array([frame(own, np.concatenate(lengths), np.concatenate(ids))], pa.binary())], names=["frame"]
         )
         for batch in batches:
-            for i, j in slices(batch.column(1), 2 << 20):
+            for i, j in slices(batch.column(1), SLICE):
                 coded, n = coder(content)(batch.column(1).slice(i, j - i))
                 if end_id is not None:
                     coded, n = np.insert(coded, np.cumsum(n), end_id), n + 1
