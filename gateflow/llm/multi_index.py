@@ -11,8 +11,9 @@ cells until they hold FIRST_ROWS rows and gives each window a floor, its last wa
 score so far. A second wave goes on from there and stops at the first sum below all
 floors: no row of any later cell can be among those asked for, so results are exact.
 
-Cells with many rows are several blocks; queries travel in chunks; a task scores a chunk
-against a block as one matrix product. Codebooks are learned from SAMPLE rows at most,
+Cells in a row, of SHELF_ROWS rows or one larger cell, stand on a shelf, whose rows are
+dealt over blocks. Queries travel in chunks, each with the cells it visits, once to every
+shelf; a task scores a chunk against a block as one matrix product. Codebooks are learned from SAMPLE rows at most,
 those with the smallest digests of their row number; every row is indexed. What is
 broadcast has a size by the codebooks alone: CODEWORDS squared cells at most.
 Scores are exact: products in floating point where no sum can pass 2**53, else in whole
@@ -42,7 +43,7 @@ from gateflow.llm.tables import stored
 
 #: Rows a cell should have, codewords of a half at most, rows the codebooks see at most.
 CELL_ROWS, CODEWORDS, SAMPLE, STEPS = 64, 128, 16_384, 8
-FIRST_ROWS, BLOCK_ROWS, CHUNK = 2048, 512, 256
+FIRST_ROWS, SHELF_ROWS, BLOCK_ROWS, CHUNK = 2048, 4096, 1024, 256
 LEAST, MOST = -(2**62), 2**62
 
 
@@ -75,6 +76,16 @@ class Cells:
     counts: np.ndarray
     radii: tuple[np.ndarray, np.ndarray]
 
+    def shelves(self, rows: int) -> np.ndarray:
+        """Shelf of each cell: neighbours share one until it has `rows` rows."""
+        shelf, held, out = 0, 0, []
+        for n in self.counts.ravel().tolist():
+            if held and held + n > rows:
+                shelf, held = shelf + 1, 0
+            out.append(shelf)
+            held += n
+        return np.array(out, np.int64)
+
     def half_bounds(self, queries: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Per half: score of each codeword, length of each query, and the bound, which
         has some room for the errors of floating point."""
@@ -132,8 +143,8 @@ def best(scores: np.ndarray, usable: np.ndarray, k: int) -> np.ndarray:
     return usable & (held >= last[:, None])
 
 
-def _matrix(data: list[bytes], dim: int) -> np.ndarray:
-    return np.frombuffer(b"".join(data), "<i8").reshape(len(data), dim)
+def _matrix(data: list[bytes], dim: int, kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(data), kind).reshape(len(data), dim)
 
 
 def _batch(columns: list, schema: pa.Schema) -> pa.RecordBatch:
@@ -161,8 +172,10 @@ class MultiIndex:
         self.spark = rows.sparkSession
         facts = rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("dim"), F.max(F.array_max(F.transform("v", F.abs))).alias("most")).first()
         self.n, self.dim = facts["n"], facts["dim"] or 0
-        self.exact = self.dim * (facts["most"] or 0) ** 2 < 2**53
-        dim = self.dim
+        most = facts["most"] or 0
+        self.exact = self.dim * most**2 < 2**53
+        self.kind = "<i2" if most < 2**15 else "<i4" if most < 2**31 else "<i8"
+        dim, kind = self.dim, self.kind
         padded = pa.schema([("row", pa.int64()), ("id", pa.int64()), ("label", pa.int64()), ("v", pa.binary())])
 
         def pad(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,13 +183,13 @@ class MultiIndex:
                 lists = batch.column(3)
                 sizes = np.diff(lists.offsets.to_numpy())
                 flat = lists.flatten().to_numpy(zero_copy_only=False)
-                table = np.zeros((len(sizes), dim), "<i8")
+                table = np.zeros((len(sizes), dim), kind)
                 table[np.repeat(np.arange(len(sizes)), sizes), np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = flat
                 yield _batch([*batch.columns[:3], [r.tobytes() for r in table]], padded)
 
         self.rows = stored(rows.select("row", "id", "label", "v").mapInArrow(pad, "row long, id long, label long, v binary"), "vectors")
         sample = self.rows.orderBy(F.xxhash64("row"), "row").limit(SAMPLE).select("v").collect()  # SAMPLE vectors at most
-        self.cells = self._learned(_matrix([r["v"] for r in sample], dim).astype(float))
+        self.cells = self._learned(_matrix([r["v"] for r in sample], dim, kind).astype(float))
         self.blocks = self._filed()
 
     def _learned(self, points: np.ndarray) -> Cells:
@@ -187,83 +200,96 @@ class MultiIndex:
         return Cells(words, np.zeros(shape, np.int64), (np.zeros(shape), np.zeros(shape)))
 
     def _filed(self) -> DataFrame:
-        """(cell, rows, ids, none, labels, vectors) of blocks of at most BLOCK_ROWS rows
-        of a cell; counts and radii of the cells on the way."""
-        words, dim = self.cells.words, self.dim
+        """(shelf, rows, ids, none, labels, vectors, cells) of blocks of about BLOCK_ROWS
+        rows of a shelf; counts and radii of the cells on the way."""
+        words, dim, kind = self.cells.words, self.dim, self.kind
         told = pa.schema([("cell", pa.int64()), ("far1", pa.float64()), ("far2", pa.float64()), ("row", pa.int64()), ("id", pa.int64()), ("label", pa.int64()), ("v", pa.binary())])
 
         def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                points = _matrix(batch.column(3).to_pylist(), dim).astype(float)
+                points = _matrix(batch.column(3).to_pylist(), dim, kind).astype(float)
                 halves = points[:, : dim // 2], points[:, dim // 2 :]
                 own = [nearest_word(p, w) for p, w in zip(halves, words, strict=True)]
                 far = [distances(p, w, o) for p, w, o in zip(halves, words, own, strict=True)]
                 yield _batch([own[0] * len(words[1]) + own[1], *far, *batch.columns], told)
 
         filed = stored(self.rows.mapInArrow(assign, "cell long, far1 double, far2 double, row long, id long, label long, v binary"), "cells")
-        sizes = stored(filed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("far1").alias("far1"), F.max("far2").alias("far2")), "cell-sizes")
+        sizes = filed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("far1").alias("far1"), F.max("far2").alias("far2"))
         for r in sizes.collect():  # a row per cell, CODEWORDS squared at most
             at = divmod(r["cell"], len(words[1]))
             self.cells.counts[at], self.cells.radii[0][at], self.cells.radii[1][at] = r["n"], r["far1"], r["far2"]
-        # rows of a large cell are dealt over its blocks by their number
-        blocks = F.ceil(F.col("n") / BLOCK_ROWS)
-        dealt = filed.join(F.broadcast(sizes.select("cell", "n")), "cell")
-        dealt = dealt.select("cell", F.pmod(F.xxhash64("row"), blocks).alias("block"), "row", "id", "label", "v")
-        packed = pa.schema([("cell", pa.int64()), *((c, pa.binary()) for c in ("rows", "ids", "none", "labels", "vectors"))])
+        shelves = self.cells.shelves(SHELF_ROWS)
+        blocks = -(-np.bincount(shelves, weights=self.cells.counts.ravel()).astype(int) // BLOCK_ROWS)
+        places = [(c, int(s), int(blocks[s])) for c, s in enumerate(shelves.tolist())]
+        placed = F.broadcast(self.spark.createDataFrame(places, "cell long, shelf long, blocks long"))  # a row per cell
+        # rows of a shelf are dealt over its blocks by their number, so a large cell is many blocks
+        block = F.pmod(F.xxhash64("row"), "blocks").alias("block")
+        dealt = filed.join(placed, "cell").select("shelf", block, "row", "id", "label", "v", "cell")
+        names = ("rows", "ids", "none", "labels", "vectors", "cells")
+        packed = pa.schema([("shelf", pa.int64()), *((c, pa.binary()) for c in names)])
 
         def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for (cell, _), group in _groups(batches, 2, BLOCK_ROWS):
-                _, _, rows, ids, labels, vectors = zip(*group, strict=True)
-                numbers = [np.array(x, "<i8").tobytes() for x in (rows, [i or 0 for i in ids])]
+            for (shelf, _), group in _groups(batches, 2, BLOCK_ROWS):
+                _, _, rows, ids, labels, vectors, cells = zip(*group, strict=True)
+                number = lambda x: np.array(x, "<i8").tobytes()
                 none = np.array([i is None for i in ids], np.uint8).tobytes()
-                yield _batch([[x] for x in (cell, *numbers, none, np.array(labels, "<i8").tobytes(), b"".join(vectors))], packed)
+                columns = number(rows), number([i or 0 for i in ids]), none, number(labels), b"".join(vectors), number(cells)
+                yield _batch([[shelf], *([c] for c in columns)], packed)
 
-        sorted_ = dealt.repartition("cell", "block").sortWithinPartitions("cell", "block", "row")
-        return stored(sorted_.mapInArrow(pack, "cell long, rows binary, ids binary, none binary, labels binary, vectors binary"), "index")
+        sorted_ = dealt.repartition("shelf", "block").sortWithinPartitions("shelf", "block", "row")
+        return stored(sorted_.mapInArrow(pack, "shelf long, " + ", ".join(f"{c} binary" for c in names)), "index")
 
     def _planned(self, queries: DataFrame, chunks: int, windows: int, first: bool) -> DataFrame:
-        """(cell, queries of a chunk that visit it): rows, labels, vectors, windows."""
-        cells, dim = self.spark.sparkContext.broadcast(self.cells), self.dim  # CODEWORDS squared cells
-        names = ("q_rows", "q_labels", "q_vectors", "q_low", "q_high")
-        schema = pa.schema([("cell", pa.int64()), *((c, pa.binary()) for c in names)])
+        """(shelf, from, queries of a chunk that visit it): rows, labels, vectors, windows,
+        and which cells each visits, counted from the shelf's first."""
+        dim, kind = self.dim, self.kind
+        cells = self.spark.sparkContext.broadcast((self.cells, self.cells.shelves(SHELF_ROWS)))  # CODEWORDS squared cells
+        names = ("q_rows", "q_labels", "q_vectors", "q_low", "q_high", "q_cells")
+        schema = pa.schema([("shelf", pa.int64()), ("from", pa.int64()), *((c, pa.binary()) for c in names)])
 
         def plan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known, shelf_of = cells.value
+            starts = np.searchsorted(shelf_of, np.arange(shelf_of[-1] + 2))
             for _, group in _groups(batches, 1, 2 * CHUNK):
                 _, rows, labels, vectors, low, high = zip(*group, strict=True)
                 pad = lambda lists, rest: np.array([[*x, *[rest] * (windows - len(x))] for x in lists], np.int64)
-                table, low, high = _matrix(vectors, dim), pad(low, MOST), pad(high, LEAST)
+                table, low, high = _matrix(vectors, dim, kind), pad(low, MOST), pad(high, LEAST)
                 rows, labels = np.array(rows, np.int64), np.array(labels, np.int64)
                 floors, ceilings = (None, None) if first else (low.min(axis=1), high.max(axis=1))
-                by_cell: dict[int, list[int]] = {}
-                for q, found in enumerate(cells.value.visits(table.astype(float), floors, ceilings)):
-                    for cell in found:
-                        by_cell.setdefault(cell, []).append(q)
-                for cell, own in by_cell.items():
-                    yield _batch([[cell], *([x[own].tobytes()] for x in (rows, labels, table, low, high))], schema)
+                visited = np.zeros((len(rows), len(shelf_of)), bool)
+                for q, found in enumerate(known.visits(table.astype(float), floors, ceilings)):
+                    visited[q, found] = True
+                for shelf, (lo, hi) in enumerate(zip(starts.tolist(), starts[1:].tolist(), strict=False)):
+                    own = np.flatnonzero(visited[:, lo:hi].any(axis=1))
+                    if len(own):
+                        bits = np.packbits(visited[own, lo:hi], axis=1).tobytes()
+                        yield _batch([[shelf], [lo], *([x[own].tobytes()] for x in (rows, labels, table, low, high)), [bits]], schema)
 
         chunk = F.pmod(F.xxhash64("row"), F.lit(chunks))
         asked = queries.select(chunk.alias("chunk"), "row", "label", "v", "low", "high")
         dealt = asked.repartition("chunk").sortWithinPartitions("chunk", "row")
-        return dealt.mapInArrow(plan, "cell long, " + ", ".join(f"{c} binary" for c in names))
+        return dealt.mapInArrow(plan, "shelf long, from long, " + ", ".join(f"{c} binary" for c in names))
 
     def _scored(self, queries: DataFrame, chunks: int, windows: int, k: int, same: bool, first: bool) -> DataFrame:
         """(query, window, score, id, row): best rows of each visited block."""
-        dim, exact = self.dim, self.exact
+        dim, kind, exact = self.dim, self.kind, self.exact
         visits = stored(self._planned(queries, chunks, windows, first), "visits")
         schema = pa.schema([(c, pa.int64()) for c in ("query", "window", "score", "id", "row")])
 
         def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for at in range(batch.num_rows):
-                    own = {name: batch.column(name)[at].as_buffer() for name in batch.schema.names if name != "cell"}
+                    own = {name: batch.column(name)[at].as_buffer() for name in batch.schema.names if name not in ("shelf", "from")}
                     number = lambda name: np.frombuffer(own[name], "<i8")
                     q_rows, rows, ids = number("q_rows"), number("rows"), number("ids")
                     none = np.frombuffer(own["none"], np.uint8)
+                    visited = np.unpackbits(np.frombuffer(own["q_cells"], np.uint8).reshape(len(q_rows), -1), axis=1)
+                    seen = visited[:, number("cells") - batch.column("from")[at].as_py()] > 0
                     low, high = (number(c).reshape(len(q_rows), windows) for c in ("q_low", "q_high"))
-                    kind = np.float64 if exact else object
-                    left, right = (number(c).reshape(n, dim).astype(kind) for c, n in (("q_vectors", len(q_rows)), ("vectors", len(rows))))
+                    exactly = np.float64 if exact else object
+                    left, right = (np.frombuffer(own[c], kind).reshape(n, dim).astype(exactly) for c, n in (("q_vectors", len(q_rows)), ("vectors", len(rows))))
                     scores = (left @ right.T).astype(np.int64)
-                    usable = ((number("q_labels")[:, None] == number("labels")) == same) & (q_rows[:, None] != rows)
+                    usable = seen & ((number("q_labels")[:, None] == number("labels")) == same) & (q_rows[:, None] != rows)
                     for w in range(windows):
                         here = usable & (scores >= low[:, w, None]) & (scores <= high[:, w, None])
                         q, r = np.nonzero(best(scores, here, k))
@@ -271,7 +297,7 @@ class MultiIndex:
                             told = pa.array(ids[r], mask=none[r] > 0)
                             yield _batch([q_rows[q], np.full(len(q), w), scores[q, r], told, rows[r]], schema)
 
-        return visits.join(self.blocks, "cell").mapInArrow(score, "query long, window long, score long, id long, row long")
+        return visits.join(self.blocks, "shelf").mapInArrow(score, "query long, window long, score long, id long, row long")
 
     def search(self, queries: DataFrame, asks: DataFrame, n: int, windows: int, k: int, same: bool) -> DataFrame:
         """The k best rows of each window, exactly: (query, window, score, id, row, rank).
