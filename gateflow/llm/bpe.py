@@ -34,7 +34,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gateflow.llm.tables import stored
+from gateflow.llm.tables import prepared, stored
 
 #: Characters of a leaf, and tokens on each side of a window at first.
 LEAF = 1 << 14
@@ -260,6 +260,7 @@ def bpe(
     are, so neither ids nor decoded texts are moved.
     """
     spark = docs.sparkSession
+    prepared(spark)
     with open(vocabulary_path, encoding="utf-8") as f:
         content = spark.sparkContext.broadcast(f.read())  # one vocabulary file, a few MB
     out = _DIGEST if digests else _CODED

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gateflow.llm.fm_index import FMIndex
-from gateflow.llm.tables import numbered
+from gateflow.llm.tables import numbered, prepared
 from gateflow.llm.words import ALNUM, slices, word_digests
 
 WINDOW = 10
@@ -184,6 +184,7 @@ def contamination(
 ) -> DataFrame:
     """One row per row of `docs`: id, n_words, spans (merged, of words), n_hit,
     item_ids (sorted as strings, distinct), n_items, contaminated."""
+    prepared(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
     blocks = _blocks(items, item_id, item_text, block_bytes)
     first, second = next(blocks, []), next(blocks, None)

@@ -26,6 +26,8 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gateflow.llm.tables import prepared
+
 UNDETERMINED = "und"
 #: Sample per language: documents, and characters of each; languages at most, and
 #: characters of all samples together, which bounds the tables.
@@ -175,6 +177,7 @@ def identify(docs: DataFrame, samples: dict[str, str], doc_id: str = "doc_id", t
     """One row per row of `docs`: id, lang_pred, score (0 to 1: how much fewer bits
     the winner needs than the next) and its bits per character."""
     given = docs.sparkSession.sparkContext.broadcast(samples)  # bounded by the sample's parameters
+    prepared(docs.sparkSession)
     names = [doc_id, "lang_pred", "score", "bits"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gateflow.llm.tables import prepared
+
 #: Fixed phrases and labels of the base rule.
 BASE = {
     "under the mit license": "mit",
@@ -197,6 +199,7 @@ def scan_licences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     """One row per row of `docs`: id, counts, places, labels, `score` (weight of the
     strongest evidence), `freedom` (of the strictest licence found, null without
     any) and the tagged expressions."""
+    prepared(docs.sparkSession)
     schema = f"{doc_id} long, {SCHEMA}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from gateflow.llm.components import components
 from gateflow.llm.shingles import WIDTH, bitmap, folded, linked, set_digest, shingle_sets
-from gateflow.llm.tables import stored
+from gateflow.llm.tables import prepared, stored
 
 PERCENT = 75
 #: Frequent shingles: seen so often among this many shingles of one task, and so
@@ -448,6 +448,7 @@ def ngram_components(
 ) -> DataFrame:
     """One row per row of `docs`: id, n_shingles, component_id (the smallest id that
     links reach)."""
+    prepared(docs.sparkSession)
     docs = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
     profiles = stored(nodes_of(docs, width), "ngram-profiles")
     sets = profiles.where("sid is not null")

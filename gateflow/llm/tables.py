@@ -14,13 +14,29 @@ from gateflow.sinks.tables import scratch_path
 _HOME = str(Path(__file__).resolve().parents[2])
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the folder. Python workers on this machine will find the package
-    from whatever folder the job was started; a cluster gets it with --py-files."""
+def prepared(spark: SparkSession) -> None:
+    """Let Python workers on this machine find the package from whatever folder the job
+    was started; a cluster gets it with --py-files."""
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if _HOME not in paths:
         env["PYTHONPATH"] = os.pathsep.join([*paths, _HOME])
+
+
+#: Bytes of rows that Python gets at a time from here on, unless the session says
+#: otherwise: numbers about whole texts take several times the texts' size.
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", "8m"
+
+
+def in_small_batches(spark: SparkSession) -> None:
+    prepared(spark)
+    if spark.conf.get(BATCH[0], None) is None:
+        spark.conf.set(*BATCH)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the folder."""
+    prepared(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -28,6 +44,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Write a frame to the shared folder and read it back: lineage ends here, and
     a lost executor costs no more than the tasks after the write."""
     spark = df.sparkSession
+    prepared(spark)
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -35,7 +35,7 @@ from tokenizers import Tokenizer
 
 from gateflow.llm import simple8b
 from gateflow.llm.running import sums_before
-from gateflow.llm.tables import stored
+from gateflow.llm.tables import prepared, stored
 from gateflow.llm.words import buffers, slices
 
 #: Ids from which a frame is closed, frames a file, bytes of texts turned into ids at once.
@@ -210,6 +210,7 @@ def write_tokens(
 ) -> None:
     """Write the token ids of all documents below `path`, `end_id` after each."""
     spark = docs.sparkSession
+    prepared(spark)
     with open(tokenizer_path, encoding="utf-8") as f:
         content = spark.sparkContext.broadcast(f.read())  # one tokenizer file, a few MB
     rows = docs.select(
@@ -266,6 +267,7 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = True) -> DataFr
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
                     seq, before = seq + n, before + int(ends[-1])
 
+    prepared(spark)
     name = F.element_at(F.split("path", "/"), -1)
     number = lambda pattern: F.regexp_extract(name, pattern, 1).cast("long")
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)

@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gateflow.llm.tables import stored
+from gateflow.llm.tables import prepared, stored
 
 LEAST = 100
 ARCHIVE_BYTES = 24 << 20
@@ -147,6 +147,7 @@ def write_warc(
     archive_bytes: int = ARCHIVE_BYTES,
 ) -> None:
     """Write archives below `path`, each of about `archive_bytes` of records."""
+    prepared(pages.sparkSession)
     payload: Column = F.coalesce(F.col(html).cast("string"), F.lit(""))
     rows = pages.select(
         F.col(page_id).cast("long").alias("page_id"),
@@ -189,6 +190,7 @@ def write_warc(
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """(page_id, url, record_type, refers_to, digest, payload) per record."""
+    prepared(spark)
     schema = "page_id long, url string, record_type string, refers_to long, digest string, payload binary"
     out = pa.schema(
         [("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("digest", pa.string()), ("payload", pa.binary())]
