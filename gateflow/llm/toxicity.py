@@ -8,8 +8,11 @@ model learns how far they can be trusted on new text. For scoring, models fitted
 on all sampled rows are chained. Models are lasso logistic regressions over the
 words that differ most between the classes.
 
-The fit takes at most TRAIN_ROWS labelled rows, those first by a digest of the id.
-Rows with a null label in any category are left out of it; a category with one
+The fit takes at most TRAIN_ROWS labelled ids, those first by a digest of the id, and of
+these as many as have TRAIN_WORDS different words in all (counted per text). An id that
+has several documents gives the one whose words have the smallest digest; of several
+labels the smallest counts. Rows with a null id, or a null label in any category, are
+left out of the fit; a category with one
 class only gets that class's share as probability, 0 without rows. Null and empty
 texts have no words and get each model's base rate. Repeated rows give repeated
 rows, an empty table an empty result; of `docs` only id and text are read.
@@ -19,15 +22,18 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gateflow.llm.tables import prepared, stored
 from gateflow.llm.words import ALNUM, mix, slices, word_digests
 
 HASHED, FOLDS, TRAIN_ROWS, THRESHOLD = 1 << 18, 3, 20_000, 0.5
+TRAIN_WORDS = 16 << 20
 #: Words kept for a model: seen in so many rows, so many standard errors from
 #: independence, and so many of them; weight of the penalty; steps.
 ROWS, ERRORS, KEPT, LASSO, STEPS = 4, 3.0, 4_000, 0.00005, 600
@@ -133,18 +139,28 @@ def _lower(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 def learn(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], doc_id: str, text: str) -> list[Linear]:
     """Chain from the sampled rows; their hashed words, not their texts, reach the
-    driver, for at most TRAIN_ROWS rows."""
-    told = labels.select(F.col(doc_id).cast("long").alias("id"), *(c.cast("double").alias(k) for k, c in categories.items()))
-    told = told.dropna().dropDuplicates(["id"]).orderBy(F.xxhash64("id"), "id").limit(TRAIN_ROWS)
+    driver: of at most TRAIN_ROWS rows, and TRAIN_WORDS in all."""
+    prepared(docs.sparkSession)
     names = list(categories)
+    told = labels.select(F.col(doc_id).cast("long").alias("id"), F.struct(*(c.cast("double").alias(k) for k, c in categories.items())).alias("y"))
+    whole = [F.col("y")[k].isNotNull() for k in names]
+    told = told.where(F.col("id").isNotNull() & reduce(lambda a, b: a & b, whole))
+    # one label per id, one row per label: what repeats takes the smallest
+    told = told.groupBy("id").agg(F.min("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(TRAIN_ROWS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words = pa.array([w.astype(np.int32).tobytes() for w in hashed_words(batch.column(1))], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), words, *batch.columns[2:]], names=["id", "words", *names])
-
-    chosen = _lower(docs, doc_id, text).join(F.broadcast(told), "id").select("id", "text", *names)
-    sample = chosen.mapInArrow(run, "id long, words binary, " + ", ".join(f"{k} double" for k in names)).toArrow().sort_by("id")
+            yield pa.RecordBatch.from_arrays([batch.column(0), words], names=["id", "words"])
+
+    told = stored(told, "toxicity-labels")
+    chosen = _lower(docs, doc_id, text).join(F.broadcast(told.select("id")), "id")  # TRAIN_ROWS ids
+    found = chosen.mapInArrow(run, "id long, words binary").groupBy("id").agg(F.min(F.struct(F.xxhash64("words").alias("key"), "words"))["words"].alias("words"))
+    rows = stored(found.join(told, "id").select("id", "words", *(F.col("y")[k].alias(k) for k in names)), "toxicity-train")
+    # sizes of TRAIN_ROWS rows at most are summed in one task
+    so_far = F.sum(F.length("words")).over(Window.orderBy(F.xxhash64("id"), "id").rowsBetween(Window.unboundedPreceding, 0))
+    within = rows.select("id", so_far.alias("bytes")).where(F.col("bytes") <= 4 * TRAIN_WORDS).select("id")
+    sample = rows.join(within, "id").toArrow().sort_by("id")
     words = [np.frombuffer(w.as_buffer(), np.int32) for w in sample["words"]]
     rows = np.repeat(np.arange(len(words)), [len(w) for w in words])
     columns = np.concatenate([*words, np.zeros(0, np.int32)]).astype(np.int64)
