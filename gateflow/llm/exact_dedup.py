@@ -15,6 +15,10 @@ gives an empty result. Other columns, whatever their names, are not looked at.
 
 from __future__ import annotations
 
+import re
+from hashlib import sha256
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,17 +35,37 @@ def digest_of(text: Column) -> Column:
 class DigestIndex:
     """Digests seen so far with the id that stays for each, in a folder at `path`.
 
-    `buckets` is fixed when the folder is first used and must be given again for a
-    later session; each bucket should hold some 100 MB at the size expected.
+    `buckets` is fixed when the folder is first used and kept there; a later session
+    that gives another number is refused. Each bucket should hold some 100 MB at the
+    size expected. Folders are told apart by their whole path, with or without a slash
+    at its end.
     """
 
     def __init__(self, spark: SparkSession, path: str, buckets: int):
-        self.spark, self.buckets = spark, buckets
-        self.name = "digest_index_" + "".join(c if c.isalnum() else "_" for c in path.rsplit("/", 1)[-1])
+        self.spark, self.buckets = spark, int(buckets)
+        path = re.sub(r"(?<=.)/+$", "", path)
+        same = re.sub("/+", "/", path.removeprefix("file:"))
+        self.name = f"digest_index_{sha256(same.encode()).hexdigest()[:24]}"
+        kept = self._kept(f"{path}/_buckets")
+        if kept not in (None, self.buckets):
+            raise ValueError(f"the index at {path} has {kept} buckets, not {self.buckets}")
+        spark.sql(f"DROP TABLE IF EXISTS {self.name}")  # of an earlier folder there; the folder's files stay
         spark.sql(
-            f"CREATE TABLE IF NOT EXISTS {self.name} (digest BINARY, keep_id BIGINT) USING parquet "
-            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {int(buckets)} BUCKETS LOCATION '{path}'"
+            f"CREATE TABLE {self.name} (digest BINARY, keep_id BIGINT) USING parquet "
+            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{path}'"
         )
+        if kept is None:
+            if not self.table().isEmpty():
+                raise ValueError(f"{path} holds rows, but not the number of its buckets")
+            spark.range(1).select(F.lit(self.buckets).alias("buckets")).write.parquet(f"{path}/_buckets")
+
+    def _kept(self, path: str) -> int | None:
+        try:
+            return self.spark.read.parquet(path).first()["buckets"]
+        except AnalysisException as missing:
+            if missing.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return None
 
     def table(self) -> DataFrame:
         return self.spark.table(self.name)
