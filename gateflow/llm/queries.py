@@ -76,7 +76,7 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
-        "doc_id", "n_words", "n_hit", "n_items", items_digest("item_ids").alias("items_sha256"), "contaminated", "spans"
+        "doc_id", "n_words", "n_hit", "n_items", items_digest("item_ids").alias("items_sha256"), "contaminated"
     )
 
 
