@@ -125,8 +125,8 @@ def catalogue(spark: SparkSession, paths: Sequence[str], marker: str = DATE_WORD
     kinds = lines.mapInArrow(top, "file string, top array<string>").select(
         "file", F.when(at_once, first).otherwise(second).alias("text"), F.when(~at_once, first).alias("title")
     )
-    found = kinds.groupBy("text", "title").agg(F.sort_array(F.collect_list("file")).alias("files")).collect()
-    groups = [Delivered(Header(int(r["title"] is not None), r["text"], r["title"]), tuple(r["files"])) for r in found]
+    found = kinds.groupBy("text", "title").agg(F.collect_list("file").alias("files")).collect()
+    groups = [Delivered(Header(int(r["title"] is not None), r["text"], r["title"]), tuple(sorted(map(unquote, r["files"])))) for r in found]
     return sorted(groups, key=lambda g: g.files)
 
 

@@ -191,3 +191,12 @@ def test_headers_of_many_files_are_found_in_one_job(spark, folder):
     assert [g.header.line for g in csv.catalogue(spark, [path])].count(1) == 1
     assert sum(len(g.files) for g in csv.catalogue(spark, [path])) == 50
     assert df.where("`날짜` = '2019-01-02' and `역번호` = '1'").count() == df.count()
+
+
+def test_names_of_files_may_hold_blanks_and_signs(spark, tmp_path):
+    d = tmp_path / "승하차 자료"
+    d.mkdir()
+    for name in ("2019년 1월.csv", "a%20b+c.csv"):
+        (d / name).write_text(HEAD + "\n" + line("2019-01-02") + "\n", encoding="utf-8")
+    assert csv.read_many(spark, [str(d)]).count() == 2
+    assert csv.ingest_many(spark, [str(d)], "승차").count() == 2
