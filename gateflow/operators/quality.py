@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from gateflow.functions.dates import parse_date
@@ -86,6 +86,52 @@ def reject_counts(
     )
 
 
+class ObservedLoad:
+    """reject_counts without a pass of its own: the action that writes `rows`, or what is
+    made of them, counts as it goes.
+
+    The values of the group column are given, so that each has its own counters; rows
+    with another value are counted under null. `counts` waits for that action.
+    """
+
+    def __init__(self, df: DataFrame, date: str, counts: Sequence[str], group: str, values: Sequence[str]):
+        self.group, self.values, self.seen = group, [*values, None], Observation()
+        raw_date = F.col(quoted(date))
+        cells = [(F.col(quoted(c)), clean_count(F.col(quoted(c)), keep_null=True)) for c in counts]
+        flags = {
+            "n_rows": [F.lit(True)],
+            "n_no_date": [F.coalesce(F.trim(raw_date), F.lit("")) == ""],
+            "n_bad_date": [(F.trim(raw_date) != "") & parse_date(raw_date).isNull()],
+            "n_bad_count": [raw.isNotNull() & v.isNull() for raw, v in cells],
+            "n_no_count": [raw.isNull() for raw, _ in cells],
+            "n_negative": [v < 0 for _, v in cells],
+        }
+        self.names = list(flags)
+        here = [F.col(quoted(group)).eqNullSafe(F.lit(v)) for v in values]
+        here.append(~reduce(lambda a, b: a | b, here))
+        metrics = [
+            F.sum(F.when(own, reduce(lambda a, b: a + b, [F.coalesce(f, F.lit(False)).cast("int") for f in each]) if each else F.lit(0)))
+            .cast("bigint")
+            .alias(f"{i}_{name}")
+            for i, own in enumerate(here)
+            for name, each in flags.items()
+        ]
+        self.rows = df.observe(self.seen, *metrics)
+
+    def counts(self, spark: SparkSession) -> DataFrame:
+        """A row per value of the group column that occurred."""
+        got = self.seen.get
+        rows = [(v, *(got[f"{i}_{n}"] or 0 for n in self.names)) for i, v in enumerate(self.values) if got[f"{i}_n_rows"]]
+        return spark.createDataFrame(rows, f"`{self.group}` string, " + ", ".join(f"{n} long" for n in self.names))
+
+
+def suspicious_headers(headers: Sequence[str]) -> list[tuple[str, str]]:
+    """Header names with characters other than letters, digits, blanks, dots, brackets
+    and the signs of hour slots, with their bytes in hex."""
+    odd = [h for h in headers if any(not (c.isalnum() or c in "() .:~-") for c in h)]
+    return [(h, h.encode("utf-8").hex().upper()) for h in dict.fromkeys(odd)]
+
+
 def suspicious_names(df: DataFrame, col: str) -> DataFrame:
     """Names with characters other than letters, digits, blanks, dots and brackets."""
     names = df.groupBy(F.col(quoted(col)).alias("name")).agg(F.count(F.lit(1)).alias("n_rows"))

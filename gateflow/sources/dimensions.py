@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gateflow.config import EXTERNAL_STATION_CODE, STATION_NUMBER, WEEKDAY, WEEKEND
 from gateflow.functions.dates import is_weekend
 from gateflow.functions.headers import quoted, strip_name
+from gateflow.sources.csv import read_wide_csv
 
 
 def load_station_dim(df: DataFrame) -> DataFrame:
@@ -18,6 +19,15 @@ def load_station_dim(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(quoted(c)).alias(n) for c, n in zip(df.columns, names)])
 
 
+def read_station_dim(spark: SparkSession, path: str, types: dict[str, str] | None = None, **how) -> DataFrame:
+    """Station master from its file; columns in `types` are cast, a text that is no value
+    of the type becomes null."""
+    dim = load_station_dim(read_wide_csv(spark, path, marker=STATION_NUMBER, **how))
+    for column, kind in (types or {}).items():
+        dim = dim.withColumn(column, F.col(quoted(column)).try_cast(kind))
+    return dim
+
+
 def date_axis(spark: SparkSession, start: str, end: str, unit: str = "day") -> DataFrame:
     """Every day, month or year start in [start, end]."""
     first = F.lit(start).cast("date")

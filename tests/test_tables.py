@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from gateflow.operators import filters, quality
 from gateflow.sinks import tables as t
 from gateflow.sources import jdbc
-from gateflow.sources.dimensions import calendar, load_station_dim
+from gateflow.sources.dimensions import calendar, load_station_dim, read_station_dim
 from gateflow.sources.named import query_named
 
 
@@ -160,3 +160,32 @@ def test_column_upsert_keeps_old_rows(spark):
     assert len(t.upsert_update(old, new, ["k"], ["x"]).collect()) == 5
     both = t.upsert_update(old, new.union(spark.createDataFrame([("a", 7, 7)], new.schema)), ["k"], ["x"])
     assert sorted((r.k or "", r.x, r.y) for r in both.collect()) == [("", 3, 3), ("", 4, 4), ("a", 7, 1), ("a", 7, 2), ("b", 9, 9)]
+
+
+def test_counts_of_the_write_equal_those_of_a_pass(spark, path):
+    data = [("2019-01-01", "승차", "1", "2"), ("bad", "승차", "5d", None), (" ", "하차", "-3", "x"), (None, "하차", "1", "1"), ("2019-01-02", "환승", "7f", "")]
+    df = spark.createDataFrame(data, "d string, kind string, a string, b string")
+    want = rows(quality.reject_counts(df, "d", ["a", "b"], ["kind"]))
+    load = quality.ObservedLoad(df, "d", ["a", "b"], "kind", ["승차", "하차"])
+    written = t.write_table(load.rows.where("a <> 'no'").select("a"), path)
+    assert written.count() == 5
+    got = {r["kind"]: tuple(r)[1:] for r in load.counts(spark).collect()}
+    assert got == {(None if k == "환승" else k): tuple(v) for k, *v in want}
+    # the counters sit in the plan of the write, whose scan is the only one
+    scan = spark.read.parquet(path)
+    observed = quality.ObservedLoad(scan.selectExpr("a as d", "a as kind", "a"), "d", ["a"], "kind", ["1"])
+    assert plan_of(observed.rows).count("FileScan") == 1 and "CollectMetrics" in plan_of(observed.rows)
+
+
+def test_odd_headers():
+    assert quality.suspicious_headers(["날짜", "05:00~06:00", "호선​", "역명(부)", "a﻿", "a﻿"]) == [
+        ("호선​", "호선​".encode().hex().upper()), ("a﻿", "61EFBBBF"),
+    ]
+
+
+def test_station_master_from_its_file(spark, tmp_path):
+    file = tmp_path / "stations.csv"
+    file.write_text(" 역명 ,고유역번호(외부역코드) ,lat, lng\n강남,222,37.5,127.0\n가,1,x,\n", encoding="utf-8")
+    dim = read_station_dim(spark, str(file), {"lat": "double", "lng": "double"})
+    assert dim.columns == ["역명", "역번호", "lat", "lng"]
+    assert sorted(map(tuple, dim.collect())) == [("가", "1", None, None), ("강남", "222", 37.5, 127.0)]

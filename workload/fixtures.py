@@ -6,7 +6,7 @@ become dirty station names. Every frame grows with the tables it is read from.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gateflow.config import ALIGHTING_WORD, BOARDING_WORD, HOURS, SLOTS, Thresholds
@@ -28,6 +28,7 @@ MONTH = "2000-02"
 LIMITS = Thresholds(traffic_divisor=10)
 CSV_FACTOR = 137  # makes counts long enough for thousands commas
 BAD_COUNT = 50 * CSV_FACTOR  # delivered as "-" in delivery a
+SUFFIXED = {40 * CSV_FACTOR: "d", 30 * CSV_FACTOR: "f"}  # counts that delivery c has with a letter behind
 
 HOLIDAYS = {
     (1, 1): "신정",
@@ -197,6 +198,7 @@ LAYOUTS = {
     "b": ["날짜", "호선", "역번호", "역명", "구분", *SLOTS, "합계"],
     "c": ["날짜", "역번호", "역명", "호선", "구분", *SLOTS[:-1]],
     "d": ["날짜", "공휴일구분", "역번호"],
+    "k": ["날짜", "호선", "역번호", "역명", "구분", *SLOTS, "합계"],
 }
 PERIODS = {
     "a": ("1995-01-01", "1997-12-31"),
@@ -205,6 +207,7 @@ PERIODS = {
     "d": ("1997-07-01", "1998-06-30"),
 }
 TITLE = "시간대별 이용 현황"
+YEAR_OF_K, LINE_OF_K = 2000, 2
 _WRITTEN: dict[tuple[str, str], dict[str, str]] = {}
 
 
@@ -225,6 +228,13 @@ def _directions(rows: DataFrame, name: str) -> DataFrame:
     )
 
 
+def _suffixed(count: Column) -> Column:
+    text = count.cast("string")
+    for value, letter in SUFFIXED.items():
+        text = F.when(count == value, f"{value}{letter}").otherwise(text)
+    return text
+
+
 def _with_title(df: DataFrame, names: list[str], by: str) -> DataFrame:
     """Title line and header on top of the rows of each file."""
     spark = df.sparkSession
@@ -249,8 +259,9 @@ def deliveries(spark: SparkSession, sf: str) -> dict[str, str]:
     a: title line above the header, compact dates, old slot names, kind of day,
        one count value delivered as "-"
     b: thousands commas, some dates unreadable, no kind of day
-    c: day-first dates, no slot after 24, other column order
+    c: day-first dates, no slot after 24, other column order, some counts with a letter
     d: kind of day only, overlapping a and b
+    k: a correction of b for one line and year, counts doubled
     """
     app = (spark.sparkContext.applicationId, sf)
     if app in _WRITTEN:
@@ -294,7 +305,7 @@ def deliveries(spark: SparkSession, sf: str) -> dict[str, str]:
         "station",
         "line",
         "direction",
-        *[x.cast("string") for x in counts[:-1]],
+        *[_suffixed(x) for x in counts[:-1]],
     )
     c.toDF(*LAYOUTS["c"]).write.options(header=True, **keep).csv(paths["c"])
 
@@ -302,5 +313,15 @@ def deliveries(spark: SparkSession, sf: str) -> dict[str, str]:
         F.date_format(d, "yyyy-MM-dd"), F.lit("휴일"), "station_no"
     )
     e.toDF(*LAYOUTS["d"]).write.options(header=True, **keep).csv(paths["d"])
+    k = _directions(rows, "b").where((F.year(d) == YEAR_OF_K) & (F.col("line") == f"{LINE_OF_K}호선")).select(
+        F.date_format(d, "yyyy-MM-dd"),
+        "line",
+        "station_no",
+        "station",
+        "direction",
+        *[(2 * c).cast("string") for c in counts],
+        (2 * total).cast("string"),
+    )
+    k.toDF(*LAYOUTS["k"]).write.options(header=True, **keep).csv(paths["k"])
     _WRITTEN[app] = paths
     return paths

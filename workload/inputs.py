@@ -9,16 +9,17 @@ from gateflow.functions.dates import iso_text, month_start, parse_date
 from gateflow.functions.headers import quoted, slot_columns
 from gateflow.functions.numbers import clean_count, row_total
 from gateflow.operators.filters import between_dates, in_month, pick, valid_dates
-from gateflow.operators.quality import reject_counts
+from gateflow.operators.quality import ObservedLoad, reject_counts
 from gateflow.operators.reshape import hourly_kpi
 from gateflow.plans.layers import flow_stats, raw_from_files, year_table
 from gateflow.plans.marts import SPATIAL_SCHEMA, station_spatial
 from gateflow.sinks import tables as t
+from gateflow.sinks.snapshots import SnapshotTable
 from gateflow.sources import csv
-from gateflow.sources.dimensions import calendar, load_station_dim
+from gateflow.sources.dimensions import calendar, read_station_dim
 from gateflow.sources.named import query_named
 from workload import fixtures as fx
-from workload.oracle import GOT_CHECK, GOT_TOTAL, sql
+from workload.oracle import GOT_CHECK, GOT_TOTAL, LOST, sql, unreadable
 from workload.registry import query
 
 
@@ -30,6 +31,15 @@ def _sum(c, name):
     return F.sum(c).cast("bigint").alias(name)
 
 
+def _each(spark, sf, one):
+    """`one(name, path)` of the deliveries a, b and c, stacked."""
+    paths, out = fx.deliveries(spark, sf), None
+    for name in "abc":
+        part = one(name, paths[name])
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 # --- sources -------------------------------------------------------------------------
 
 
@@ -37,22 +47,28 @@ def _sum(c, name):
     "s1_csv_scan",
     sql(
         "sent",
-        """
-    select case when bad_date then '미상' else strftime(base_date, '%Y-%m-%d') end as day_text, direction,
+        f"""
+    select delivery, case delivery when 'a' then strftime(base_date, '%Y%m%d') when 'c' then strftime(base_date, '%d/%m/%Y')
+        else case when bad_date then '미상' else strftime(base_date, '%Y-%m-%d') end end as day_text, direction,
       count(*) as n_rows, max(length(station))::int as longest_name,
-      sum(s08)::bigint as at_eight, max(case when s08 >= 1000 then 1 else 0 end)::int as has_comma
-    from sent where delivery = 'b' group by all""",
+      sum(case when {unreadable('s08')} then 0 else s08 end)::bigint as at_eight,
+      max(case when delivery = 'b' and s08 >= 1000 then 1 else 0 end)::int as has_comma
+    from sent group by all""",
     ),
 )
 def _(spark, sf):
-    df = csv.read_wide_csv(spark, fx.deliveries(spark, sf)["b"])
-    eight = F.col(quoted("08:00-09:00"))
-    return df.groupBy(F.col(DATE_WORD).alias("day_text"), F.col("구분").alias("direction")).agg(
-        n_rows(),
-        F.max(F.char_length("역명")).cast("int").alias("longest_name"),
-        _sum(clean_count(eight), "at_eight"),
-        F.max(F.when(eight.contains(","), 1).otherwise(0)).alias("has_comma"),
-    )
+    def one(delivery, path):
+        df = csv.read_wide_csv(spark, path)
+        eight = F.col(quoted(slot_columns(df.columns, "clock")[HOURS.index(8)]))
+        keys = [F.lit(delivery).alias("delivery"), F.col(DATE_WORD).alias("day_text"), F.col("구분").alias("direction")]
+        return df.groupBy(*keys).agg(
+            n_rows(),
+            F.max(F.char_length("역명")).cast("int").alias("longest_name"),
+            _sum(clean_count(eight), "at_eight"),
+            F.max(F.when(eight.contains(","), 1).otherwise(0)).alias("has_comma"),
+        )
+
+    return _each(spark, sf, one)
 
 
 @query(
@@ -60,25 +76,28 @@ def _(spark, sf):
     sql(
         "sent",
         """
-    select direction, case when isodow(base_date) >= 6 then '주말' else '평일' end as day_kind,
-      count(*) as n_rows, min(strftime(base_date, '%Y%m%d')) as first_day,
-      max(strftime(base_date, '%Y%m%d')) as last_day, 1::int as header_line
-    from sent where delivery = 'a' group by all""",
+    select delivery, direction,
+      case when delivery <> 'a' then null when isodow(base_date) >= 6 then '주말' else '평일' end as day_kind,
+      count(*) as n_rows, min(day) as first_day, max(day) as last_day, (delivery = 'a')::int as header_line
+    from (select *, case delivery when 'a' then strftime(base_date, '%Y%m%d') when 'c' then strftime(base_date, '%d/%m/%Y')
+        else case when bad_date then '미상' else strftime(base_date, '%Y-%m-%d') end end as day from sent)
+    group by all""",
     ),
 )
 def _(spark, sf):
-    path = fx.deliveries(spark, sf)["a"]
-    line = csv.detect_header(spark, path).line
-    return (
-        csv.read_wide_csv(spark, path)
-        .groupBy(F.col("구분").alias("direction"), F.col(HOLIDAY_KIND).alias("day_kind"))
-        .agg(
+    def one(delivery, path):
+        line = csv.detect_header(spark, path).line
+        df = csv.read_wide_csv(spark, path)
+        kind = F.col(HOLIDAY_KIND) if HOLIDAY_KIND in df.columns else F.lit(None).cast("string")
+        keys = [F.lit(delivery).alias("delivery"), F.col("구분").alias("direction"), kind.alias("day_kind")]
+        return df.groupBy(*keys).agg(
             n_rows(),
             F.min(DATE_WORD).alias("first_day"),
             F.max(DATE_WORD).alias("last_day"),
             F.lit(line).alias("header_line"),
         )
-    )
+
+    return _each(spark, sf, one)
 
 
 @query(
@@ -109,10 +128,12 @@ def _(spark, sf):
     sql("dim", "select station_clean, station_no as number, lat, lng from dim"),
 )
 def _(spark, sf):
-    delivered = fx.station_dim(spark, sf).toDF(
-        " station_clean", "고유역번호(외부역코드) ", "lat ", " lng"
-    )
-    return load_station_dim(delivered).withColumnRenamed("역번호", "number")
+    """The station file as it is delivered: a CSV with blanks around its header's names."""
+    path = t.scratch_path(spark, "stations")
+    names = [" station_clean", "고유역번호(외부역코드) ", "lat ", " lng"]
+    texts = fx.station_dim(spark, sf).select("station_clean", "station_no", F.col("lat").cast("string"), F.col("lng").cast("string"))
+    texts.toDF(*names).write.csv(path, header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    return read_station_dim(spark, path, {"lat": "double", "lng": "double"}).withColumnRenamed("역번호", "number")
 
 
 @query("s6_calendar", sql("cal", "select base_date, day_label from cal"))
@@ -277,6 +298,90 @@ def _(spark, sf):
     return out
 
 
+_LOADED = f"""
+    select date_trunc('month', base_date)::date as part_month, line, direction, count(*) as n_rows,
+      sum(f * ({GOT_TOTAL}))::bigint as total, sum(f * ({GOT_CHECK}))::bigint as by_slot
+    from (select *, {{factor}} as f from got where not bad_date or {{also}}) group by all"""
+
+
+def _loaded(rows):
+    total = row_total([F.col(quoted(s)) for s in SLOTS])
+    by_slot = row_total([F.col(quoted(s)) * h for s, h in zip(SLOTS, HOURS)])
+    return rows.groupBy("part_month", "line", "direction").agg(n_rows(), _sum(total, "total"), _sum(by_slot, "by_slot"))
+
+
+def _wide_rows(spark, paths):
+    """Both directions of deliveries in the fixed wide shape, with their month."""
+    out = None
+    for _, group in csv.delivered(spark, paths):
+        wide = csv.ingest_directions(csv.read_delivered(spark, group), (BOARDING_WORD, ALIGHTING_WORD), "구분")
+        out = wide if out is None else out.unionByName(wide)
+    return out.withColumn("part_month", month_start(F.col("base_date")))
+
+
+_CORRECTED = f"(delivery = 'b' and line = '{fx.LINE_OF_K}' and year(base_date) = {fx.YEAR_OF_K})"
+
+
+@query("e4_load_twice", sql("got", _LOADED.format(factor=f"case when {_CORRECTED} then 2 else 1 end", also=_CORRECTED)))
+def _(spark, sf):
+    """Deliveries, then a correction of one of them; the correction is delivered twice."""
+    paths = fx.deliveries(spark, sf)
+    table = SnapshotTable(spark, t.scratch_path(spark, "loaded"), ["part_month"], ["station_no", "base_date"])
+    keys = ["part_month", "base_date", "line", "station_no", "direction"]
+    for names in ("abc", "k", "k"):
+        rows = _wide_rows(spark, [paths[n] for n in names])
+        table.publish(table.stage_upsert(rows, keys))
+    return _loaded(table.read())
+
+
+@query("k2_load_ledger", sql("got", _LOADED.format(factor="1", also="false")))
+def _(spark, sf):
+    """Deliveries appended one after another, and all of them again."""
+    paths = fx.deliveries(spark, sf)
+    table = SnapshotTable(spark, t.scratch_path(spark, "ledger"), ["part_month"])
+    for names in ("ab", "c", "abc"):
+        table.append_files([paths[n] for n in names], lambda files: _wide_rows(spark, files))
+    return _loaded(table.read())
+
+
+@query(
+    "k5_stored_update",
+    sql(
+        "daily",
+        """select base_date, stn_name, line_num, on_cnt,
+        case when year(base_date) = 2000 and line_num = 3 then off_cnt + 5 else off_cnt end as off_cnt
+        from daily where year(base_date) <= 2000 or line_num <= 4""",
+    ),
+)
+def _(spark, sf):
+    """One column of a stored table; rows of unknown keys are inserted whole."""
+    daily = fx.daily(spark, sf).select(
+        "base_date", "stn_name", "line_num", "on_cnt", "off_cnt", month_start(F.col("base_date")).alias("part_month")
+    )
+    table = SnapshotTable(spark, t.scratch_path(spark, "updated"), ["part_month"])
+    table.publish(table.stage_append(daily.where("year(base_date) <= 2000")))
+    keys = ["part_month", "base_date", "stn_name", "line_num"]
+    fresh = daily.where("year(base_date) > 2000 and line_num <= 4")
+    known = daily.where("year(base_date) = 2000 and line_num = 3")
+    known = known.withColumns({"on_cnt": F.col("on_cnt") * 7, "off_cnt": F.col("off_cnt") + 5})  # on_cnt is not taken
+    table.publish(table.stage_update(fresh.unionByName(known), keys, ["off_cnt"]))
+    return table.read().drop("part_month")
+
+
+@query(
+    "k7_declared_table",
+    sql("spatial", "select * from spatial"),
+)
+def _(spark, sf):
+    """A table with a declared schema and counts that may not be negative."""
+    texts = station_spatial(fx.raw_long(spark, sf))
+    texts = texts.select(*[F.col(c).cast("string").alias(c) for c in reversed(texts.columns)])
+    counts = ["total_on_cnt", "total_off_cnt"]
+    table = SnapshotTable(spark, t.scratch_path(spark, "declared"), ["line_num"], schema=SPATIAL_SCHEMA, non_negative=counts)
+    table.publish(table.stage_append(texts))
+    return table.read()
+
+
 @query(
     "e1_raw_from_files",
     sql(
@@ -302,38 +407,41 @@ def _(spark, sf):
     "p3_align_slots",
     sql(
         "got",
-        """select line, station_no, count(*) as n_rows, sum(r05)::bigint as first_slot,
-        sum(r23)::bigint as slot_23, sum(r24)::bigint as last_slot
-        from got where delivery = 'c' group by all""",
+        f"""select delivery, line, station_no, count(*) as n_rows, sum(r05)::bigint as first_slot,
+        sum(r23)::bigint as slot_23, sum(r24)::bigint as last_slot, sum({GOT_CHECK})::bigint as by_slot
+        from got group by all""",
     ),
 )
 def _(spark, sf):
-    df = csv.read_wide_csv(spark, fx.deliveries(spark, sf)["c"])
-    ids = [
-        F.regexp_replace("호선", "호선", "").alias("line"),
-        F.col("역번호").alias("station_no"),
-    ]
-    slots = slot_columns(df.columns, "clock")
-    wide = csv.align_slots(df, ids, slots, [f"h{h:02d}" for h in HOURS])
-    return wide.groupBy("line", "station_no").agg(
-        n_rows(), _sum("h05", "first_slot"), _sum("h23", "slot_23"), _sum("h24", "last_slot")
-    )
+    def one(delivery, path):
+        df = csv.read_wide_csv(spark, path)
+        ids = [F.regexp_replace("호선", "호선", "").alias("line"), F.col("역번호").alias("station_no")]
+        wide = csv.align_slots(df, ids, slot_columns(df.columns, "clock"), [f"h{h:02d}" for h in HOURS])
+        by_slot = row_total([F.col(f"h{h:02d}") * h for h in HOURS])
+        return wide.groupBy(F.lit(delivery).alias("delivery"), "line", "station_no").agg(
+            n_rows(), _sum("h05", "first_slot"), _sum("h23", "slot_23"), _sum("h24", "last_slot"), _sum(by_slot, "by_slot")
+        )
+
+    return _each(spark, sf, one)
 
 
 @query(
     "p6_filter_direction",
     sql(
         "sent",
-        """select line, station_no, direction, count(*) as n_rows
-        from sent where delivery = 'b' and direction = '하차' group by all""",
+        """select delivery, line, station_no, direction, count(*) as n_rows
+        from sent where direction = '하차' group by all""",
     ),
 )
 def _(spark, sf):
-    df = csv.read_wide_csv(spark, fx.deliveries(spark, sf)["b"])
-    rows = csv.filter_direction(df, ALIGHTING_WORD)
-    return rows.groupBy(
-        F.col("호선").alias("line"), F.col("역번호").alias("station_no"), F.col("구분").alias("direction")
-    ).agg(n_rows())
+    def one(delivery, path):
+        rows = csv.filter_direction(csv.read_wide_csv(spark, path), ALIGHTING_WORD)
+        return rows.groupBy(
+            F.lit(delivery).alias("delivery"),
+            F.col("호선").alias("line"), F.col("역번호").alias("station_no"), F.col("구분").alias("direction"),
+        ).agg(n_rows())
+
+    return _each(spark, sf, one)
 
 
 @query(
@@ -358,23 +466,22 @@ def _(spark, sf):
 @query(
     "p12_clean_count",
     sql(
-        "sent",
-        """select station_no, delivery, sum(case when s12 = 6850 and delivery = 'a' then 0 else s12 end)::bigint
-        as total, count(*) filter (s12 = 6850 and delivery = 'a') as n_unreadable
-        from sent where delivery <> 'c' group by all""",
+        "got",
+        f"""select got.station_no, got.delivery, sum({GOT_TOTAL})::bigint as total, n_unreadable
+        from got join (select station_no, delivery, sum({LOST})::bigint as n_unreadable from sent group by all)
+          using (station_no, delivery) group by all""",
     ),
 )
 def _(spark, sf):
-    out = None
-    for k, slot in (("a", "12~13"), ("b", "12:00-13:00")):
-        df = csv.read_wide_csv(spark, fx.deliveries(spark, sf)[k])
-        c = F.col(quoted(slot))
-        one = df.groupBy(F.col("역번호").alias("station_no"), F.lit(k).alias("delivery")).agg(
-            _sum(clean_count(c), "total"),
-            F.count_if(c.isNotNull() & clean_count(c, keep_null=True).isNull()).alias("n_unreadable"),
+    def one(delivery, path):
+        df = csv.read_wide_csv(spark, path)
+        cells = [F.col(quoted(c)) for c in slot_columns(df.columns, "clock")]
+        lost = [(c.isNotNull() & clean_count(c, keep_null=True).isNull()).cast("int") for c in cells]
+        return df.groupBy(F.col("역번호").alias("station_no"), F.lit(delivery).alias("delivery")).agg(
+            _sum(row_total([clean_count(c) for c in cells]), "total"), _sum(row_total(lost), "n_unreadable")
         )
-        out = one if out is None else out.unionByName(one)
-    return out
+
+    return _each(spark, sf, one)
 
 
 @query(
@@ -389,16 +496,15 @@ def _(spark, sf):
 
 @query(
     "l6_valid_dates",
-    sql(
-        "sent",
-        """select base_date, count(*) as n_rows from sent
-        where delivery = 'b' and not bad_date group by all""",
-    ),
+    sql("sent", "select delivery, base_date, count(*) as n_rows from sent where not bad_date group by all"),
 )
 def _(spark, sf):
-    df = csv.read_wide_csv(spark, fx.deliveries(spark, sf)["b"])
-    dated = valid_dates(df.select(parse_date(F.col(DATE_WORD)).alias("base_date")))
-    return dated.groupBy("base_date").agg(n_rows())
+    def one(delivery, path):
+        df = csv.read_wide_csv(spark, path)
+        dated = valid_dates(df.select(parse_date(F.col(DATE_WORD)).alias("base_date")))
+        return dated.groupBy(F.lit(delivery).alias("delivery"), "base_date").agg(n_rows())
+
+    return _each(spark, sf, one)
 
 
 @query(
@@ -420,26 +526,34 @@ def _(spark, sf):
     return out
 
 
-@query(
-    "q6_reject_counts",
-    sql(
-        "sent",
-        """select direction, count(*) as n_rows, 0::bigint as n_no_date,
-        count(*) filter (bad_date) as n_bad_date,
-        0::bigint as n_bad_count, 0::bigint as n_no_count, 0::bigint as n_negative
-        from sent where delivery = 'b' group by all
-        union all select direction, count(*), 0::bigint, 0::bigint,
-        sum((s07 = 6850)::int + (s08 = 6850)::int + (s09 = 6850)::int)::bigint, 0::bigint, 0::bigint
-        from sent where delivery = 'a' group by all""",
-    ),
-)
+_REJECTS = f"""
+    select delivery, direction, count(*) as n_rows, 0::bigint as n_no_date, count(*) filter (bad_date) as n_bad_date,
+      sum({LOST})::bigint as n_bad_count, 0::bigint as n_no_count, 0::bigint as n_negative
+    from sent group by all"""
+
+
+@query("q6_reject_counts", sql("sent", _REJECTS))
 def _(spark, sf):
-    paths = fx.deliveries(spark, sf)
-    b = csv.read_wide_csv(spark, paths["b"]).withColumnRenamed("구분", "direction")
-    a = csv.read_wide_csv(spark, paths["a"]).withColumnRenamed("구분", "direction")
-    return reject_counts(b, DATE_WORD, SLOTS, ["direction"]).unionByName(
-        reject_counts(a, DATE_WORD, ["07~08", "08~09", "09~10"], ["direction"])
-    )
+    def one(delivery, path):
+        df = csv.read_wide_csv(spark, path).withColumnRenamed("구분", "direction")
+        told = reject_counts(df, DATE_WORD, slot_columns(df.columns, "clock"), ["direction"])
+        return told.withColumn("delivery", F.lit(delivery))
+
+    return _each(spark, sf, one)
+
+
+@query("q6_during_the_write", sql("sent", _REJECTS))
+def _(spark, sf):
+    """The same counts, gathered by the load that writes the rows."""
+
+    def one(delivery, path):
+        df = csv.read_wide_csv(spark, path)
+        load = ObservedLoad(df, DATE_WORD, slot_columns(df.columns, "clock"), "구분", [BOARDING_WORD, ALIGHTING_WORD])
+        words = (BOARDING_WORD, ALIGHTING_WORD)
+        t.write_table(csv.ingest_directions(load.rows, words, "구분"), t.scratch_path(spark, "observed"))
+        return load.counts(spark).withColumnRenamed("구분", "direction").withColumn("delivery", F.lit(delivery))
+
+    return _each(spark, sf, one)
 
 
 _LONG_OLD = ", ".join(
@@ -456,8 +570,8 @@ _LONG_NEW = ", ".join(
         "sent",
         f"""
     select delivery, direction, line, slot, count(*) as n_rows,
-      count(case when delivery = 'a' and v = 6850 then null else v end) as n_counts,
-      sum(case when delivery = 'a' and v = 6850 then null else v end)::bigint as total
+      count(case when {unreadable('v')} then null else v end) as n_counts,
+      sum(case when {unreadable('v')} then null else v end)::bigint as total
     from (
       select * from (unpivot (select delivery, direction, line, {_LONG_OLD} from sent where delivery = 'a')
         on columns(* exclude (delivery, direction, line)) into name slot value v)

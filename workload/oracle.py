@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from gateflow.config import HOURS
-from workload.fixtures import BAD_COUNT, CSV_FACTOR, HOLIDAYS, PERIOD, PROFILE_PERIOD
+from workload.fixtures import BAD_COUNT, CSV_FACTOR, HOLIDAYS, PERIOD, PROFILE_PERIOD, SUFFIXED
 
 _CTES: dict[str, tuple[tuple[str, ...], str]] = {}
 
@@ -307,9 +307,24 @@ define(
 )
 
 
+def unreadable(count: str) -> str:
+    """Whether a count was delivered as a text that is no number."""
+    letters = ", ".join(map(str, SUFFIXED))
+    return f"((delivery = 'a' and {count} = {BAD_COUNT}) or (delivery = 'c' and {count} in ({letters})))"
+
+
 def _read(h: int) -> str:
     gone = "or delivery = 'c'" if h == 24 else ""
-    return f"case when (delivery = 'a' and s{h:02d} = {BAD_COUNT}) {gone} then 0 else s{h:02d} end as r{h:02d}"
+    return f"case when {unreadable(f's{h:02d}')} {gone} then 0 else s{h:02d} end as r{h:02d}"
+
+
+def _lost(h: int) -> str:
+    gone = "and delivery <> 'c'" if h == 24 else ""
+    return f"({unreadable(f's{h:02d}')} {gone})::int"
+
+
+#: Counts of a delivered row that are no numbers; the last slot is absent from c.
+LOST = " + ".join(_lost(h) for h in HOURS)
 
 
 define(

@@ -190,9 +190,16 @@ def _(spark, sf):
     return fl.pick(year, line_num=[2, 5], stn_name=None)
 
 
-@query("l7_group_filter", sql("pbase", "select * from pbase"))
+@query("l7_group_filter", sql("pbase", "select * from pbase where stn_name not like '%0역'"))
 def _(spark, sf):
-    return marts.profile_base(fx.kpi(spark, sf), *fx.PROFILE_PERIOD)
+    """Some stations have corrections that take back all they counted: their total is
+    not positive, so they are left out."""
+    kpi = fx.kpi(spark, sf)
+    peaks = [c for c in kpi.columns if c.startswith("peak_")]
+    taken_back = kpi.where(F.col("stn_name").endswith("0역")).withColumns(
+        {"on_cnt": -marts.both_ways() - 1, "off_cnt": F.lit(1).cast("bigint"), **{c: F.lit(0).cast("bigint") for c in peaks}}
+    )
+    return marts.profile_base(kpi.unionByName(taken_back), *fx.PROFILE_PERIOD)
 
 
 @query(
@@ -214,14 +221,14 @@ def _(spark, sf):
     return rows.select("display_name", "line_num", "area_type", "location_grade")
 
 
-def _stations(spark, sf):
+def _stations(spark, sf, year=fx.YEAR):
     raw, kpi = fx.raw_long(spark, sf), fx.kpi(spark, sf)
     return reports.station_list(
         marts.station_spatial(raw),
         fx.station_dim(spark, sf),
         marts.station_profile(kpi, *fx.PROFILE_PERIOD),
         marts.site_scores(kpi, *fx.PERIOD, divisor=10),
-        fx.YEAR,
+        year,
     )
 
 
