@@ -177,19 +177,20 @@ def profile_base(
 ) -> DataFrame:
     """Sums per station by hour window; stations without traffic are left out."""
     rows = with_traffic(between_dates(kpi, "base_date", start, end, month_col))
+    return rows.groupBy("stn_name").agg(*profile_totals()).where("total > 0")
+
+
+def profile_totals() -> list[Column]:
+    """Sums of a profile, over hourly rows."""
     hour = F.col("hour")
-    return (
-        rows.groupBy("stn_name")
-        .agg(
-            F.sum(both_ways()).cast("bigint").alias("total"),
-            sum_when(in_window(hour, MORNING), both_ways()).alias("morning"),
-            sum_when(in_window(hour, LUNCH), both_ways()).alias("lunch"),
-            sum_when(in_window(hour, EVENING_PROFILE), both_ways()).alias("evening"),
-            _total("peak_morning_off").alias("morning_off"),
-            _total("peak_evening_off").alias("evening_off"),
-        )
-        .where("total > 0")
-    )
+    return [
+        F.sum(both_ways()).cast("bigint").alias("total"),
+        sum_when(in_window(hour, MORNING), both_ways()).alias("morning"),
+        sum_when(in_window(hour, LUNCH), both_ways()).alias("lunch"),
+        sum_when(in_window(hour, EVENING_PROFILE), both_ways()).alias("evening"),
+        _total("peak_morning_off").alias("morning_off"),
+        _total("peak_evening_off").alias("evening_off"),
+    ]
 
 
 def area_type(t: Thresholds = THRESHOLDS) -> Column:
@@ -209,7 +210,11 @@ def station_profile(
     month_col: str | None = None,
 ) -> DataFrame:
     """Share of the hour windows in percent, area type and suggested business."""
-    base = profile_base(kpi, start, end, month_col)
+    return profile_of(profile_base(kpi, start, end, month_col), t)
+
+
+def profile_of(base: DataFrame, t: Thresholds = THRESHOLDS) -> DataFrame:
+    """Profile from the sums of profile_base."""
     kind = F.col("area_type")
     biz = F.when(kind == AREA_OFFICE, PROFILE_BIZ[AREA_OFFICE])
     biz = biz.when(kind == AREA_COMMERCIAL, PROFILE_BIZ[AREA_COMMERCIAL])
@@ -233,7 +238,11 @@ def monthly_site(
 ) -> DataFrame:
     """Monthly sums per station: total, alightings, morning and evening alightings."""
     rows = between_dates(kpi, "base_date", start, end, month_col)
-    return rows.groupBy(month_start(F.col("base_date")).alias("base_ym"), "stn_name").agg(
+    return monthly_site_sums(rows, month_start(F.col("base_date")).alias("base_ym"))
+
+
+def monthly_site_sums(kpi: DataFrame, month: Column) -> DataFrame:
+    return kpi.groupBy(month, "stn_name").agg(
         F.sum(both_ways()).cast("bigint").alias("total"),
         _total("off_cnt").alias("total_off"),
         _total("peak_morning_off").alias("morning_off"),
@@ -253,9 +262,14 @@ def site_scores(
     Here the business follows the plain comparison, without the ratio that the
     station profile asks for.
     """
+    return scores_of(monthly_site(kpi, start, end, month_col), divisor)
+
+
+def scores_of(sums: DataFrame, divisor: int = THRESHOLDS.traffic_divisor) -> DataFrame:
+    """Scores from the sums of monthly_site."""
     morning, evening, off = F.col("morning_off"), F.col("evening_off"), F.col("total_off")
     office_biz, night_biz, mixed_biz = MONTHLY_BIZ
-    return monthly_site(kpi, start, end, month_col).select(
+    return sums.select(
         "base_ym",
         "stn_name",
         round_ratio(F.col("total"), F.lit(divisor), 2).alias("total_traffic_score"),

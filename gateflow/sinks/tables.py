@@ -76,10 +76,10 @@ def append_by_date(df: DataFrame, path: str, date_col: str, first: bool = False)
     return write_table(df, path, "overwrite" if first else "append", [date_col])
 
 
-def replace_partitions(df: DataFrame, path: str, partition_by: Sequence[str]) -> DataFrame:
+def replace_partitions(df: DataFrame, path: str, partition_by: Sequence[str], sort_by: Sequence[str] = ()) -> DataFrame:
     """Replace only those partitions of a table that the new rows fall in."""
     (
-        _laid_out(df, partition_by, ())
+        _laid_out(df, partition_by, sort_by)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*partition_by)
