@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gateflow.llm.tables import in_small_batches
 from gateflow.llm.words import SPACED, buffers, slices, word_digests
 
 UPPER, LOWER, DIGIT, SPACE, LINE, SIGN, WIDE, REST = range(8)
@@ -16,7 +17,7 @@ UPPER, LOWER, DIGIT, SPACE, LINE, SIGN, WIDE, REST = range(8)
 
 def _classes() -> np.ndarray:
     """Class of each byte; a character beyond ASCII counts by its first byte."""
-    out = np.full(256, SIGN)
+    out = np.full(256, SIGN, np.uint8)
     out[0x41:0x5B], out[0x61:0x7B], out[0x30:0x3A] = UPPER, LOWER, DIGIT
     out[[0x20, 0x09, 0x0B, 0x0C, 0x0D]], out[0x0A] = SPACE, LINE
     out[0x80:0xC0], out[0xC0:] = REST, WIDE
@@ -30,6 +31,17 @@ STATS = (
 )
 
 
+def _by_class(offsets: np.ndarray, body: np.ndarray) -> np.ndarray:
+    """Bytes of each class (columns) in each text; two bytes of room per byte of text."""
+    out = np.zeros((len(offsets) - 1, 8))
+    full = offsets[1:] > offsets[:-1]
+    if full.any():
+        classes, starts = CLASSES[body], offsets[:-1][full]
+        for c in range(8):
+            out[full, c] = np.add.reduceat(classes == c, starts, dtype=np.int64)
+    return out
+
+
 def text_stats(texts: pa.Array) -> np.ndarray:
     """Rows of STATS; an empty text has zeros."""
     out = []
@@ -37,8 +49,7 @@ def text_stats(texts: pa.Array) -> np.ndarray:
         part = texts.slice(i, j - i)
         offsets, body = buffers(part)
         rows = len(part)
-        owner = np.repeat(np.arange(rows), np.diff(offsets))
-        by = np.bincount(owner * 8 + CLASSES[body], minlength=rows * 8).reshape(rows, 8).astype(float)
+        by = _by_class(offsets, body)
         chars = by.sum(axis=1) - by[:, REST]
         letters = by[:, UPPER] + by[:, LOWER] + by[:, WIDE]
         words = word_digests(part, SPACED)
@@ -68,6 +79,7 @@ def text_stats(texts: pa.Array) -> np.ndarray:
 
 def with_stats(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(id, one column per statistic); null counts as empty."""
+    in_small_batches(docs.sparkSession)
     schema = pa.schema([("id", pa.int64()), *((s, pa.float64()) for s in STATS)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,14 +94,15 @@ def with_stats(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 def beside(docs: DataFrame, text: str) -> DataFrame:
     """Each row whole, as the struct `row`, with its statistics: (row, statistics).
 
-    Nothing is moved, and no column of `docs` can clash with a statistic.
+    Python gets the texts alone and gives back the statistics; rows wait in the JVM,
+    where they are read, and no column of `docs` can clash with a statistic.
     """
-    rows = docs.select(F.struct("*").alias("row"), F.col(text).alias("text"))
-    kind = rows.schema["row"].dataType.simpleString()
+    in_small_batches(docs.sparkSession)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            stats = text_stats(batch.column(1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c) for c in stats.T)], names=["row", *STATS])
+    @F.arrow_udf("struct<" + ", ".join(f"{s}: double" for s in STATS) + ">")
+    def stats(texts: pa.Array) -> pa.Array:
+        return pa.StructArray.from_arrays([pa.array(c) for c in text_stats(texts).T], names=list(STATS))
 
-    return rows.mapInArrow(run, f"row {kind}, " + ", ".join(f"{s} double" for s in STATS))
+    # not to be worked out again for each statistic a condition reads
+    once = stats.asNondeterministic()
+    return docs.select(F.struct("*").alias("row"), once(F.col(text)).alias("stats")).select("row", "stats.*")

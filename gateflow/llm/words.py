@@ -83,10 +83,42 @@ def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int
 
 
 def word_digests(texts: pa.Array, table: np.ndarray) -> Words:
-    """Digests of the words of a slice of texts (see `slices`)."""
+    """Digests of the words of a slice of texts (see `slices`). A text longer than a
+    slice is worked through in pieces that end between words."""
     offsets, body = buffers(texts)
+    if len(body) <= 4 * SLICE_BYTES:
+        return _digests(offsets, body, table)
+    parts, counts = [], []
+    for lo, hi in zip(offsets.tolist(), offsets[1:].tolist(), strict=False):
+        n = 0
+        while lo < hi:
+            end = _between_words(body, lo, hi, table)
+            parts.append(_digests(np.array([0, end - lo]), body[lo:end], table).digests)
+            n, lo = n + len(parts[-1]), end
+        counts.append(n)
+    return Words(np.concatenate(parts), np.array(counts, np.int64))
+
+
+def _between_words(body: np.ndarray, lo: int, hi: int, table: np.ndarray) -> int:
+    """End of a piece from `lo`: after its last byte outside words, or, where one word
+    fills it, before the next such byte."""
+    end = lo + SLICE_BYTES
+    if end >= hi:
+        return hi
+    gaps = np.flatnonzero(table[body[lo:end]] == 0)
+    if len(gaps):
+        return lo + int(gaps[-1]) + 1
+    while end < hi:
+        gaps = np.flatnonzero(table[body[end : end + SLICE_BYTES]] == 0)
+        if len(gaps):
+            return end + int(gaps[0])
+        end += SLICE_BYTES
+    return hi
+
+
+def _digests(offsets: np.ndarray, body: np.ndarray, table: np.ndarray) -> Words:
     if not len(body):
-        return Words(np.zeros(0, np.uint64), np.zeros(len(texts), np.int64))
+        return Words(np.zeros(0, np.uint64), np.zeros(len(offsets) - 1, np.int64))
     values = table[body]
     inside = values != 0
     edge = np.zeros(len(body) + 1, dtype=bool)

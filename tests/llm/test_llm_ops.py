@@ -6,6 +6,7 @@ import string
 
 import duckdb
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from brute import SF, alnum, given, leaks, near, personal, sha, spaced
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from gateflow.llm import bpe, decontaminate, exact_dedup, language_id, license_scan, ngram_join, pii, quality, toxicity, warc
+from gateflow.llm import bpe, decontaminate, exact_dedup, language_id, license_scan, ngram_join, pii, quality, text_stats, toxicity, warc, words
 from gateflow.llm.oracle import ORACLE
 from gateflow.llm.queries import QUERIES
 from gateflow.sinks.tables import scratch_path
@@ -171,6 +172,103 @@ def test_toxicity_finds_planted_words(docs, spark):
     assert toxicity.toxicity(docs([]), labels, categories).count() == 0
 
 
+def test_the_sample_for_toxicity_is_bounded(docs, spark, monkeypatch):
+    """Ids that repeat among documents and labels are one row of the sample."""
+    seen = []
+    monkeypatch.setattr(toxicity, "fit_chain", lambda rows, columns, labels, fold: seen.append((rows, columns, labels)) or [])
+    monkeypatch.setattr(toxicity, "TRAIN_ROWS", 2)
+    rows = [(1, f"word{i} same") for i in range(50)] + [(2, "b c d"), (3, "e"), (None, "x")]
+    labels = spark.createDataFrame([(1, 1), (1, 0), (1, 1), (2, 1), (3, None), (3, 1), (None, 1)], "doc_id long, toxic int")
+    learn = lambda: toxicity.learn(docs(rows), labels, {"toxic": F.col("toxic")}, "doc_id", "text")
+    learn()
+    assert len(seen[0][2]) == 2 and set(seen[0][0].tolist()) == {0, 1}
+    monkeypatch.setattr(toxicity, "TRAIN_ROWS", 10)
+    learn()
+    assert seen[1][2].tolist() == [[0.0], [1.0], [1.0]]  # of several labels the smallest, null ones left out
+    assert [int((seen[1][0] == k).sum()) for k in range(3)] == [2, 3, 1]
+    monkeypatch.setattr(toxicity, "TRAIN_WORDS", 3)
+    learn()
+    assert len(seen[2][1]) <= 3
+
+
+def test_chain_equals_plain_arithmetic(docs, spark):
+    """Scores follow from the models' weights as written: words, then earlier probabilities."""
+    import math
+
+    pick = random.Random(2)
+    rows = [(i, " ".join(pick.choice(["bad", "vile", "good", "fine", "calm", "blue"][i % 2 :: 2]) for _ in range(6))) for i in range(80)]
+    labels = spark.createDataFrame([(i, 1 - i % 2, i % 4 // 2) for i in range(80)], "doc_id long, toxic int, second int")
+    categories = {"toxic": F.col("toxic"), "second": F.col("second")}
+    chain = toxicity.learn(docs(rows), labels, categories, "doc_id", "text")
+    words = {i: next(toxicity.hashed_words(pa.array([t]))).tolist() for i, t in rows}
+    got = {r["doc_id"]: r for r in toxicity.toxicity(docs(rows), labels, categories).collect()}
+    for i, _ in rows:
+        earlier = []
+        for model in chain:
+            weight = dict(zip(model.words.tolist(), model.weights.tolist(), strict=True))
+            z = model.intercept + sum(weight.get(w, 0.0) for w in words[i]) + sum(a * b for a, b in zip(model.earlier.tolist(), earlier, strict=True))
+            earlier.append(1 / (1 + math.exp(-z)))
+        assert abs(got[i]["p_toxic"] - earlier[0]) < 1e-9 and abs(got[i]["p_second"] - earlier[1]) < 1e-9
+        assert got[i]["flagged"] == (i % 2 == 0)
+
+
+def plain_stats(text: str) -> dict:
+    import math
+    import re
+    from itertools import pairwise
+
+    words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate({c: c + 32 for c in range(65, 91)}))
+    text = text or ""
+    share = lambda a, b: a / b if b else 0.0
+    count = lambda p: len(re.findall(p, text))
+    letters, wide = count(r"[A-Za-z]") + count(r"[^\x00-\x7f]"), count(r"[^\x00-\x7f]")
+    blank = count(r"[\x20\x09-\x0D]")
+    return {
+        "chars": math.log1p(len(text)), "words": math.log1p(len(words)), "word_length": share(len(text) - blank, len(words)),
+        "letters": share(letters, len(text)), "upper": share(count("[A-Z]"), letters), "digits": share(count("[0-9]"), len(text)),
+        "signs": share(len(text) - letters - count("[0-9]") - blank, len(text)), "lines": share(count("\n"), len(words)),
+        "wide": share(wide, letters), "distinct": share(len(set(words)), len(words)),
+        "repeated": share(sum(a == b for a, b in pairwise(words)), len(words)),
+        "top_word": share(max(map(words.count, set(words)), default=0), len(words)),
+    }
+
+
+def test_statistics_equal_plain_counting(docs, spark):
+    texts = [t for _, t in ODD] + ["", "Ü ü É\n\nxX 12 12 !?", "\x00\x7f a", "日本 語", "a " * 50, None]
+    table = text_stats.text_stats(pa.array(texts, pa.string()))
+    for row, t in zip(table, texts, strict=True):
+        want = plain_stats(t)
+        assert [round(x, 9) for x in row] == [round(want[s], 9) for s in text_stats.STATS], t
+    rows = text_stats.beside(docs(list(enumerate(texts))), "text")
+    got = {r["row"]["doc_id"]: r for r in rows.collect()}
+    assert all(abs(got[i][s] - plain_stats(t)[s]) < 1e-9 for i, t in enumerate(texts) for s in text_stats.STATS)
+    assert got[0]["row"].asDict()["digest"] in ("x", None)
+    assert text_stats.text_stats(pa.array([], pa.string())).shape == (0, len(text_stats.STATS))
+
+
+def test_words_of_a_long_text_in_pieces(monkeypatch):
+    text = pa.array([" ".join(f"Wörd{i % 977} {'x' * (i % 40)}" for i in range(900)) + "y" * 900 + "  "])
+    whole = words.word_digests(text, words.SPACED)
+    monkeypatch.setattr(words, "SLICE_BYTES", 128)
+    apart = words.word_digests(text, words.SPACED)
+    assert apart.counts.tolist() == whole.counts.tolist() and apart.digests.tolist() == whole.digests.tolist()
+
+
+def test_scores_equal_the_rules_by_hand(spark):
+    """The compiled column is the logistic of the weights of the rules that hold."""
+    import math
+
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    stats = text_stats.with_stats(docs, "doc_id", "text")
+    ensemble = quality.learn(stats, labels, F.lit(True))
+    assert ensemble.weights
+    got = {r["id"]: r["score"] for r in stats.select("id", ensemble.score().alias("score")).collect()}
+    for d in given("documents"):
+        own = plain_stats(d["text"])
+        held = [w for rule, w in ensemble.weights.items() if all(own[s] <= v if upper else own[s] > v for s, upper, v in rule)]
+        assert abs(got[d["doc_id"]] - 1 / (1 + math.exp(-ensemble.intercept - sum(held)))) < 1e-9
+
+
 def test_toxicity_on_labelled_rows(spark):
     sf = "/root/testdata/sf0.01"
     got = QUERIES["op3_toxicity"](spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").collect()
@@ -198,6 +296,32 @@ def test_exact_dedup_of_odd_rows(docs, spark):
     assert exact_dedup.deduplicate(docs([]), index).count() == 0
 
 
+def test_indexes_in_folders_of_one_name_are_apart(docs, spark):
+    root = scratch_path(spark, "indexes")
+    once = lambda path, rows: of(exact_dedup.deduplicate(docs(rows), exact_dedup.DigestIndex(spark, path, 4)), "doc_id", "keep_id", "kept")
+    assert once(f"{root}/a/index", [(1, "x")]) == [(1, 1, True)]
+    assert once(f"{root}/b/index", [(7, "x")]) == [(7, 7, True)]
+    assert once(f"{root}/c/", [(8, "x")]) == [(8, 8, True)] and once(f"{root}/d/", [(9, "x")]) == [(9, 9, True)]
+    # with a slash or without it is the same folder, and a later index finds what is there
+    assert once(f"{root}/c", [(10, "x"), (11, "y")]) == [(10, 8, False), (11, 11, True)]
+
+
+def test_an_index_keeps_its_number_of_buckets(docs, spark):
+    path = scratch_path(spark, "index")
+    texts = [(i, f"text {i}") for i in range(40)]
+    exact_dedup.deduplicate(docs(texts), exact_dedup.DigestIndex(spark, path, 4)).collect()
+    other = spark.newSession()
+    with pytest.raises(ValueError, match="has 4 buckets, not 8"):
+        exact_dedup.DigestIndex(other, path, 8)
+    again = exact_dedup.DigestIndex(spark, path, 4)
+    assert exact_dedup.deduplicate(docs(texts), again).where("keep_id <> doc_id").isEmpty()
+    assert again.table().count() == 40
+    bare = scratch_path(spark, "bare")
+    spark.range(3).selectExpr("cast('a' as binary) as digest", "id as keep_id").write.parquet(bare)
+    with pytest.raises(ValueError, match="not the number of its buckets"):
+        exact_dedup.DigestIndex(spark, bare, 4)
+
+
 def test_index_outlives_the_batch(docs, spark):
     from conftest import plan_of
 
@@ -437,7 +561,7 @@ def test_null_ids_link_and_bridge(docs):
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
-    for t in ("documents", "pages", "benchmark", "labels"):
+    for t in ("documents", "pages", "benchmark", "labels", "embeddings"):
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     return con
 
@@ -446,7 +570,8 @@ def duck():
 def test_query(spark, duck, name):
     want = duck.sql(ORACLE[name])
     got = QUERIES[name](spark, SF)
-    cols = sorted(want.columns)
+    cols = sorted(got.columns)
+    assert cols == sorted(want.columns)
     places = [want.columns.index(c) for c in cols]
     assert sorted(repr(tuple(r[c] for c in cols)) for r in got.collect()) == sorted(repr(tuple(r[p] for p in places)) for r in want.fetchall())
 
@@ -454,6 +579,8 @@ def test_query(spark, duck, name):
 def test_queries_read_every_row(spark):
     n = {t: len(given(t)) for t in ("documents", "pages")}
     for name, query in QUERIES.items():
+        if name == "op13_hard_negatives":  # rows of pairs, held against SQL above
+            continue
         assert query(spark, SF).count() == n["pages" if name == "op5_warc" else "documents"], name
 
 

@@ -5,7 +5,6 @@ import random
 import struct
 import zlib
 
-import duckdb
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
@@ -16,7 +15,6 @@ from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from gateflow.llm import merkle, multi_index, simple8b, token_files
-from gateflow.llm.oracle import ORACLE
 from gateflow.llm.queries import QUERIES
 from gateflow.sinks.tables import scratch_path
 
@@ -287,14 +285,3 @@ def test_second_wave_stops_early(spark):
     (first,) = index.visits(query, None, None)
     missed = [i for i, p in enumerate(points) if p @ query[0] >= 100_000 and (own[0][i], own[1][i]) not in seen | {divmod(c, shape[1]) for c in first}]
     assert not missed and len(cells) < (index.counts > 0).sum()
-
-
-@pytest.mark.parametrize("name", ["op12_merkle", "op13_hard_negatives"])
-def test_query_equals_sql(spark, name):
-    con = duckdb.connect()
-    for t in ("documents", "embeddings"):
-        con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
-    df, want = QUERIES[name](spark, SF), con.sql(ORACLE[name])
-    assert sorted(df.columns) == sorted(want.columns)
-    places = [want.columns.index(c) for c in df.columns]
-    assert sorted(tuple(r) for r in df.collect()) == sorted(tuple(r[i] for i in places) for r in want.fetchall())
