@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Sequence
 from functools import reduce
+from hashlib import sha256
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -71,6 +72,39 @@ def write_table(
     return df.sparkSession.read.parquet(path)
 
 
+def write_lookup(df: DataFrame, path: str, key: str, sort_by: Sequence[str], buckets: int) -> DataFrame:
+    """Second access path of a table: rows by `key`, in `buckets` buckets, each file
+    sorted by the key and `sort_by`, with a bloom filter on the key.
+
+    A lookup of one key opens one bucket, and there the row groups that hold it; Spark
+    prunes buckets by one column, so further columns of a lookup are found by the sort
+    order. The rebalance hint deals rows as buckets do, so a bucket is one file, and a key
+    that has most of the rows is several. Later sessions get the table by `lookup`.
+    """
+    spark = df.sparkSession
+    laid = df.hint("rebalance", buckets, key)
+    writer = laid.write.mode("overwrite").bucketBy(buckets, key).sortBy(key, *sort_by)
+    bloom = {f"parquet.bloom.filter.enabled#{key}": "true", "path": path}
+    writer.options(**bloom).saveAsTable(_lookup_name(path))
+    return spark.table(_lookup_name(path))
+
+
+def lookup(spark: SparkSession, path: str, schema: T.StructType, key: str, sort_by: Sequence[str], buckets: int) -> DataFrame:
+    """Table that write_lookup left at `path`, with the layout it was written in."""
+    columns = ", ".join(f"{quoted(f.name)} {f.dataType.simpleString()}" for f in schema)
+    order = ", ".join(quoted(c) for c in (key, *sort_by))
+    spark.sql(f"DROP TABLE IF EXISTS {_lookup_name(path)}")  # the name only, its files stay
+    spark.sql(
+        f"CREATE TABLE {_lookup_name(path)} ({columns}) USING parquet "
+        f"CLUSTERED BY ({quoted(key)}) SORTED BY ({order}) INTO {int(buckets)} BUCKETS LOCATION '{path}'"
+    )
+    return spark.table(_lookup_name(path))
+
+
+def _lookup_name(path: str) -> str:
+    return "lookup_" + sha256(path.rstrip("/").encode()).hexdigest()[:24]
+
+
 def append_by_date(df: DataFrame, path: str, date_col: str, first: bool = False) -> DataFrame:
     """Append all dates in one write; the first write replaces the table."""
     return write_table(df, path, "overwrite" if first else "append", [date_col])

@@ -189,3 +189,21 @@ def test_station_master_from_its_file(spark, tmp_path):
     dim = read_station_dim(spark, str(file), {"lat": "double", "lng": "double"})
     assert dim.columns == ["역명", "역번호", "lat", "lng"]
     assert sorted(map(tuple, dim.collect())) == [("가", "1", None, None), ("강남", "222", 37.5, 127.0)]
+
+
+def test_lookup_opens_one_bucket_and_equals_the_month_layout(spark, path):
+    df = spark.range(6000).selectExpr("concat('s', id % 40) as k", "cast(id % 5 as int) as w", "id as v", "cast(id % 3 as int) as part")
+    df = df.unionByName(spark.range(3000).selectExpr("'hot' as k", "cast(id % 5 as int) as w", "id as v", "cast(id % 3 as int) as part"))
+    months = t.write_table(df, f"{path}/months", partition_by=["part"], sort_by=["k", "w"])
+    found = t.write_lookup(df, f"{path}/by_key", "k", ["w", "v"], 8)
+    again = t.lookup(spark.newSession(), f"{path}/by_key", found.schema, "k", ["w", "v"], 8)
+    for table in (found, again):
+        own = table.sparkSession
+        own.conf.set("spark.sql.sources.bucketing.autoBucketedScan.enabled", "false")  # the plan tells of buckets
+        assert "SelectedBucketsCount: 1 out of 8" in plan_of(table.where("k = 's7' and w = 2"))
+        own.conf.unset("spark.sql.sources.bucketing.autoBucketedScan.enabled")
+        for k in ("s7", "hot", "none"):
+            ask = f"k = '{k}' and w = 2"
+            assert rows(table.where(ask).select("k", "w", "v", "part")) == rows(months.where(ask).select("k", "w", "v", "part"))
+    files = {f.rsplit("/", 1)[1] for f in found.inputFiles()}
+    assert len(files) <= 8 + 8  # about a file per bucket, not one per task and bucket

@@ -271,6 +271,22 @@ def _(spark, sf):
     return rows.select("base_date", "stn_name", "line_num", "hour", "on_cnt", "off_cnt")
 
 
+@query(
+    "k8_lookup",
+    sql(
+        "kpi",
+        """select base_date, stn_name, line_num, hour, on_cnt, off_cnt from kpi
+        where stn_name = 'Supplier#000000003역' and line_num in (1, 4)""",
+    ),
+)
+def _(spark, sf):
+    """One station and two lines of the hourly mart by its second access path."""
+    path = t.scratch_path(spark, "by-station")
+    by_station = t.write_lookup(fx.kpi(spark, sf), path, "stn_name", ["line_num", "base_date"], 16)
+    rows = pick(by_station, stn_name="Supplier#000000003역", line_num=[1, 4])
+    return rows.select("base_date", "stn_name", "line_num", "hour", "on_cnt", "off_cnt")
+
+
 # --- deliveries ---------------------------------------------------------------------------
 
 
