@@ -4,14 +4,17 @@ Base rule: e-mail addresses, IPv4 addresses, card numbers that pass Luhn's check
 and phone numbers, each kind by its own leftmost non-overlapping matches.
 
 Bootstrapping: every base match is an instance and a seed; every other word of five
-characters or more with a digit or an @, without closing punctuation, is an
-instance unless it overlaps a base match. The two words before an instance are its
-pattern, whatever they hold; for a base match inside a word, those before that
-word. Instances with fewer words before them have no pattern. Patterns and
-instances form a graph, scored in rounds: a pattern by the share of its
-occurrences that are trusted instances, an instance by the patterns it occurs in
-(noisy or). Patterns that end up with a high score and enough trusted instances
-mark their other tokens as personal data of the kind `context`.
+characters or more with a digit or an @, without quotes, brackets and other marks
+around it, is an instance unless it overlaps a base match. Such a word is a seed too if
+it has the shape of a secret: 16 to 512 letters, digits and signs of encodings in which
+runs of digits and of others take turns four times or more. The two words before an
+instance are its pattern, whatever they hold; for a base match inside a word, those
+before that word. Instances with fewer words before them have no pattern. Patterns and
+instances form a graph, scored in rounds until no further pattern is trusted: a pattern
+by the share of its occurrences that are trusted instances, an instance by the patterns
+it occurs in (noisy or). Patterns that end up with a high score and enough trusted
+instances mark all their tokens beside the base matches as personal data of the kind
+`context`, whatever their shape; a secret in no trusted context is not marked.
 
 Everything is DataFrame expressions. Places come from the matches and the gaps
 between them, summed in blocks, so a text with many matches stays linear. Patterns
@@ -42,7 +45,13 @@ PATTERNS = {
 TOKEN = r"(?<!\S)(?=\S*[0-9@])\S++"
 #: The last two words of a text; each word is tried once.
 LAST_TWO = r"(?<!\S)\S++\s++\S++\s*+\z"
-ROUNDS, TRUST, SUPPORT, BLOCK = 3, 0.75, 3, 400
+TRUST, SUPPORT, BLOCK = 0.75, 3, 400
+#: Scores change ever less; a graph that still gains patterns after so many rounds stops.
+ROUNDS = 12
+#: Marks around a token that are not part of it, and the shape of a secret.
+OPENING, CLOSING = r"^[\"'`(<\[{]+", r"[\"'`)>\]}.,;:!?#*%$]+$"
+SECRET = r"^[A-Za-z+/_=-]*+(?:[0-9]++[A-Za-z+/_=-]++){4,}+[0-9]*+$"
+SECRET_LENGTH = (16, 512)
 #: Characters of an instance that is no base match.
 LEAST = 5
 _BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
@@ -152,10 +161,11 @@ def last_of(items: Column, holds) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    """Words with a digit or an @: start, end and instance without closing
-    punctuation, and pattern (two words before, digits as 0; null where the text has
-    fewer words there)."""
-    tell = lambda m: F.regexp_replace(m["match"], r"[.,;:!?)]+$", "")
+    """Words with a digit or an @: start, end and instance without the marks around it,
+    and pattern (two words before, digits as 0; null where the text has fewer words
+    there)."""
+    opened = lambda m: F.regexp_replace(m["match"], OPENING, "")
+    tell = lambda m: F.regexp_replace(opened(m), CLOSING, "")
 
     def pattern(of: Column, m: Column, i: Column) -> Column:
         # tokens are whole words, so two of them and their gaps hold two words
@@ -168,26 +178,29 @@ def tokens(text: Column) -> Column:
         return F.transform(
             of,
             lambda m, i: F.struct(
-                m["start"].alias("start"),
-                (m["start"] + F.length(tell(m))).alias("end"),
+                (m["end"] - F.length(opened(m))).alias("start"),
+                (m["end"] - F.length(opened(m)) + F.length(tell(m))).alias("end"),
                 tell(m).alias("instance"),
                 pattern(of, m, i).alias("pattern"),
+                m["start"].alias("word"),
             ),
         )
 
-    none = F.array().cast("array<struct<start:bigint,end:bigint,instance:string,pattern:string>>")
+    none = F.array().cast("array<struct<start:bigint,end:bigint,instance:string,pattern:string,word:bigint>>")
     return F.when(text.rlike("[0-9@]"), let(found(text, TOKEN), told)).otherwise(none)
 
 
 def instances() -> Column:
     """Base matches, as seeds with the pattern of the token they begin in, and tokens
-    of some length that overlap none; over columns KINDS and `token`."""
+    of some length that overlap none, seeds if they look like secrets; over columns KINDS
+    and `token`."""
 
     def seed(m: Column) -> Column:
-        there = last_of(F.col("token"), lambda t: t["start"] <= m["start"])
+        there = last_of(F.col("token"), lambda t: t["word"] <= m["start"])
         return F.struct(
-            m["start"].alias("start"), m["end"].alias("end"), m["match"].alias("instance"), there["pattern"].alias("pattern"), F.lit(True).alias("seed")
-        )
+            m["start"].alias("start"), m["end"].alias("end"), m["match"].alias("instance"), there["pattern"].alias("pattern"),
+            F.lit(True).alias("seed"), F.lit(True).alias("base"),
+        )
 
     def beside(tokens: Column, kind: str) -> Column:
         # matches of one kind lie one after another
@@ -198,7 +211,11 @@ def instances() -> Column:
     free = F.filter("token", lambda t: F.length(t["instance"]) >= LEAST)
     for kind in KINDS:
         free = beside(free, kind)
-    others = F.transform(free, lambda t: F.struct(*(t[c].alias(c) for c in ("start", "end", "instance", "pattern")), F.lit(False).alias("seed")))
+    secret = lambda x: F.length(x).between(*SECRET_LENGTH) & F.when(F.length(x) <= SECRET_LENGTH[1], x).rlike(SECRET)
+    told = lambda t: F.struct(
+        *(t[c].alias(c) for c in ("start", "end", "instance", "pattern")), F.coalesce(secret(t["instance"]), F.lit(False)).alias("seed"), F.lit(False).alias("base")
+    )
+    others = F.transform(free, told)
     return F.concat(*(F.transform(k, seed) for k in KINDS), others)
 
 
@@ -209,7 +226,8 @@ def trusted_patterns(edges: DataFrame) -> DataFrame:
         edges.groupBy("pattern", "instance").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("seed").cast("double")).alias("score")),
         "pii-graph",
     )
-    for k in range(ROUNDS):
+    known = -1
+    for _ in range(ROUNDS):
         # patterns with support, the graph's small part, go on
         scored = (
             graph.groupBy("pattern")
@@ -217,14 +235,15 @@ def trusted_patterns(edges: DataFrame) -> DataFrame:
                 (F.sum(F.col("n") * F.col("score")) / (F.sum("n") + 1)).alias("trust"),
                 F.count_if(F.col("score") > 0).alias("support"),
             )
-            .where(F.col("support") >= SUPPORT)
+            .where((F.col("support") >= SUPPORT) & (F.col("trust") >= TRUST))
         )
-        if k + 1 == ROUNDS:
-            return scored.where(F.col("trust") >= TRUST).select("pattern")
+        trusted = stored(scored.select("pattern", "trust"), "pii-trusted")
+        n = trusted.count()
+        if n == known:  # scores only rise, so none has gone either
+            break
+        known = n
         lifted = (
-            graph.join(scored.where(F.col("trust") >= TRUST), "pattern")
-            .groupBy("instance")
-            .agg((1 - F.exp(F.sum(F.log(1 - F.col("trust"))))).alias("lift"))
+            graph.join(trusted, "pattern").groupBy("instance").agg((1 - F.exp(F.sum(F.log(1 - F.col("trust"))))).alias("lift"))
         )
         graph = stored(
             graph.join(lifted, "instance", "left").select(
@@ -232,6 +251,7 @@ def trusted_patterns(edges: DataFrame) -> DataFrame:
             ),
             "pii-graph",
         )
+    return trusted.select("pattern")
 
 
 def personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -246,7 +266,7 @@ def personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     edges = read.where(F.size("token") > 0).select("id", "key", F.explode(instances()).alias("t")).select("id", "key", "t.*").where("pattern is not null")
     patterns = stored(trusted_patterns(edges), "pii-patterns")
     added = (
-        edges.where("not seed")
+        edges.where("not base")
         .join(patterns, "pattern")
         .groupBy("id", "key")
         .agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("context"))

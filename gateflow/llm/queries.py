@@ -32,6 +32,8 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         *(F.size(k).cast("long").alias(f"n_{k}") for k in KINDS),
         F.sha2(written(KINDS), 256).alias("base_sha256"),
         written((*KINDS, "context")).alias("spans"),
+        F.size("context").cast("long").alias("n_context"),
+        sum((F.size(k) for k in (*KINDS, "context")), F.lit(0)).cast("long").alias("n_spans"),
     )
 
 

@@ -103,7 +103,8 @@ def test_instances_of_odd_texts_match_plain_rules(docs):
     import re
 
     pick = random.Random(8)
-    pieces = ["a.b@c.de", "x@y", "1.2.3.4", "4111 1111 1111 1111", "+1 (234) 555-7890", "(743)", "word", "Other", "12345,", "7", "😀", "("]
+    pieces = ["a.b@c.de", "x@y", "1.2.3.4", "4111 1111 1111 1111", "+1 (234) 555-7890", "(743)", "word", "Other", "12345,", "7", "😀", "(",
+              '"a1b2c3d4e5f6a7b8"', "<0a0b0c0d0e0f0g0h>!!", "a1b2c3d4 e5f6", "[abcdef123456789abcdef]", "#" ]
     rows = [(i, "".join(pick.choice(pieces) + pick.choice(["", " ", "  ", "\n"]) for _ in range(pick.randint(1, 25)))) for i in range(60)]
 
     def plain(text):
@@ -112,12 +113,16 @@ def test_instances_of_odd_texts_match_plain_rules(docs):
         pattern = lambda at: re.sub("[1-9]", "0", before(at).lower()) if " " in before(at) else None
         base, out = personal(text), []
         for _, s, e in base:
-            out.append((s, e, text[s:e], pattern(max(w.start() for w in words if w.start() <= s)), True))
+            out.append((s, e, text[s:e], pattern(max(w.start() for w in words if w.start() <= s)), True, True))
         for w in words:
-            told = re.sub(r"[.,;:!?)]+$", "", w[0])
-            s, e = w.start(), w.start() + len(told)
+            opened = w[0].lstrip("\"'`(<[{")
+            told = opened.rstrip("\"'`)>]}.,;:!?#*%$")
+            s = w.end() - len(opened)
+            e = s + len(told)
+            turns = len(re.findall("[0-9]+[A-Za-z+/_=-]+", told))
+            secret = bool(16 <= len(told) <= 512 and re.fullmatch("[A-Za-z0-9+/_=-]+", told) and turns >= 4)
             if re.search("[0-9@]", w[0]) and len(told) >= 5 and not any(a < e and s < b for _, a, b in base):
-                out.append((s, e, told, pattern(s), False))
+                out.append((s, e, told, pattern(w.start()), secret, False))
         return sorted(out, key=repr)
 
     cut = [pii.base_matches(F.col("text"), k).alias(k) for k in pii.KINDS]
@@ -126,6 +131,36 @@ def test_instances_of_odd_texts_match_plain_rules(docs):
     assert got == {i: plain(t) for i, t in rows}
 
 
+def test_secrets_teach_their_context(docs, spark):
+    """A trusted context marks what stands in it, also what has another shape."""
+    pick = random.Random(11)
+    hexes = ["".join(pick.choice("0123456789abcdef") for _ in range(40)) for _ in range(12)]
+    rows = [(100 + i, f'{prose(6, i)} token = "{h}" {prose(6, 100 + i)}') for i, h in enumerate(hexes)]
+    other = [(50, f'{prose(6, 50)} token = "swordfish1" {prose(4, 1)}'), (51, f"{prose(6, 51)} commit 12 {hexes[0][::-1]} here"), (52, f"{prose(5, 2)} token is 12345 now")]
+    got = {r["doc_id"]: [tuple(x) for x in r["context"]] for r in pii.personal_data(docs(rows + other + ODD)).collect() if r["doc_id"] is not None}
+    for i, (_, text) in enumerate(rows):
+        at = text.index(hexes[i])
+        assert got[100 + i] == [(at, at + 40)]
+    at = other[0][1].index("swordfish1")
+    assert got[50] == [(at, at + 10)] and got[51] == [] and got[52] == []
+
+
+def test_planted_secrets_of_the_documents_are_found(spark):
+    import re
+
+    got = {r["doc_id"]: r for r in QUERIES["op1_pii"](spark, SF.replace("sf0.001", "sf0.01")).collect()}
+    import pyarrow.parquet as pq
+
+    held = 0
+    for d in pq.read_table(f"{SF.replace('sf0.001', 'sf0.01')}/documents.parquet").to_pylist():
+        secrets = [m.span(1) for m in re.finditer(r'token = "([0-9a-f]+)"', d["text"] or "")]
+        held += bool(secrets)
+        told = got[d["doc_id"]]["spans"].split(",")
+        assert [f"context:{a}:{b}" in told for a, b in secrets] == [True] * len(secrets)
+        assert got[d["doc_id"]]["n_context"] == len(secrets)  # and nothing else is marked
+    assert held > 5
+
+
 def test_pii_has_no_python_on_the_executors(spark):
     from conftest import plan_of
 
