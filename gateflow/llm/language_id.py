@@ -7,10 +7,19 @@ number of phrases times the bits that point at a phrase in the sample, per
 character, is the cross-parsing entropy. The smallest entropy wins, ties go to the
 language first in order.
 
-Text is lower-cased; every run of other characters than letters is one blank. The
-automata's transitions are tables, and many pieces of text are parsed at once, one
-character each per step. Texts are parsed whole, in pieces of PIECE characters
-(no phrase crosses into the next piece).
+Text is lower-cased; every run of other characters than letters is one blank. Texts are
+parsed whole. Many pieces of PIECE characters are parsed at once, one character each per
+step, each as though a phrase began there; then every piece is parsed again with the
+phrase that reaches into it, as far as the first place where both parses are in the same
+state, from where on they agree. So the result is that of one parse from left to right.
+
+A language's sample are SAMPLE_DOCS different texts at most, whole, those first by a
+digest of the text, and of them as many as have SAMPLE_CHARS characters in all; longer
+texts are passed over, unless a language has no other, then its shortest is taken. More
+than LANGUAGES languages stop the run. Transitions by the DENSE most frequent letters of
+a language are a table, those by other letters are sorted keys: a worker holds about
+4 * (DENSE + 1) bytes a state, two states a character at most, so 13 MB for a language of
+30 letters, and 400 MB for LANGUAGES of them.
 
 Null texts and texts without a letter give `und` and score 0, as do all texts if
 nothing was learned. Rows are independent; an empty table gives an empty result.
@@ -26,14 +35,13 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gateflow.llm.tables import prepared
+from gateflow.llm.tables import prepared, stored
 
 UNDETERMINED = "und"
-#: Sample per language: documents, and characters of each; languages at most, and
-#: characters of all samples together, which bounds the tables.
-SAMPLE_DOCS, SAMPLE_CHARS, LANGUAGES, SAMPLE_TOTAL = 60, 1_000, 200, 1_000_000
-#: Letters beyond this many count as unknown ones.
-LETTERS = 250
+#: Sample per language: different texts, and characters of all of them; languages.
+SAMPLE_DOCS, SAMPLE_CHARS, LANGUAGES = 60, 60_000, 64
+#: Letters of a language whose transitions are a table.
+DENSE = 48
 PIECE = 512
 #: Pieces parsed side by side.
 LANES = 8_192
@@ -81,83 +89,157 @@ class SuffixAutomaton:
         return len(self.next) - 1
 
 
+class Transitions:
+    """Moves of an automaton for many states at once. A move that doesn't exist ends the
+    phrase: it is given as -1 less the root's move by the same letter, so -1 tells that
+    the sample lacks the letter."""
+
+    def __init__(self, sample: str):
+        automaton = SuffixAutomaton(sample)
+        counts: dict[str, int] = {}
+        for c in sample:
+            counts[c] = counts.get(c, 0) + 1
+        letters = sorted(counts, key=lambda c: (-counts[c], c))
+        self.codes = np.zeros(0x110000, np.int32)  # 0 is an unknown letter
+        self.codes[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
+        self.dense, self.alphabet = min(DENSE, len(letters)) + 1, len(letters) + 1
+        code = {c: i + 1 for i, c in enumerate(letters)}
+        table = np.full((len(automaton.next), self.dense), -1, np.int32)
+        root = np.zeros(self.alphabet, np.int64)
+        rare: dict[int, int] = {}
+        for state, following in enumerate(automaton.next):
+            for c, to in following.items():
+                k = code[c]
+                if k < self.dense:
+                    table[state, k] = to
+                else:
+                    rare[state * self.alphabet + k] = to
+                if not state:
+                    root[k] = to
+        self.table = np.where(table < 0, -1 - root[: self.dense].astype(np.int32), table).ravel()
+        self.missing = -1 - root
+        keys = np.array(sorted(rare), np.int64)
+        self.keys, self.targets = keys, np.array([rare[k] for k in keys.tolist()], np.int64)
+
+    def __call__(self, states: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        if self.dense == self.alphabet:
+            return self.table[states * self.dense + codes]
+        rare = codes >= self.dense
+        moves = self.table[states * self.dense + np.where(rare, 0, codes)].astype(np.int64)
+        if rare.any():
+            keys = states[rare].astype(np.int64) * self.alphabet + codes[rare]
+            at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+            moves[rare] = np.where(self.keys[at] == keys, self.targets[at], self.missing[codes[rare]])
+        return moves
+
+
+def _step(moves: np.ndarray, states: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(phrases that end, states) after moves from states."""
+    miss = moves < 0
+    # a letter that the sample lacks is a phrase alone, after the one it ends
+    return miss.astype(np.int32) + ((moves == -1) & (states != 0)), np.where(miss, -1 - moves, moves)
+
+
 class Languages:
-    """Automata of the samples as tables, and the parse of many texts at once."""
+    """Automata of the samples, and the parse of many texts at once."""
 
     def __init__(self, samples: dict[str, str]):
         self.names = sorted(samples)
-        letters: dict[str, int] = {}
-        for s in samples.values():
-            for c in s:
-                letters[c] = letters.get(c, 0) + 1
-        kept = sorted(letters, key=lambda c: (-letters[c], c))[:LETTERS]
-        self.alphabet = len(kept) + 1  # 0 is an unknown letter
-        self.codes = np.zeros(0x110000, np.uint8)
-        self.codes[[ord(c) for c in kept]] = np.arange(1, len(kept) + 1)
-        self.tables, self.bits = [], []
-        for name in self.names:
-            automaton = SuffixAutomaton(samples[name])
-            table = np.full((len(automaton.next), self.alphabet), -1, np.int32)
-            for state, following in enumerate(automaton.next):
-                for c, to in following.items():
-                    if code := self.codes[ord(c)]:
-                        table[state, code] = to
-            # where a phrase ends, the next begins with the same character: the
-            # negative entry tells the root's move, -1 that the root has none
-            root = np.maximum(table[0], 0)
-            self.tables.append(np.where(table < 0, -1 - root[None, :], table).astype(np.int32).ravel())
-            self.bits.append(float(np.log2(len(samples[name]) + 1)))
+        self.automata = [Transitions(samples[name]) for name in self.names]
+        self.bits = [float(np.log2(len(samples[name]) + 1)) for name in self.names]
 
     def entropies(self, texts: list[str]) -> np.ndarray:
         """Bits per character of each text (rows) under each language (columns)."""
-        pieces, owner = [], []
-        for i, t in enumerate(texts):
-            pieces += [t[k : k + PIECE] for k in range(0, len(t), PIECE)]
-            owner += [i] * -(-len(t) // PIECE)
         phrases = np.zeros((len(texts), len(self.names)))
-        owner = np.asarray(owner, np.int64)
-        order = sorted(range(len(pieces)), key=lambda k: -len(pieces[k]))
-        for at in range(0, len(order), LANES):
-            lane = order[at : at + LANES]
-            sizes = np.array([len(pieces[k]) for k in lane])
-            codes = np.zeros((len(lane), sizes[0]), np.uint8)
-            flat = self.codes[np.frombuffer("".join(pieces[k] for k in lane).encode("utf-32-le"), np.uint32)]
-            codes[np.arange(sizes[0]) < sizes[:, None]] = flat
-            steps = np.ascontiguousarray(codes.T)
-            live = np.searchsorted(-sizes, -np.arange(sizes[0]), side="left")  # lanes longer than the step
-            for j, table in enumerate(self.tables):
-                np.add.at(phrases[:, j], owner[lane], self._count(table, steps, live))
+        pieces = [(i, k) for i, t in enumerate(texts) for k in range(0, len(t), PIECE)]
+        carried = np.zeros(len(self.names), np.int64)  # where the last text of a group goes on in the next
+        for at in range(0, len(pieces), LANES):
+            lane = pieces[at : at + LANES]
+            owner = np.array([i for i, _ in lane])
+            joined = np.array([k > 0 for _, k in lane])
+            parts = [texts[i][k : k + PIECE] for i, k in lane]
+            points = np.zeros((len(lane), PIECE), np.uint32)
+            sizes = np.array([len(x) for x in parts])
+            points[np.arange(PIECE) < sizes[:, None]] = np.frombuffer("".join(parts).encode("utf-32-le"), np.uint32)
+            last = np.append(owner[1:] != owner[:-1], at + LANES >= len(pieces) or pieces[at + LANES][1] == 0)
+            for j, automaton in enumerate(self.automata):
+                ended, state = _parsed(automaton, points, sizes, joined, int(carried[j]))
+                np.add.at(phrases[:, j], owner, ended + (last & (state != 0)))
+                carried[j] = state[-1]
         chars = np.array([max(1, len(t)) for t in texts])
         return phrases * np.array(self.bits) / chars[:, None]
 
-    def _count(self, table: np.ndarray, steps: np.ndarray, live: np.ndarray) -> np.ndarray:
-        n = steps.shape[1]
-        state, ended = np.zeros(n, np.int32), np.zeros(n, np.int32)
-        for codes, m in zip(steps, live.tolist(), strict=True):
-            move = table[state[:m] * np.int32(self.alphabet) + codes[:m]]
-            miss = move < 0
-            ended[:m] += miss
-            # a letter that the sample lacks is a phrase alone, after the one it ends
-            ended[:m] += (move == -1) & (state[:m] != 0)
-            state[:m] = np.where(miss, -1 - move, move)
-        return ended + (state != 0)
+
+def _parsed(move: Transitions, points: np.ndarray, sizes: np.ndarray, joined: np.ndarray, carried: int) -> tuple[np.ndarray, np.ndarray]:
+    """Phrases that end in each piece, and the state behind it, where a `joined` piece
+    goes on from the one before it (the first of all from the state `carried`)."""
+    lanes = len(sizes)
+    order = np.argsort(-sizes, kind="stable")
+    steps = np.ascontiguousarray(move.codes[points[order]].T)
+    live = np.searchsorted(-sizes[order], -np.arange(PIECE), side="left")  # lanes longer than the step
+    states, counts = np.zeros((PIECE, lanes), np.int32), np.zeros((PIECE, lanes), np.int16)
+    state, ended = np.zeros(lanes, np.int64), np.zeros(lanes, np.int32)
+    for k, m in enumerate(live.tolist()):
+        if not m:
+            break
+        more, state[:m] = _step(move(state[:m], steps[k, :m]), state[:m])
+        ended[:m] += more
+        states[k, :m], counts[k, :m] = state[:m], ended[:m]
+    place = np.empty(lanes, np.int64)
+    place[order] = np.arange(lanes)  # lane of each piece
+    alone, final = ended[place], state[place].copy()
+    total, behind = alone.copy(), final.copy()
+    before = np.append(carried, final[:-1])
+    fix = np.flatnonzero(joined & (before != 0))
+    while len(fix):
+        start, here, got = before[fix], place[fix], np.zeros(len(fix), np.int32)
+        result, out = np.zeros(len(fix), np.int32), np.zeros(len(fix), np.int64)
+        going, at = np.arange(len(fix)), start.astype(np.int64)
+        for k in range(PIECE):
+            more, now = _step(move(at, steps[k, here[going]]), at)
+            got[going] += more
+            met = now == states[k, here[going]]
+            stop = met | (sizes[fix[going]] == k + 1)
+            rest = alone[fix[going]] - counts[k, here[going]]
+            done = going[stop]
+            result[done] = got[done] + np.where(met, rest, 0)[stop]
+            out[done] = np.where(met, final[fix[going]], now)[stop]
+            going, at = going[~stop], now[~stop]
+            if not len(going):
+                break
+        total[fix] = result
+        changed = behind[fix] != out
+        behind[fix] = out
+        after = fix[changed] + 1
+        after = after[(after < lanes)]
+        after = after[joined[after]]
+        before[after] = behind[after - 1]
+        fix = after
+    return total, behind
 
 
 def learn(docs: DataFrame, usable: Column, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> dict[str, str]:
-    """Sample text per language from rows that `usable` marks: SAMPLE_DOCS texts of
-    each language, in the order of a digest of the id, SAMPLE_CHARS of each; a text
-    that several rows have is taken once. At most LANGUAGES languages."""
-    rows = docs.where(usable & F.col(lang).isNotNull() & (F.length(F.coalesce(F.col(text), F.lit(""))) > 0)).select(
-        F.col(lang).cast("string").alias("lang"), F.substring(text, 1, SAMPLE_CHARS).alias("text"), F.xxhash64(F.col(doc_id)).alias("turn")
+    """Sample text per language from rows that `usable` marks, see above."""
+    length = F.length(F.coalesce(F.col(text), F.lit("")))
+    rows = docs.where(usable & F.col(lang).isNotNull() & (length > 0)).select(
+        F.col(lang).cast("string").alias("lang"), F.xxhash64(text).alias("turn"), length.alias("size"), F.col(text).alias("text")
     )
-    place = F.row_number().over(Window.partitionBy("lang").orderBy("turn", "text"))
-    picked = rows.withColumn("place", place).where(F.col("place") <= SAMPLE_DOCS).orderBy("lang", "place")
+    found = rows.select("lang").distinct().limit(LANGUAGES + 1).count()
+    if found > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages are labelled")
+    # places by digest and length alone; of equal texts one row per task is shuffled
+    different = rows.groupBy("lang", "turn").agg(F.max("size").alias("size"))
+    fits = F.when(F.col("size") > SAMPLE_CHARS, F.col("size")).otherwise(0)  # longer ones last, the shortest first
+    by_turn = Window.partitionBy("lang").orderBy(fits, "turn")
+    first = different.withColumn("place", F.row_number().over(by_turn)).where(F.col("place") <= SAMPLE_DOCS)
+    so_far = F.sum("size").over(by_turn.rowsBetween(Window.unboundedPreceding, 0))
+    picked = first.withColumn("chars", so_far).where((F.col("chars") <= SAMPLE_CHARS) | (F.col("place") == 1))
+    picked = stored(picked.select("lang", "turn", "place"), "language-picks")  # LANGUAGES * SAMPLE_DOCS rows at most
+    chosen = rows.join(F.broadcast(picked), ["lang", "turn"]).groupBy("lang", "place").agg(F.min("text").alias("text"))
     samples: dict[str, list[str]] = {}
-    for r in picked.limit(LANGUAGES * SAMPLE_DOCS).collect():  # bounded by the parameters above
-        if r["text"] not in samples.setdefault(r["lang"], []):
-            samples[r["lang"]].append(r["text"])
-    most = SAMPLE_TOTAL // max(1, len(samples))
-    plains = {k: "".join(map(plain, v))[:most] for k, v in samples.items()}
+    for r in chosen.orderBy("lang", "place").collect():  # bounded by the parameters above
+        samples.setdefault(r["lang"], []).append(r["text"])
+    plains = {k: "".join(map(plain, v)) for k, v in samples.items()}
     return {k: v for k, v in plains.items() if v}
 
 

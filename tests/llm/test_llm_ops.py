@@ -464,15 +464,42 @@ def longest(text, sample):
     return n
 
 
-def test_parse_counts_longest_phrases():
-    samples = {"a": language_id.plain("the cat sat on the mat with another cat"), "b": language_id.plain("le chat est sur la table")}
+def test_parse_counts_longest_phrases(monkeypatch):
+    pick = random.Random(9)
+    beyond = [chr(0x4E00 + i) for i in range(300)]
+    samples = {
+        "a": language_id.plain("the cat sat on the mat with another cat"),
+        "b": language_id.plain("le chat est sur la table"),
+        "c": language_id.plain("".join(pick.choice(beyond) for _ in range(900)) + " mat"),  # more letters than the table has
+        "d": language_id.plain("ab" * 400 + "x" + "ab" * 300),
+    }
     languages = language_id.Languages(samples)
-    texts = [language_id.plain(t) for t in ("the cat on a mat", "le chat, la table!", "zzz", "x" * 1_300, "thé")]
-    got = languages.entropies(texts)
-    for i, t in enumerate(texts):
-        for j, name in enumerate(languages.names):
-            want = sum(longest(t[k : k + language_id.PIECE], samples[name]) for k in range(0, len(t), language_id.PIECE))
-            assert round(got[i, j] * len(t) / languages.bits[j]) == want
+    texts = ["the cat on a mat", "le chat, la table!", "zzz", "x" * 1_300, "thé", "ab" * 900 + "ba" * 300, "".join(pick.choice(beyond) for _ in range(700))]
+    texts += [samples["c"][:600] + "q" + samples["c"][3:800], "cat on the mat " * 120, "a", "ab" * 2000]
+    texts += ["".join(pick.choice("abcthe mx" + beyond[0]) for _ in range(pick.randint(1, 400))) for _ in range(30)]
+    texts = [language_id.plain(t) for t in texts]
+    for piece, lanes in ((512, 8192), (7, 8192), (16, 5), (3, 1)):
+        monkeypatch.setattr(language_id, "PIECE", piece)
+        monkeypatch.setattr(language_id, "LANES", lanes)
+        got = languages.entropies(texts)
+        for i, t in enumerate(texts):
+            for j, name in enumerate(languages.names):
+                assert round(got[i, j] * len(t) / languages.bits[j]) == longest(t, samples[name]), (piece, lanes, i, name)
+
+
+def test_samples_of_languages(docs, monkeypatch):
+    monkeypatch.setattr(language_id, "SAMPLE_CHARS", 100)
+    rows = [(i, "the same copied text of many rows") for i in range(40)] + [(100 + i, f"other words {chr(97 + i) * 9} here") for i in range(8)]
+    (sample,) = language_id.learn(docs(rows), F.lit(True)).values()
+    assert sample.count("copied") <= 1 and 50 < len(sample) <= 110
+    long = [(1, "w" * 500 + " end"), (2, "v" * 300 + " shorter")]
+    (sample,) = language_id.learn(docs(long), F.lit(True)).values()
+    assert sample == f" {'v' * 300} shorter "  # whole, though longer than the bound
+    many = docs(rows).withColumn("lang", F.concat(F.lit("l"), F.col("doc_id") % 30))
+    assert len(language_id.learn(many, F.lit(True))) == 30
+    monkeypatch.setattr(language_id, "LANGUAGES", 29)
+    with pytest.raises(ValueError, match="more than 29 languages"):
+        language_id.learn(many, F.lit(True))
 
 
 def test_language_of_odd_rows(docs):
