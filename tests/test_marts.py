@@ -199,3 +199,17 @@ def test_flow_type(spark):
 
 def test_traffic_divisor_is_a_parameter():
     assert Thresholds().traffic_divisor == 1_000_000
+
+
+def test_reports_are_in_order(spark):
+    rows = [(date(2021, 1, 1 + (5 * i) % 28), "s", 1, (7 * i) % 20 + 5, i, 1, 0, 0, 0, 0, 0, 0) for i in range(60)]
+    names = ["peak_morning_on", "peak_lunch_on", "peak_evening_on", "peak_morning_off", "peak_lunch_off", "peak_evening_off"]
+    kpi = spark.createDataFrame(rows, "base_date date, stn_name string, line_num int, hour int, on_cnt bigint, off_cnt bigint, " + ", ".join(f"{n} bigint" for n in names))
+    hours = [r.hour for r in reports.hourly_pattern(kpi, "2021-01").collect()]
+    assert hours == sorted(set(hours)) and len(hours) > 10
+    growth = spark.createDataFrame([(date(2020 + i % 2, 1 + (5 * i) % 12, 1),) for i in range(24)], "base_ym date")
+    months = [r.base_ym for r in marts.available_months(growth).collect()]
+    assert months == sorted(set(months), reverse=True) and len(months) > 10
+    daily = spark.createDataFrame([(r[0], "s역", 1, 1, 1, 2, "평일") for r in rows], "base_date date, stn_name string, line_num int, on_cnt bigint, off_cnt bigint, total_flow bigint, day_label string")
+    days = [r.base_date for r in reports.calendar_heatmap(daily, "2021-01").collect()]
+    assert days == sorted(days) and len(days) > 10
