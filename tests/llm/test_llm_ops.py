@@ -638,6 +638,15 @@ def test_query(spark, duck, name):
     assert sorted(repr(tuple(r[c] for c in cols)) for r in got.collect()) == sorted(repr(tuple(r[p] for p in places)) for r in want.fetchall())
 
 
+def test_rows_without_an_id_are_not_held_out(docs, tmp_path, spark):
+    rows = docs([(i, prose(30, i)) for i in range(40)] + [(None, prose(30, 99))])
+    rows.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for name in ("op2_quality", "op7_language_id"):
+        (row,) = QUERIES[name](spark, str(tmp_path)).where("doc_id is null").collect()
+        assert row["held_out"] is False
+
+
 def test_queries_read_every_row(spark):
     n = {t: len(given(t)) for t in ("documents", "pages")}
     for name, query in QUERIES.items():

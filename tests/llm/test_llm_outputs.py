@@ -61,7 +61,8 @@ def test_simple8b_words_are_as_full_as_the_selectors_allow():
 def test_word_coder_equals_the_tokenizer():
     plain = Tokenizer.from_file(VOCABULARY)
     pieces = ["don't", "DON'T", "'s", "'Sabc", "a.b", ".", ",", "...", "é", "É", "J̌", " ́", "<|endoftext|>", "<|ENDOFTEXT|>", "123", "１２",
-              " ", "\x1c", "\x85", "ΑΣ", "日本語", "한국", "a,'s", "x)y", "A;́b", "İ", "ǅ", "ﬁ", "\n", " ", "w" * 300, "😀", "ſ", "K", "'re", "!"]
+              " ", "\x1c", "\x85", "ΑΣ", "日本語", "한국", "a,'s", "x)y", "A;́b", "İ", "ǅ", "ﬁ", "\n", " ", "w" * 300, "😀", "ſ", "K", "'re", "!",
+              "x$$", "é.", "É-", "×.", "÷,", "ñ'", "a|", "b>", "c<", "|>", "<|", "é\u0301.", "a\u0301,", "_", "a=b", "#x", "ß%", "ÿ/", "'", "''s", "-'s"]
     pick = random.Random(3)
     texts = ["".join(pick.choice(pieces) for _ in range(pick.randint(0, 12))) for _ in range(3000)]
     coder = token_files.WordCoder(open(VOCABULARY, encoding="utf-8").read())
