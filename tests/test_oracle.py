@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from workload import fixtures
 from workload.registry import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -36,3 +37,15 @@ def test_query(spark, duck, name):
     places = [want.columns.index(c) for c in cols]
     got = sorted(tuple(repr(r[c]) for c in cols) for r in df.collect())
     assert got == sorted(tuple(repr(r[i]) for i in places) for r in want.fetchall())
+
+
+def test_stored_inputs_give_the_same_rows(spark):
+    """What the bench times on stored raw, wide and hourly rows is the same work."""
+    names = ("a3_daily_trend", "p13_row_total", "a6_profile_base", "p14_int_flow")
+    plain = {n: sorted(map(repr, QUERIES[n](spark, SF).collect())) for n in names}
+    try:
+        fixtures.store_inputs(spark, SF, 3)
+        assert all(len(QUERIES[n](spark, SF).inputFiles()) >= 3 for n in names)
+        assert {n: sorted(map(repr, QUERIES[n](spark, SF).collect())) for n in names} == plain
+    finally:
+        fixtures.forget_inputs()
