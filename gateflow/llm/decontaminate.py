@@ -181,11 +181,12 @@ def contamination(
     window: int = WINDOW,
     shard_words: int = SHARD_WORDS,
     block_bytes: int = BLOCK_BYTES,
+    id_type: str = "long",
 ) -> DataFrame:
-    """One row per row of `docs`: id, n_words, spans (merged, of words), n_hit,
+    """One row per row of `docs`: id (as `id_type`), n_words, spans (merged, of words), n_hit,
     item_ids (sorted as strings, distinct), n_items, contaminated."""
     prepared(docs.sparkSession)
-    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
+    rows = docs.select(F.col(doc_id).cast(id_type).alias("id"), F.col(text).alias("text"))
     blocks = _blocks(items, item_id, item_text, block_bytes)
     first, second = next(blocks, []), next(blocks, None)
     if second is None:
