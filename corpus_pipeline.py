@@ -3,8 +3,8 @@
 Each stage takes (spark, docs, sf_dir) and returns a frame, which is written and
 read back as the next one's docs. A stage works on every row its predecessor
 kept; all but the last return the columns of documents. Ids may be null or repeat:
-the stages that drop rows write their docs once with a number for each row and
-drop by that number. Of copies the row with the smallest id stays, a null id comes
+the two stages that drop copies write their docs once with a number for each row and
+drop by that number; the others decide by the text. Of copies the row with the smallest id stays, a null id comes
 after all others, and of equal ids the smallest number.
 """
 
@@ -64,10 +64,18 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any benchmark window."""
-    docs, row = numbered(docs)
-    found = contamination(docs, table(spark, sf_dir, "benchmark"), doc_id=row)
-    return without(docs, found.where("contaminated").select(F.col(row).alias("row")), row)
+    """Documents without any benchmark window.
+
+    Whether a document goes is told by its text alone, so the digest of the text says
+    which go, and docs are not written again with numbers.
+    """
+    key = "text_digest"
+    while key in (c.lower() for c in docs.columns):
+        key += "_"
+    digest = F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)).alias(key)
+    found = contamination(docs.select(digest, "text"), table(spark, sf_dir, "benchmark"), doc_id=key, id_type="binary")
+    dropped = stored(found.where("contaminated").select(key).distinct(), "dropped")
+    return docs.select("*", digest).join(dropped, key, "left_anti").drop(key)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
