@@ -3,9 +3,10 @@
 Each stage takes (spark, docs, sf_dir) and returns a frame, which is written and
 read back as the next one's docs. A stage works on every row its predecessor
 kept; all but the last return the columns of documents. Ids may be null or repeat:
-the two stages that drop copies write their docs once with a number for each row and
-drop by that number; the others decide by the text. Of copies the row with the smallest id stays, a null id comes
-after all others, and of equal ids the smallest number.
+the stage that drops near copies writes its docs once with a number for each row and
+drops by that number; the others decide by id and text, or by the text alone. Of copies
+the row with the smallest id stays, a null id comes after all others, and of near copies
+with equal ids the one with the smallest number.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from gateflow.llm.bpe import bpe
 from gateflow.llm.decontaminate import contamination
-from gateflow.llm.exact_dedup import DigestIndex, deduplicate
+from gateflow.llm.exact_dedup import DigestIndex, deduplicate, digest_of
 from gateflow.llm.ngram_join import ngram_components
 from gateflow.llm.quality import of_quality
 from gateflow.llm.tables import numbered, stored, table
@@ -41,14 +42,22 @@ def without(docs: DataFrame, dropped: DataFrame, row: str) -> DataFrame:
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the one with the smallest id."""
+    """Of equal texts the one with the smallest id.
+
+    Rows are told apart by id and digest, so docs are not written again. Rows that repeat
+    both are copies of one document; any one of them stays.
+    """
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     index = DigestIndex(spark, scratch_path(spark, "digest-index"), buckets)
-    docs, row = numbered(docs)
-    told = stored(deduplicate(docs, index, row=row), "deduplicated").where("group_size > 1 or not kept")
-    # all rows with the smallest id are marked kept; the first of them stays
-    first = told.where("kept").groupBy("text_sha256").agg(F.min("row").alias("row"))
-    return without(docs, told.select("row").join(first.select("row"), "row", "left_anti"), row)
+    told = deduplicate(docs, index).where("group_size > 1 or not kept")
+    told = stored(told.select(F.col("doc_id").alias("of"), F.unhex("text_sha256").alias("told"), "kept"), "deduplicated")
+    gone = stored(told.where("not kept").select("of", "told").distinct(), "dropped")
+    twice = stored(told.where("kept").groupBy("of", "told").count().where("count > 1").select("of", "told"), "repeated")
+    same = F.col("id").eqNullSafe(F.col("of")) & (F.col("digest") == F.col("told"))
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), digest_of(F.col("text")).alias("digest"))
+    kept = rows.join(gone, same, "left_anti")
+    one = kept.join(twice, same, "left_semi").groupBy("id", "digest").agg(F.first("row").alias("row"))
+    return kept.join(twice, same, "left_anti").select("row.*").union(one.select("row.*"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
