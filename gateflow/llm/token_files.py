@@ -45,8 +45,9 @@ SLICE = 2 << 20
 #: Fixed values of the file format.
 MAGIC, END = b"S8BFRAME", "S8BENDF\n"
 NO_ID = 1 << 63
-#: Words that a worker remembers the ids of, and ids remembered in all.
-KNOWN_WORDS, KNOWN_IDS = 600_000, 6_000_000
+#: Words that a worker remembers the ids of, and ids remembered in all, twice: when so
+#: many are new, those before are kept for as long again and older ones forgotten.
+KNOWN_WORDS, KNOWN_IDS = 400_000, 4_000_000
 
 
 def _marks(chars: bytes) -> np.ndarray:
@@ -57,7 +58,9 @@ def _marks(chars: bytes) -> np.ndarray:
 
 _SPACE, _UPPER = _marks(b"\t\n\x0b\x0c\r "), _marks(bytes(range(0x41, 0x5B)))
 _LETTER = _UPPER | _marks(bytes(range(0x61, 0x7B)))
-_STOP = _marks(b".,;:!?)")
+#: Signs that never go with a letter before them; neither apostrophes nor signs of
+#: special tokens are among them.
+_STOP = _marks(b'.,;:!?()[]{}"#$%&*+-/=@\\^_`~')
 #: Texts that a tokenizer of words takes as one word: Latin letters that stay letters in
 #: lower case. _WORD_END is the fixed mark of tokens that end a word.
 _ONE_WORD = re.compile("[A-Za-zÀ-ÖØ-öø-įı-ſ]+")
@@ -65,11 +68,20 @@ _WORD_END = "</w>"
 _OTHER = _marks(bytes([*range(0x80, 0x100), ord("<")]))
 
 
+def _cuts(body: np.ndarray) -> np.ndarray:
+    """Places of signs of _STOP that stand behind a letter; of Latin-1 letters, the
+    second byte of which tells the two signs among them."""
+    at = np.flatnonzero(_STOP[body[1:]]) + 1
+    last, lead = body[at - 1], body[np.maximum(at - 2, 0)]
+    latin = (lead == 0xC3) & (last >= 0x80) & (last != 0x97) & (last != 0xB7)
+    return at[_LETTER[last] | latin]
+
+
 class WordCoder:
     """Ids of texts by a tokenizer whose tokens never cross white space.
 
-    Texts are cut at ASCII white space, and before a stop that follows an ASCII letter,
-    where the tokenizer parts them too. Each different piece is given to the tokenizer
+    Texts are cut at ASCII white space, and between a letter (ASCII or Latin-1) and a sign
+    of _STOP, where the tokenizer parts them too. Each different piece is given to the tokenizer
     once and remembered. Pieces of ASCII alone are lower-cased first, as the tokenizer
     does itself; one with `<` may hold a special token and stays as it is.
     """
@@ -82,24 +94,41 @@ class WordCoder:
         vocabulary = self.tokenizer.get_vocab()
         self.final = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         self.final[[i for t, i in vocabulary.items() if t.endswith(_WORD_END)]] = True
-        self.forget()
+        self._begin()
+        self.past: tuple[dict[bytes, int], np.ndarray, np.ndarray] = {}, np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
-    def forget(self) -> None:
+    def _begin(self) -> None:
         self.known: dict[bytes, int] = {}
         self.ids, self.ends = array("I"), array("Q", [0])
 
+    def _tables(self) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words remembered, and where each word's begin and the last's end."""
+        return np.array(self.ids, np.uint32), np.array(self.ends, np.uint64).astype(np.int64)
+
     def numbers(self, words: list[bytes]) -> np.ndarray:
         """Number of each word among those remembered."""
         fresh = [w for w in words if w not in self.known]
         if len(self.known) + len(fresh) > KNOWN_WORDS or len(self.ids) > KNOWN_IDS:
-            self.forget()
+            self.past = self.known, *self._tables()
+            self._begin()
             fresh = words
+        fresh = self._recalled(fresh)
         texts = [w.decode() for w in fresh]
         one = [bool(_ONE_WORD.fullmatch(t)) for t in texts]
         self._remember([w for w, o in zip(fresh, one, strict=True) if o], self._together([t for t, o in zip(texts, one, strict=True) if o]))
         self._remember([w for w, o in zip(fresh, one, strict=True) if not o], self._apart([t for t, o in zip(texts, one, strict=True) if not o]))
         return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
 
+    def _recalled(self, words: list[bytes]) -> list[bytes]:
+        """Take over those words that are remembered from before; the others."""
+        before, ids, ends = self.past
+        known = [w for w in words if w in before]
+        if not known:
+            return words
+        place = np.fromiter(map(before.__getitem__, known), np.int64, len(known))
+        self._remember(known, _gathered(ids, ends[place], ends[place + 1] - ends[place]))
+        return [w for w in words if w not in before]
+
     def _apart(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, number of ids of each text)."""
         coded = [c.ids for c in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
@@ -132,27 +161,39 @@ class WordCoder:
         if len(body):
             edge = np.zeros(len(body) + 1, bool)
             edge[offsets] = True
-            cut = _STOP[body[1:]] & _LETTER[body[:-1]]
-            starts[1:] &= ~inside[:-1] | cut | edge[1:-1]
+            starts[1:] &= ~inside[:-1] | edge[1:-1]
+            starts[_cuts(body)] = True
         begin = np.flatnonzero(starts)
         counts = np.diff(np.searchsorted(begin, offsets))
         if not len(begin):
             return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
         kept = body[inside]
-        at = (np.cumsum(inside) - 1)[begin]
+        at = np.cumsum(inside, dtype=np.int32)[begin] - 1  # a slice is far below 2 GB
         sizes = np.diff(np.append(at, len(kept)))
         plain = ~np.logical_or.reduceat(_OTHER[kept], at)
         kept = kept + np.uint8(32) * (_UPPER[kept] & np.repeat(plain, sizes))
         bounds = np.append(at, len(kept)).astype(np.int64)
         words = pa.Array.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(bounds), pa.py_buffer(kept)])
         coded = words.dictionary_encode()
-        number = self.numbers(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
-        ends = np.frombuffer(self.ends, np.uint64).astype(np.int64)
-        low, n = ends[number], ends[number + 1] - ends[number]
+        number = self.numbers(_listed(coded.dictionary))[coded.indices.to_numpy()]
+        known, ends = self._tables()
+        ids, n = _gathered(known, ends[number], ends[number + 1] - ends[number])
         total = np.append(0, np.cumsum(n))
-        ids = np.frombuffer(self.ids, np.uint32)[np.repeat(low - total[:-1], n) + np.arange(total[-1])]
-        text_ends = np.append(0, np.cumsum(counts))
-        return ids.astype(np.uint64), np.diff(total[text_ends])
+        return ids.astype(np.uint64), np.diff(total[np.append(0, np.cumsum(counts))])
+
+
+def _gathered(ids: np.ndarray, low: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of n ids from each place, one after another; and n."""
+    ends = np.cumsum(n)
+    return ids[np.repeat(low - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)], n
+
+
+def _listed(words: pa.Array) -> list[bytes]:
+    """Values of a large binary array; cut out of its buffer, which is far quicker than
+    by way of its scalars."""
+    bounds = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1].tolist()
+    data = words.buffers()[2].to_pybytes()
+    return [data[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
 
 
 _coders: dict[str, WordCoder] = {}
