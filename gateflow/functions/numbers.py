@@ -6,6 +6,7 @@ the order in which partitions were summed and ties go up as in exact decimals.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from decimal import Decimal
 from functools import reduce
@@ -23,13 +24,15 @@ def clean_count(c: Column, strip: str = r'[",\s]', keep_null: bool = False) -> C
 
     Anything that is not a number becomes 0, or stays null with keep_null.
     """
-    plain = c.try_cast("bigint")
+    # a cast that fails costs an exception, so commas go first
+    bare = F.replace(c, F.lit(","), F.lit("")) if re.fullmatch(strip, ",") else c
+    plain = bare.try_cast("bigint")
     text = F.regexp_replace(c, strip, "")
     # a cast alone would take 5d and 7f for numbers
     text = F.when(text.rlike(r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"), text)
     value = F.coalesce(text.try_cast("bigint"), text.try_cast("double").try_cast("bigint"))
     # most cells are a number as it is written, which needs no pattern
-    value = F.when(plain.cast("string") == c, plain).otherwise(value)
+    value = F.when(plain.cast("string") == bare, plain).otherwise(value)
     return value if keep_null else F.coalesce(value, F.lit(0).cast("bigint"))
 
 

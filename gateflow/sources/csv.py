@@ -322,14 +322,17 @@ def align_slots(
     slots: Sequence[str],
     canonical: Sequence[str] = SLOTS,
 ) -> DataFrame:
-    """Slots by position under the canonical names: absent ones 0, surplus ones dropped."""
-    values = [
-        clean_count(F.col(quoted(slots[i]))).alias(name)
-        if i < len(slots)
-        else F.lit(0).cast("bigint").alias(name)
-        for i, name in enumerate(canonical)
-    ]
-    return df.select(*id_cols, *values)
+    """Slots by position under the canonical names: absent ones 0, surplus ones dropped.
+
+    Cells are cleaned as one array: the rule stands in the plan once, not once per slot,
+    where it grew to methods that the JVM would not compile.
+    """
+    cells = F.array(*[F.col(quoted(s)) for s in slots[: len(canonical)]])
+    cleaned = df.select(*id_cols, F.transform(cells.cast("array<string>"), lambda c: clean_count(c)).alias("_counts"))
+    ids = [F.col(quoted(c)) for c in cleaned.columns[:-1]]
+    absent = F.lit(0).cast("bigint")
+    values = [F.col("_counts")[i] if i < len(slots) else absent for i in range(len(canonical))]
+    return cleaned.select(*ids, *[v.alias(name) for v, name in zip(values, canonical)])
 
 
 def ingest_wide(

@@ -119,3 +119,9 @@ def test_suffixed_numbers_are_no_counts(spark):
     df = spark.createDataFrame([(x,) for x in texts], "c string")
     got = [r[0] for r in df.select(numbers.clean_count(F.col("c"))).collect()]
     assert got == [0, 0, 0, 0, 1234, 12, -3, 4, 1000, 0, 0, 0, 0, 0]
+
+
+def test_counts_with_commas_and_other_signs(spark):
+    texts = ["6,850", "0,05", "-1,000", ",", "40d", "1,2.5", "5,", "+3"]
+    assert values(spark, texts, numbers.clean_count) == [6850, 5, -1000, 0, 0, 12, 5, 3]
+    assert values(spark, texts, lambda c: numbers.clean_count(c, strip=" ")) == [0, 0, 0, 0, 0, 0, 0, 3]
