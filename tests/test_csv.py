@@ -200,3 +200,19 @@ def test_names_of_files_may_hold_blanks_and_signs(spark, tmp_path):
         (d / name).write_text(HEAD + "\n" + line("2019-01-02") + "\n", encoding="utf-8")
     assert csv.read_many(spark, [str(d)]).count() == 2
     assert csv.ingest_many(spark, [str(d)], "승차").count() == 2
+
+
+def test_files_of_one_header_are_one_scan(spark, folder):
+    from workload import inputs
+
+    text = "\n".join([HEAD, line("2019-01-02"), line("2019-01-03", kind="하차")])
+    d = folder("many", *[text] * 6)
+    loaded = inputs._wide_rows(spark, [f"{d}/f{i}.csv" for i in range(6)])
+    assert loaded.count() == 12 and plan_of(loaded).count("FileScan") == 1
+
+
+def test_the_rule_of_a_count_does_not_stand_in_the_plan_per_slot(spark, folder):
+    df = csv.read_wide_csv(spark, folder("a", "\n".join([HEAD, line("2019-01-02")])))
+    wide = csv.ingest_directions(df, ["승차", "하차"], "구분")
+    assert wide.first()[SLOTS[0]] == 1000
+    assert plan_of(wide).count("[eE]") <= 2  # not once per slot

@@ -327,9 +327,10 @@ def _loaded(rows):
 
 
 def _wide_rows(spark, paths):
-    """Both directions of deliveries in the fixed wide shape, with their month."""
+    """Both directions of deliveries in the fixed wide shape, with their month; a scan per
+    header, also when the paths are single files."""
     out = None
-    for _, group in csv.delivered(spark, paths):
+    for group in csv.catalogue(spark, paths):
         wide = csv.ingest_directions(csv.read_delivered(spark, group), (BOARDING_WORD, ALIGHTING_WORD), "구분")
         out = wide if out is None else out.unionByName(wide)
     return out.withColumn("part_month", month_start(F.col("base_date")))
