@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from gateflow.functions.dates import parse_date
@@ -86,6 +86,16 @@ def reject_counts(
     )
 
 
+def _mark(cell: Column) -> Column:
+    """What is wrong with a delivered count; blank when nothing is."""
+    value = clean_count(cell, keep_null=True)
+    return F.when(cell.isNull(), "none").when(value.isNull(), "bad").when(value < 0, "negative").otherwise("")
+
+
+def _marked(mark: str) -> Column:
+    return F.size(F.filter("_marks", lambda m: m == mark))
+
+
 class ObservedLoad:
     """reject_counts without a pass of its own: the action that writes `rows`, or what is
     made of them, counts as it goes.
@@ -97,26 +107,30 @@ class ObservedLoad:
     def __init__(self, df: DataFrame, date: str, counts: Sequence[str], group: str, values: Sequence[str]):
         self.group, self.values, self.seen = group, [*values, None], Observation()
         raw_date = F.col(quoted(date))
-        cells = [(F.col(quoted(c)), clean_count(F.col(quoted(c)), keep_null=True)) for c in counts]
+        no_date = F.coalesce(F.trim(raw_date), F.lit("")) == ""
+        bad_date = F.coalesce((F.trim(raw_date) != "") & parse_date(raw_date).isNull(), F.lit(False))
+        cells = F.array(*[F.col(quoted(c)) for c in counts]).cast("array<string>")
         flags = {
-            "n_rows": [F.lit(True)],
-            "n_no_date": [F.coalesce(F.trim(raw_date), F.lit("")) == ""],
-            "n_bad_date": [(F.trim(raw_date) != "") & parse_date(raw_date).isNull()],
-            "n_bad_count": [raw.isNotNull() & v.isNull() for raw, v in cells],
-            "n_no_count": [raw.isNull() for raw, _ in cells],
-            "n_negative": [v < 0 for _, v in cells],
+            "n_rows": F.lit(1),
+            "n_no_date": no_date.cast("int"),
+            "n_bad_date": bad_date.cast("int"),
+            "n_bad_count": _marked("bad"),
+            "n_no_count": _marked("none"),
+            "n_negative": _marked("negative"),
         }
         self.names = list(flags)
+        # flags are columns of the row, so a metric only adds a number: metrics that read
+        # the cells would each read all of them, in every group
+        told = df.withColumn("_marks", F.transform(cells, _mark)).withColumns({f"_{n}": f for n, f in flags.items()})
         here = [F.col(quoted(group)).eqNullSafe(F.lit(v)) for v in values]
         here.append(~reduce(lambda a, b: a | b, here))
         metrics = [
-            F.sum(F.when(own, reduce(lambda a, b: a + b, [F.coalesce(f, F.lit(False)).cast("int") for f in each]) if each else F.lit(0)))
-            .cast("bigint")
-            .alias(f"{i}_{name}")
+            F.sum(F.when(own, F.col(f"_{name}"))).cast("bigint").alias(f"{i}_{name}")
             for i, own in enumerate(here)
-            for name, each in flags.items()
+            for name in flags
         ]
-        self.rows = df.observe(self.seen, *metrics)
+        told = told.drop("_marks").observe(self.seen, *metrics)
+        self.rows = told.drop(*[f"_{n}" for n in flags])
 
     def counts(self, spark: SparkSession) -> DataFrame:
         """A row per value of the group column that occurred."""

@@ -207,3 +207,12 @@ def test_lookup_opens_one_bucket_and_equals_the_month_layout(spark, path):
             assert rows(table.where(ask).select("k", "w", "v", "part")) == rows(months.where(ask).select("k", "w", "v", "part"))
     files = {f.rsplit("/", 1)[1] for f in found.inputFiles()}
     assert len(files) <= 8 + 8  # about a file per bucket, not one per task and bucket
+
+
+def test_metrics_of_a_load_read_flags_not_cells(spark):
+    df = spark.createDataFrame([("2019-01-01", "승차", "1,000"), ("bad", "하차", "5d")], "d string, kind string, a string")
+    load = quality.ObservedLoad(df, "d", ["a"], "kind", ["승차", "하차"])
+    node = next(x for x in plan_of(load.rows).split("\n") if "CollectMetrics" in x)
+    assert "regexp_replace" not in node and "RLIKE" not in node
+    load.rows.write.format("noop").mode("overwrite").save()
+    assert sorted(tuple(r) for r in load.counts(spark).collect()) == [("승차", 1, 0, 0, 0, 0, 0), ("하차", 1, 0, 1, 1, 0, 0)]
