@@ -64,3 +64,7 @@ def test_few_partition_values_are_written_without_a_shuffle_or_a_sort(spark, tmp
     stored = write_spread(df, f"{tmp_path}/spread", ["kind"], 4)
     assert len(stored.inputFiles()) == 4 * 3 and rows(stored) == rows(df)
     assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "0"
+
+
+def test_ingest_reads_each_delivery_once(spark):
+    assert plan_of(QUERIES["e4_ingest_wide"](spark, SF)).count("FileScan") == 3  # not once per direction
