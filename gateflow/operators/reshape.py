@@ -48,18 +48,22 @@ def to_raw_long(
 ) -> DataFrame:
     """Raw layer: boarding rows carry alighting 0 and the reverse, so a key has two rows."""
 
+    plain = {"station": F.trim("station"), "line": line_label(F.col("line"))}
+    codes = _hour_codes(slot_map)
+
     def one(df: DataFrame, mine: str, other: str) -> DataFrame:
-        long = unpivot_slots(df, id_cols, slot_map, mine)
+        # names are made plain before a row becomes twenty
+        wide = df.select(*[plain.get(c, F.col(c)).alias(c) for c in id_cols], *[F.col(quoted(s)) for s in slot_map])
+        long = unpivot_slots(wide, id_cols, codes, mine)
         count = F.coalesce(F.col(mine).try_cast("bigint"), F.lit(0).cast("bigint"))
-        return long.select(
-            *[F.trim(c).alias(c) if c == "station" else F.col(c) for c in id_cols],
-            F.lpad(F.col("hour").cast("string"), 2, "0").alias("hour"),
-            count.alias(mine),
-            F.lit(0).cast("bigint").alias(other),
-        )
+        return long.select(*id_cols, "hour", count.alias(mine), F.lit(0).cast("bigint").alias(other))
+
+    return one(on_df, "boarding", "alighting").unionByName(one(off_df, "alighting", "boarding"))
+
 
-    both = one(on_df, "boarding", "alighting").unionByName(one(off_df, "alighting", "boarding"))
-    return both.withColumn("line", line_label(F.col("line")))
+def _hour_codes(slot_map: Mapping[str, int]) -> dict[str, str]:
+    """Hour as two digits per slot column."""
+    return {s: f"{int(h):02d}"[:2] for s, h in slot_map.items()}
 
 
 def raw_long(
@@ -73,8 +77,7 @@ def raw_long(
     plain = {"station": F.trim("station"), "line": line_label(F.col("line"))}
     # names are made plain before a row becomes twenty
     wide = wide.select(*[plain.get(c, F.col(c)).alias(c) for c in id_cols], "direction", *[F.col(quoted(s)) for s in slot_map])
-    codes = {s: f"{int(h):02d}"[:2] for s, h in slot_map.items()}
-    long = unpivot_slots(wide, [*id_cols, "direction"], codes, "count")
+    long = unpivot_slots(wide, [*id_cols, "direction"], _hour_codes(slot_map), "count")
     count = F.coalesce(F.col("count").try_cast("bigint"), F.lit(0).cast("bigint"))
     mine = lambda word: F.when(F.col("direction") == word, count).otherwise(F.lit(0).cast("bigint"))
     return long.select(*id_cols, "hour", mine(on_word).alias("boarding"), mine(off_word).alias("alighting"))

@@ -8,6 +8,7 @@ from conftest import plan_of
 from pyspark.sql import functions as F
 
 from gateflow.config import SLOTS
+from gateflow.operators.reshape import to_raw_long
 from gateflow.plans import marts
 from gateflow.plans.layers import raw_from_files
 from gateflow.sinks import tables as t
@@ -80,3 +81,13 @@ def test_spread_settings_are_the_sessions_again(spark):
     assert sorted(r.id for r in got.collect()) == [0, 2, 4, 11, 13, 15]
     assert spark.conf.get(ADVISED) == before and spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "0"
     assert [t._bytes(s) for s in ("64MB", "7", "2k", "1g")] == [64 << 20, 7, 2048, 1 << 30]
+
+
+def test_long_rows_take_their_names_from_the_wide_row(spark):
+    """Names and hours are texts of the wide row, not made again for each of twenty rows."""
+    wide = spark.createDataFrame([(" 서울역 ", "2호선", date(2019, 1, 1), "7", None)], "station string, line string, base_date date, h05 string, h24 string")
+    long = to_raw_long(wide, wide, {"h05": 5, "h24": 24})
+    above = plan_of(long).split("Expand")[0]
+    assert "trim" not in above and "lpad" not in above and "replace" not in above
+    got = sorted(tuple(r)[1:] for r in long.select("base_date", "station", "line", "hour", "boarding", "alighting").collect())
+    assert got == [("서울역", "2", "05", 0, 7), ("서울역", "2", "05", 7, 0), ("서울역", "2", "24", 0, 0), ("서울역", "2", "24", 0, 0)]
