@@ -101,9 +101,18 @@ def peak_boarding(mart: DataFrame) -> DataFrame:
     )
 
 
-def daily_trend(kpi: DataFrame, calendar: DataFrame | None = None) -> DataFrame:
-    """One row per date, station and line; with a calendar also the day label."""
-    daily = kpi.groupBy("base_date", "stn_name", "line_num").agg(
+def dealt_by_month(kpi: DataFrame, tasks: int) -> DataFrame:
+    """Rows with their month, dealt by month and station to `tasks` tasks. What groups by
+    these and more needs no other shuffle, and no hash table of a whole scan task; the
+    caller takes a number of tasks that goes with the number of rows."""
+    rows = kpi.withColumn("part_month", month_start(F.col("base_date")))
+    return rows.repartition(tasks, "part_month", "stn_name")
+
+
+def daily_trend(kpi: DataFrame, calendar: DataFrame | None = None, also: Sequence[str] = ()) -> DataFrame:
+    """One row per date, station and line; with a calendar also the day label. `also` names
+    columns that follow from the date and are kept, as the month of dealt_by_month."""
+    daily = kpi.groupBy(*also, "base_date", "stn_name", "line_num").agg(
         _total("on_cnt").alias("on_cnt"),
         _total("off_cnt").alias("off_cnt"),
         (_total("on_cnt") + _total("off_cnt")).alias("total_flow"),

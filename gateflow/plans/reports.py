@@ -228,23 +228,28 @@ def calendar_heatmap(
     ).orderBy("stn_name", "base_date")
 
 
-def daily_flow(daily: DataFrame) -> DataFrame:
-    """Flow of each date and station over all lines."""
-    return daily.groupBy("base_date", "stn_name").agg(
+def daily_flow(daily: DataFrame, also: Sequence[str] = ()) -> DataFrame:
+    """Flow of each date and station over all lines. `also` names columns that follow from
+    the date; rows dealt by them and the station are not dealt again."""
+    flow = daily.groupBy(*also, "base_date", "stn_name").agg(
         F.sum(both_ways()).cast("bigint").alias("total_flow"), F.max("day_label").alias("day_label")
     )
+    return flow.drop(*also)
 
 
-def station_history(daily: DataFrame, station: str | None = None) -> DataFrame:
+def station_history(
+    daily: DataFrame, station: str | None = None, also: Sequence[str] = (), tasks: int | None = None
+) -> DataFrame:
     """Flow by date with the kind of day, for one station or each station.
 
     One station's rows are sorted as a whole. For all of them each station is
-    brought to one task, so dates are in order within a station without a sort of
-    the whole table.
+    brought to one task, of `tasks` if given, so dates are in order within a station
+    without a sort of the whole table.
     """
-    flow = daily_flow(pick(daily, stn_name=station)).select(
+    flow = daily_flow(pick(daily, stn_name=station), also).select(
         "stn_name", F.year("base_date").alias("yr"), "base_date", "total_flow", "day_label"
     )
     if station is not None:
         return flow.orderBy("stn_name", "base_date")
-    return flow.repartition("stn_name").sortWithinPartitions("stn_name", "base_date")
+    dealt = flow.repartition(tasks, "stn_name") if tasks else flow.repartition("stn_name")
+    return dealt.sortWithinPartitions("stn_name", "base_date")

@@ -1,6 +1,7 @@
 """Tables written along the raw layer, in its order and without a shuffle of their own."""
 
 import random
+import re
 from datetime import date, timedelta
 
 import pytest
@@ -12,6 +13,8 @@ from gateflow.operators.reshape import to_raw_long
 from gateflow.plans import marts
 from gateflow.plans.layers import raw_from_files
 from gateflow.sinks import tables as t
+from workload import fixtures as fx
+from workload.registry import QUERIES
 
 PERIOD = ("2019-01-01", "2020-12-31")
 RAW = "base_date date, hour string, station string, line string, boarding bigint, alighting bigint"
@@ -91,3 +94,24 @@ def test_long_rows_take_their_names_from_the_wide_row(spark):
     assert "trim" not in above and "lpad" not in above and "replace" not in above
     got = sorted(tuple(r)[1:] for r in long.select("base_date", "station", "line", "hour", "boarding", "alighting").collect())
     assert got == [("서울역", "2", "05", 0, 7), ("서울역", "2", "05", 7, 0), ("서울역", "2", "24", 0, 0), ("서울역", "2", "24", 0, 0)]
+
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture
+def few_rows_per_task(monkeypatch):
+    monkeypatch.setattr(fx, "ROWS_PER_TASK", 100)
+
+
+@pytest.mark.parametrize("name", ["c6_daily_flow", "c6_station_history"])
+def test_days_are_grouped_by_as_many_tasks_as_the_rows_need(spark, few_rows_per_task, name):
+    """One shuffle of the rows, by a number of tasks that follows theirs, and none for groups."""
+    n = fx.tasks(spark, SF)
+    assert n == -(-spark.read.parquet(f"{SF}/lineitem.parquet").count() // 100) > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert fx.tasks(spark, "/root/testdata/sf0.01") == 10 * n
+    plan = plan_of(QUERIES[name](spark, SF))
+    dealt = re.findall(r"hashpartitioning\((.*), (\d+)\), (\w+)", plan)
+    of_rows = [(re.sub(r"#\d+L?", "", by), int(k)) for by, k, _ in dealt if "stn_name" in by]
+    history = [("stn_name", n)] if name == "c6_station_history" else []
+    assert of_rows == [*history, ("part_month, stn_name", n)]

@@ -530,7 +530,7 @@ def _(spark, sf):
     ),
 )
 def _(spark, sf):
-    return reports.daily_flow(fx.labelled(spark, sf))
+    return reports.daily_flow(fx.labelled_by_month(spark, sf), ["part_month"])
 
 
 @query(
@@ -542,7 +542,7 @@ def _(spark, sf):
     ),
 )
 def _(spark, sf):
-    return reports.station_history(fx.labelled(spark, sf))
+    return reports.station_history(fx.labelled_by_month(spark, sf), also=["part_month"], tasks=fx.tasks(spark, sf))
 
 
 _MARTS = {
