@@ -94,10 +94,21 @@ def spread(n: Column, s: Column, q: Column, kind: str = "pop") -> Column:
 
 
 def station_metrics(
-    sums: DataFrame, year: int = 2021, years: Sequence[int] = YEARS, t: Thresholds = THRESHOLDS
+    sums: DataFrame,
+    year: int = 2021,
+    years: Sequence[int] = YEARS,
+    t: Thresholds = THRESHOLDS,
+    tasks: int | None = None,
 ) -> DataFrame:
-    """plans.metrics.station_metrics from flow_sums."""
+    """plans.metrics.station_metrics from flow_sums.
+
+    Groups are wide and there may be as many in each scan task as there are stations and
+    lines; with `tasks` rows, a few per month, are dealt to so many tasks before they are
+    grouped.
+    """
     yr = F.year(MONTH)
+    if tasks:
+        sums = sums.repartition(tasks, "stn_name", "line_num")
 
     def part(condition: Column) -> tuple[Column, Column]:
         own = lambda c: F.sum(F.when(condition, F.col(c))).cast(_EXACT)

@@ -115,3 +115,10 @@ def test_days_are_grouped_by_as_many_tasks_as_the_rows_need(spark, few_rows_per_
     of_rows = [(re.sub(r"#\d+L?", "", by), int(k)) for by, k, _ in dealt if "stn_name" in by]
     history = [("stn_name", n)] if name == "c6_station_history" else []
     assert of_rows == [*history, ("part_month, stn_name", n)]
+
+
+def test_metrics_are_grouped_by_as_many_tasks_as_the_rows_need(spark, few_rows_per_task):
+    """Sums are dealt before their wide groups are made, so that no scan task has all of them."""
+    plan = plan_of(QUERIES["m6_from_monthly_sums"](spark, SF)).split("FileScan")[0]
+    assert re.search(rf"hashpartitioning\(stn_name#\d+, line_num#\d+, {fx.tasks(spark, SF)}\), REPARTITION_BY_NUM", plan)
+    assert "hashpartitioning" not in plan.replace("hashpartitioning", "", 1)

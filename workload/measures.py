@@ -637,7 +637,7 @@ def _(spark, sf):
 
 def _flow_sums(spark, sf):
     """Sums per month, stored; the last year is merged into them."""
-    daily = fx.labelled(spark, sf).withColumn("part_month", F.trunc("base_date", "MM"))
+    daily = fx.labelled_by_month(spark, sf)
     path = scratch_path(spark, "flow-sums")
     write_table(refresh.flow_sums(daily.where("year(base_date) < 2001")), path, partition_by=["part_month"])
     return replace_partitions(refresh.flow_sums(daily.where("year(base_date) >= 2001")), path, ["part_month"])
@@ -645,7 +645,7 @@ def _flow_sums(spark, sf):
 
 @query("m6_from_monthly_sums", sql("metrics", "select * from metrics"))
 def _(spark, sf):
-    return refresh.station_metrics(_flow_sums(spark, sf), fx.YEAR, fx.YEARS, fx.LIMITS)
+    return refresh.station_metrics(_flow_sums(spark, sf), fx.YEAR, fx.YEARS, fx.LIMITS, fx.tasks(spark, sf))
 
 
 @query(
