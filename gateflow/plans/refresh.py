@@ -19,14 +19,13 @@ from pyspark.sql import functions as F
 
 from gateflow.config import THRESHOLDS, WEEKDAY, YEARS, Thresholds
 from gateflow.functions.dates import month_start, year_later
-from gateflow.functions.names import station_name
-from gateflow.functions.numbers import digits_int, round_ratio
+from gateflow.functions.numbers import round_ratio
 from gateflow.operators.filters import between_dates, matched_only
 from gateflow.operators.reshape import hourly_kpi
 from gateflow.plans import marts
-from gateflow.plans.layers import int_flow
+from gateflow.plans.layers import int_flow, raw_order
 from gateflow.plans.metrics import maturity
-from gateflow.sinks.tables import conform, replace_partitions, write_table
+from gateflow.sinks.tables import conform, replace_partitions, scratch_path, write_spread, write_table
 
 MONTH = "part_month"
 _EXACT = "decimal(38,0)"
@@ -56,12 +55,10 @@ def profile_sums(kpi: DataFrame) -> DataFrame:
     return rows.groupBy(MONTH, "stn_name").agg(*marts.profile_totals())
 
 
-def place_sums(raw: DataFrame) -> DataFrame:
-    """Boardings and alightings per station, line and month."""
-    keyed = raw.select(
-        MONTH, station_name(F.col("station")).alias("stn_name"), digits_int(F.col("line")).alias("line_num"), "boarding", "alighting"
-    )
-    return keyed.groupBy(MONTH, "stn_name", "line_num").agg(_total("boarding").alias("on_cnt"), _total("alighting").alias("off_cnt"))
+def place_sums(daily: DataFrame) -> DataFrame:
+    """Boardings and alightings per station, line and month. The daily table has the names
+    of the raw layer in standard form already, and a row per day."""
+    return daily.groupBy(MONTH, "stn_name", "line_num").agg(_total("on_cnt").alias("on_cnt"), _total("off_cnt").alias("off_cnt"))
 
 
 def hour_sums(flow: DataFrame) -> DataFrame:
@@ -74,7 +71,7 @@ def hour_sums(flow: DataFrame) -> DataFrame:
 MONTHLY: dict[str, tuple[str, Callable[[DataFrame], DataFrame]]] = {
     "flow_sums": ("daily_trend", flow_sums),
     "profile_sums": ("hourly_kpi", profile_sums),
-    "place_sums": ("raw", place_sums),
+    "place_sums": ("daily_trend", place_sums),
     "hour_sums": ("int_flow", hour_sums),
     "site_sums": ("hourly_kpi", lambda kpi: marts.monthly_site_sums(kpi, F.col(MONTH))),
 }
@@ -186,19 +183,30 @@ def station_profile(sums: DataFrame, start: str, end: str, t: Thresholds = THRES
 # --- the tables on disk -------------------------------------------------------------------
 
 
-def _flow_by_month(spark: SparkSession, path: str, months: Sequence[date] | None, write: Callable) -> None:
-    """Hourly, daily and intermediate rows and the monthly sums of some months, or all."""
+def _flow_by_month(spark: SparkSession, path: str, months: Sequence[date] | None) -> None:
+    """Hourly, daily and intermediate rows and the monthly sums of some months, or all.
+
+    Raw rows are stored by month in the order of raw_order; hourly and intermediate rows are written
+    along them, row by row, and need no shuffle of their own.
+    """
+    replace = months is not None
 
     def table(name: str) -> DataFrame:
         df = spark.read.parquet(f"{path}/{name}")
-        return df if months is None else df.where(F.col(MONTH).isin(list(months)))
+        return df.where(F.col(MONTH).isin(list(months))) if replace else df
+
+    def along(df: DataFrame, name: str) -> None:
+        rows = df.withColumn(MONTH, month_start(F.col("base_date")))
+        write_spread(rows, f"{path}/{name}", [MONTH], marts.OPEN_MONTHS, replace)
+
+    def write(df: DataFrame, name: str, sort: Sequence[str]) -> None:
+        put = replace_partitions if replace else write_table
+        put(df, f"{path}/{name}", partition_by=[MONTH], sort_by=sort)
 
     calendar = spark.read.parquet(f"{path}/calendar")
-    write(hourly_kpi(table("raw")).withColumn(MONTH, month_start(F.col("base_date"))), "hourly_kpi", ["stn_name", "base_date"])
-    daily = marts.daily_trend(table("hourly_kpi"), calendar)
-    write(daily.withColumn(MONTH, month_start(F.col("base_date"))), "daily_trend", ["stn_name", "base_date"])
-    flow = int_flow(table("raw"), spark.read.parquet(f"{path}/name_map"))
-    write(flow.withColumn(MONTH, month_start(F.col("base_date"))), "int_flow", ["station", "base_date"])
+    along(hourly_kpi(table("raw")), "hourly_kpi")
+    write(marts.daily_trend(table("hourly_kpi"), calendar, [MONTH]), "daily_trend", ["stn_name", "base_date"])
+    along(int_flow(table("raw"), spark.read.parquet(f"{path}/name_map")), "int_flow")
     for name, (source, sums) in MONTHLY.items():
         write(sums(table(source)), name, [])
 
@@ -241,11 +249,10 @@ class Marts:
     def build(self, raw: DataFrame, station_dim: DataFrame, calendar: DataFrame) -> Mapping[str, DataFrame]:
         """All tables from the raw layer, which is evaluated once."""
         raw = raw.withColumn(MONTH, month_start(F.col("base_date")))
-        stored = write_table(raw, f"{self.path}/raw", partition_by=[MONTH])
+        stored = write_table(raw, f"{self.path}/raw", partition_by=[MONTH], sort_by=raw_order())
         write_table(calendar, f"{self.path}/calendar")
         write_table(marts.name_map(stored, station_dim), f"{self.path}/name_map")
-        whole = lambda df, name, sort: write_table(df, f"{self.path}/{name}", partition_by=[MONTH], sort_by=sort)
-        _flow_by_month(self.spark, self.path, None, whole)
+        _flow_by_month(self.spark, self.path, None)
         write_table(growth_of(self.table("flow_sums"), self.period), f"{self.path}/growth_trend", partition_by=["base_ym"])
         return self._totals()
 
@@ -256,14 +263,15 @@ class Marts:
         Names that the name map lacks are matched and added first.
         """
         raw = raw.withColumn(MONTH, month_start(F.col("base_date")))
-        replace_partitions(raw, f"{self.path}/raw", [MONTH])
+        # evaluated once; what follows reads the stored rows
+        raw = write_table(raw, scratch_path(self.spark, "delivered"), partition_by=[MONTH], sort_by=raw_order())
+        write_spread(raw, f"{self.path}/raw", [MONTH], marts.OPEN_MONTHS, replace=True)
         months = sorted(r[0] for r in raw.select(MONTH).distinct().collect())  # a row per month
         touched = self.table("raw").where(F.col(MONTH).isin(months))
         known = self.table("name_map")
         fresh = marts.name_map(touched, station_dim).join(known, known.columns[0], "left_anti")
         fresh.coalesce(1).write.mode("append").parquet(f"{self.path}/name_map")
-        some = lambda df, name, sort: replace_partitions(df, f"{self.path}/{name}", [MONTH], sort)
-        _flow_by_month(self.spark, self.path, months, some)
+        _flow_by_month(self.spark, self.path, months)
         later = sorted({*months, *(m.replace(year=m.year + 1) for m in months)})
         replace_partitions(growth_of(self.table("flow_sums"), self.period, later), f"{self.path}/growth_trend", ["base_ym"])
         return self._totals()

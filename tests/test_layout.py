@@ -9,8 +9,9 @@ from conftest import plan_of
 from pyspark.sql import functions as F
 
 from gateflow.config import SLOTS
+from gateflow.functions.names import station_name
 from gateflow.operators.reshape import to_raw_long
-from gateflow.plans import marts
+from gateflow.plans import marts, refresh
 from gateflow.plans.layers import raw_from_files
 from gateflow.sinks import tables as t
 from workload import fixtures as fx
@@ -119,6 +120,29 @@ def test_days_are_grouped_by_as_many_tasks_as_the_rows_need(spark, few_rows_per_
 
 def test_metrics_are_grouped_by_as_many_tasks_as_the_rows_need(spark, few_rows_per_task):
     """Sums are dealt before their wide groups are made, so that no scan task has all of them."""
-    plan = plan_of(QUERIES["m6_from_monthly_sums"](spark, SF)).split("FileScan")[0]
-    assert re.search(rf"hashpartitioning\(stn_name#\d+, line_num#\d+, {fx.tasks(spark, SF)}\), REPARTITION_BY_NUM", plan)
-    assert "hashpartitioning" not in plan.replace("hashpartitioning", "", 1)
+    plan = plan_of(QUERIES["m6_from_monthly_sums"](spark, SF))
+    assert re.findall(r"hashpartitioning\((.*?)#\d+, (.*?)#\d+, (\d+)\), (\w+)", plan) == [
+        ("stn_name", "line_num", str(fx.tasks(spark, SF)), "REPARTITION_BY_NUM")
+    ]
+
+
+def test_a_sort_key_is_made_once_per_row(spark, raw):
+    """An expression in the sort itself would be evaluated for every comparison."""
+    laid = t.sorted_within(raw, ["hour", F.upper("station"), "base_date"])
+    sort = re.search(r"Sort \[(.*?)\]", plan_of(laid)).group(1)
+    assert "upper" not in sort and laid.columns == raw.columns and laid.count() == 3001
+
+
+def test_refreshed_hourly_rows_are_written_along_raw(spark, raw, dims):
+    """A build and a refresh leave hourly rows in order, and a second scan of what is
+    delivered is not made."""
+    path = t.scratch_path(spark, "kept")
+    kept = refresh.Marts(spark, path, PERIOD, PERIOD, (2019, 2020), divisor=10)
+    kept.build(raw, *dims)
+    kept.refresh(raw.where("base_date >= '2019-06-01' and base_date < '2019-08-01'"), dims[0])
+    assert kept.table("raw").count() == kept.table("hourly_kpi").count() == kept.table("int_flow").count() == 3001
+    assert in_order(spark, f"{path}/hourly_kpi", "stn_name", "base_date") >= 8
+    names = [station_name(F.col("station")).alias("stn_name"), "base_date"]
+    for f in kept.table("raw").inputFiles():
+        rows = [tuple(r) for r in spark.read.parquet(f).select(*names).collect()]
+        assert rows == sorted(rows, key=lambda r: tuple((v is not None, v) for v in r))
