@@ -25,6 +25,9 @@ from gateflow.sinks.tables import scratch_path
 
 #: Score from which a document is kept.
 LEAST_QUALITY = 0.3
+#: Bits of a sieve at most: 262,144 words, some 10 MB where it is broadcast. With more
+#: marks more rows pass it, and the join behind it decides as before.
+SIEVE = 1 << 24
 #: The quality model and tokenizer have no SQL form; tests hold the stages against
 #: brute force.
 ORACLE_SQL = None
@@ -38,32 +41,51 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def without(docs: DataFrame, dropped: DataFrame, row: str) -> DataFrame:
     """Numbered documents less those whose number is in `dropped` (row)."""
-    return docs.join(stored(dropped.withColumnRenamed("row", row), "dropped"), row, "left_anti").drop(row)
+    return docs.join(stored(dropped.withColumnRenamed("row", row), "dropped", docs.count()), row, "left_anti").drop(row)
+
+
+def sieve(marks: DataFrame) -> tuple[DataFrame, int]:
+    """(word, bits): places of the marked ids (`of`) among a number of bits, a word a row;
+    and that number. It goes with the marks up to SIEVE, so the table stays small."""
+    size = min(SIEVE, 1 << (16 * marks.count() + 64).bit_length())
+    at = F.pmod(F.xxhash64("of"), F.lit(size))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (at % 64).cast("int"))
+    bit = marks.select(F.shiftright(at, 6).alias("word"), bit.alias("bit"))
+    return bit.groupBy("word").agg(F.bit_or("bit").alias("bits")), size
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the one with the smallest id.
 
     Rows are told apart by id and digest, so docs are not written again. Rows that repeat
-    both are copies of one document; any one of them stays.
+    both are copies of one document; any one of them stays. Only rows whose id may be
+    marked, by a sieve of bits, meet the marks: the others stay where they are read.
     """
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     index = DigestIndex(spark, scratch_path(spark, "digest-index"), buckets)
     told = deduplicate(docs, index).where("group_size > 1 or not kept")
-    told = stored(told.select(F.col("doc_id").alias("of"), F.unhex("text_sha256").alias("told"), "kept"), "deduplicated")
-    gone = stored(told.where("not kept").select("of", "told").distinct(), "dropped")
-    twice = stored(told.where("kept").groupBy("of", "told").count().where("count > 1").select("of", "told"), "repeated")
-    same = F.col("id").eqNullSafe(F.col("of")) & (F.col("digest") == F.col("told"))
-    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), digest_of(F.col("text")).alias("digest"))
-    kept = rows.join(gone, same, "left_anti")
-    one = kept.join(twice, same, "left_semi").groupBy("id", "digest").agg(F.first("row").alias("row"))
-    return kept.join(twice, same, "left_anti").select("row.*").union(one.select("row.*"))
+    told = told.select(F.col("doc_id").alias("of"), F.unhex("text_sha256").alias("told"), "kept")
+    marks = told.groupBy("of", "told", "kept").count().where("not kept or count > 1")
+    marks = stored(marks.select("of", "told", F.col("kept").alias("stays")), "marks", docs.count())
+    words, size = sieve(marks)
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"))
+    at = F.pmod(F.xxhash64("id"), F.lit(size))
+    sieved = rows.withColumn("at", at).join(F.broadcast(words), F.shiftright("at", 6) == F.col("word"), "left")
+    may = F.coalesce(F.getbit("bits", (F.col("at") % 64).cast("int")), F.lit(0)) == 1
+    same = F.col("id").eqNullSafe(F.col("of")) & F.col("digest").eqNullSafe(F.col("told"))
+    met = sieved.where(may).select("row", "id", digest_of(F.col("row.text")).alias("digest")).join(marks, same, "left")
+    kept = sieved.where(~may).select("row.*").union(met.where("stays is null").select("row.*"))
+    if marks.where("stays").isEmpty():
+        return kept
+    one = met.where("stays").groupBy("id", "digest").agg(F.first("row").alias("row"))
+    return kept.union(one.select("row.*"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the one with the smallest id."""
     docs, row = numbered(docs)
-    found = stored(ngram_components(docs, doc_id=row).select(F.col(row).alias("row"), "component_id"), "near-rows")
+    found = ngram_components(docs, doc_id=row).select(F.col(row).alias("row"), "component_id")
+    found = stored(found, "near-rows", docs.count())
     linked = found.where("component_id <> row")
     members = linked.unionByName(linked.select(F.col("component_id").alias("row"), "component_id").distinct())
     ids = docs.select(F.col(row).alias("row"), F.col("doc_id").alias("id"))

@@ -8,20 +8,22 @@ from pyspark.sql import functions as F
 from gateflow.llm.tables import stored
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, most: int | None = None) -> DataFrame:
     """(node, label) for every node of `links` (a, b), label the smallest node of
     its component.
 
     Large-star and small-star steps alternate: each node's larger neighbours are
     tied to its smallest neighbour, then its smaller ones, until nothing changes.
     Only smallest neighbours are aggregated, and edges are joined back by node, so
-    no list of neighbours is ever built. Null and equal ends are left out.
+    no list of neighbours is ever built. Null and equal ends are left out. `most` says
+    how many links there are at most, if known.
     """
     both = links.where("a <> b").select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct()
-    edges = stored(both, "edges")
+    edges = stored(both, "edges", most)
     while True:
-        starred = stored(_small(_large(edges)), "edges")
-        if starred.count() == edges.count() and starred.join(edges, ["lo", "hi"], "left_anti").isEmpty():
+        held = edges.count()
+        starred = stored(_small(_large(edges)), "edges", held)
+        if starred.count() == held and starred.join(edges, ["lo", "hi"], "left_anti").isEmpty():
             break
         edges = starred
     # every remaining edge ties a node to the smallest of its component

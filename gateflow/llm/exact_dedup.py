@@ -92,7 +92,7 @@ def deduplicate(docs: DataFrame, index: DigestIndex, doc_id: str = "doc_id", tex
     own = [F.col(row).alias("row")] if row else []
     digests = stored(docs.select(F.col(doc_id).cast("long").alias("id"), digest_of(F.col(text)).alias("digest"), *own), "digests")
     groups = stored(
-        digests.groupBy("digest").agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("n")), "digest-groups"
+        digests.groupBy("digest").agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("n")), "digest-groups", digests.count()
     )
     index.append(index.unseen(groups))
     held = index.table().select("digest", F.col("keep_id").alias("held_id"))
@@ -103,6 +103,7 @@ def deduplicate(docs: DataFrame, index: DigestIndex, doc_id: str = "doc_id", tex
         .where((F.col("n") > 1) | ~F.col("held_id").eqNullSafe(F.col("keep_id")))
         .select("digest", "held_id", "n"),
         "digest-shared",
+        groups.count(),
     )
     keep = F.when(F.col("n").isNull(), F.col("id")).otherwise(F.col("held_id"))
     return digests.join(shared, "digest", "left").select(

@@ -432,12 +432,12 @@ def cells(found: DataFrame, nodes: DataFrame, labels: DataFrame, block: int) ->
     )
 
 
-def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """(sid, label) after links (a, b) between nodes have tied their components."""
+def merged(labels: DataFrame, links: DataFrame, most: int) -> DataFrame:
+    """(sid, label) after links (a, b), `most` of them, between nodes have tied their components."""
     for x in ("a", "b"):
         known = labels.select(F.col("sid").alias(x), F.col("label").alias(f"label_{x}"))
         links = links.join(known, x, "left").withColumn(x, F.coalesce(f"label_{x}", x)).drop(f"label_{x}")
-    over = stored(components(links), "ngram-labels").select(F.col("node").alias("label"), F.col("label").alias("top"))
+    over = stored(components(links, most), "ngram-labels", 2 * most).select(F.col("node").alias("label"), F.col("label").alias("top"))
     alone = over.select(F.col("label").alias("sid"), "top").join(labels.select("sid"), "sid", "left_anti")
     grown = labels.join(over, "label", "left").select("sid", F.coalesce("top", "label").alias("label"))
     return grown.union(alone)
@@ -461,18 +461,19 @@ def ngram_components(
 
     stars = found.where("pivot <> sid").select(F.least("pivot", "sid").alias("a"), F.greatest("pivot", "sid").alias("b")).distinct()
     near = stored(passing(stars, maps, percent), "ngram-pairs")
-    links = stored(exact(near, docs, ids, width, percent), "ngram-links")
-    labels = stored(components(links), "ngram-labels").withColumnRenamed("node", "sid")
+    links = stored(exact(near, docs, ids, width, percent), "ngram-links", near.count())
+    n = links.count()
+    labels = stored(components(links, n), "ngram-labels", 2 * n).withColumnRenamed("node", "sid")
     tested, active, by = near, found, maps
     for step in range(FORESTS + 1):
         met = stored(across(cells(active, by, labels, block), percent, step == FORESTS), "ngram-met")
         given = met.where("b is not null").select("a", "b").distinct()
         if given.isEmpty():  # no pair of different components passes any more
             break
-        fresh = stored(given.join(tested, ["a", "b"], "left_anti"), "ngram-pairs")
-        links = stored(exact(fresh, docs, ids, width, percent), "ngram-links")
-        if not links.isEmpty():
-            labels = stored(merged(labels, links), "ngram-labels")
+        fresh = stored(given.join(tested, ["a", "b"], "left_anti"), "ngram-pairs", met.count())
+        links = stored(exact(fresh, docs, ids, width, percent), "ngram-links", fresh.count())
+        if n := links.count():
+            labels = stored(merged(labels, links, n), "ngram-labels", labels.count() + 2 * n)
         tested = tested.union(fresh)
         active = met.where("b is null").select("shingle", F.col("a").alias("sid")).distinct()
         # the nodes left are few: larger bitmaps exclude nearly all that aren't similar
@@ -486,7 +487,7 @@ def ngram_components(
     named = groups.join(smallest, "top").select("sid", "component_id")
     own = sets.groupBy("sid").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("m")).where("m > 1")
     answer = stored(
-        own.join(named, "sid", "full").select("sid", F.coalesce("component_id", "least").alias("component_id")), "ngram-components"
+        own.join(named, "sid", "full").select("sid", F.coalesce("component_id", "least").alias("component_id")), "ngram-components", nodes.count()
     )
     return profiles.join(answer, "sid", "left").select(
         F.col("id").alias(doc_id),

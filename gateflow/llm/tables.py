@@ -40,11 +40,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+#: Rows of a narrow table that one task writes.
+ROWS = 500_000
+
+
+def stored(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Write a frame to the shared folder and read it back: lineage ends here, and
-    a lost executor costs no more than the tasks after the write."""
+    a lost executor costs no more than the tasks after the write.
+
+    `rows`, for tables of numbers and digests, says how many rows there are at most. They
+    are then written by as many tasks as that takes, not a file by each task that made some.
+    """
     spark = df.sparkSession
     prepared(spark)
+    if rows is not None:
+        df = df.repartition(1 + rows // ROWS)
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -2,6 +2,7 @@
 and on tables whose other columns have clashing names."""
 
 import random
+import re
 import string
 
 import duckdb
@@ -704,6 +705,23 @@ def test_pipeline_drops_rows_without_or_with_repeated_ids(spark, docs):
     assert clean == [r for r in kept if r not in (rows[14], rows[15])]
 
 
+def test_exact_dedup_moves_only_rows_that_may_be_marked(spark, docs, monkeypatch, capsys):
+    rows = [(i, prose(40, 400 + i % 380)) for i in range(400)] + [(3, prose(40, 403))]
+    stage = dict(corpus_pipeline.STAGES)["exact dedup"]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = stage(spark, docs(rows), SF)
+        want = sorted([(i, t) for i, t in rows[:380]], key=repr)
+        assert of(kept, "doc_id", "text") == want
+        kept.explain("formatted")
+        moved = re.findall(r"rowCount=(\d+)", capsys.readouterr().out)
+        assert moved and sum(map(int, moved)) < len(rows)
+        monkeypatch.setattr(corpus_pipeline, "SIEVE", 64)  # nearly every row passes it
+        assert of(stage(spark, docs(rows), SF), "doc_id", "text") == want
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_pipeline_of_odd_rows(spark, docs):
     frame = docs(ODD)
     for _, stage in corpus_pipeline.STAGES:
