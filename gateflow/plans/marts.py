@@ -35,6 +35,8 @@ PROFILE_PERIOD = ("2018-01-01", "2021-12-31")
 #: Months that a task writing along a table by month may have files open for; a scan task
 #: takes no more files than that, each of one month.
 OPEN_MONTHS = 32
+#: Raw rows, sorted, take over ten times their shuffled size.
+RAW_CUT = 4
 
 
 def both_ways() -> Column:
@@ -373,7 +375,7 @@ def build_marts(
     if grown:
         raw = write_spread(raw, f"{path}/raw", ["part_month"], OPEN_MONTHS, grows=grown)
     else:
-        raw = write_table(raw, f"{path}/raw", partition_by=["part_month"], sort_by=raw_order())
+        raw = write_table(raw, f"{path}/raw", partition_by=["part_month"], sort_by=raw_order(), cut=RAW_CUT)
     along = lambda df, name: write_spread(df.withColumn("part_month", month), f"{path}/{name}", ["part_month"], OPEN_MONTHS)
     kpi = along(hourly_kpi(raw), "hourly_kpi")
     daily = write_table(

@@ -67,17 +67,22 @@ def write_table(
     mode: str = "overwrite",
     partition_by: Sequence[str] = (),
     sort_by: Sequence[str | Column] = (),
+    cut: int = 1,
 ) -> DataFrame:
     """Write a table and return it as read back.
 
     With sort_by the Parquet minimum and maximum per row group let a lookup by
-    station skip most of a partition.
+    station skip most of a partition. Tasks are `cut` times smaller than the session
+    advises: advised is the shuffled, packed size, and rows that pack well take many times
+    that while they are sorted.
     """
+    spark = df.sparkSession
     writer = _laid_out(df, partition_by, sort_by).write.mode(mode)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    with _set(spark, _smaller(spark, cut)):
+        writer.parquet(path)
+    return spark.read.parquet(path)
 
 
 @contextmanager
@@ -105,10 +110,8 @@ def write_spread(
     fall in are replaced. `grows` is the number of rows that one row of the last shuffle
     becomes: tasks are cut so much smaller.
     """
-    spark, advised = df.sparkSession, "spark.sql.adaptive.advisoryPartitionSizeInBytes"
-    settings = {"spark.sql.maxConcurrentOutputFileWriters": str(values)}
-    if grows > 1:
-        settings[advised] = str(max(1 << 20, _bytes(spark.conf.get(advised)) // grows))
+    spark = df.sparkSession
+    settings = {"spark.sql.maxConcurrentOutputFileWriters": str(values), **_smaller(spark, grows)}
     writer = df.write.mode("overwrite").partitionBy(*partition_by)
     if replace:
         writer = writer.option("partitionOverwriteMode", "dynamic")
@@ -117,6 +120,12 @@ def write_spread(
     return spark.read.parquet(path)
 
 
+def _smaller(spark: SparkSession, times: int) -> dict[str, str]:
+    """Setting for tasks so many times smaller than the session advises, 1 MB at least."""
+    advised = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    return {advised: str(max(1 << 20, _bytes(spark.conf.get(advised)) // times))} if times > 1 else {}
+
+
 def _bytes(size: str) -> int:
     """Bytes of a size as settings give it, such as 64MB."""
     number, unit = re.fullmatch(r"(\d+)([kmgt]?)b?", size.strip().lower()).groups()

@@ -6,6 +6,7 @@ from datetime import date, timedelta
 
 import pytest
 from conftest import plan_of
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from gateflow.config import SLOTS
@@ -146,3 +147,19 @@ def test_refreshed_hourly_rows_are_written_along_raw(spark, raw, dims):
     for f in kept.table("raw").inputFiles():
         rows = [tuple(r) for r in spark.read.parquet(f).select(*names).collect()]
         assert rows == sorted(rows, key=lambda r: tuple((v is not None, v) for v in r))
+
+
+def test_raw_of_the_marts_is_sorted_in_tasks_smaller_than_advised(spark, raw, tmp_path, monkeypatch):
+    """Sorted rows take many times their shuffled size, so advised tasks fill memory."""
+    before, advised, write = spark.conf.get(ADVISED), {}, DataFrameWriter.parquet
+
+    def noted(self, path, *args, **options):
+        advised[path.rsplit("/", 1)[-1]] = t._bytes(spark.conf.get(ADVISED))
+        return write(self, path, *args, **options)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", noted)
+    dims = fx.station_dim(spark, "/root/testdata/sf0.001"), fx.days(spark, "/root/testdata/sf0.001")
+    built = marts.build_marts(raw, *dims, str(tmp_path / "marts"), PERIOD, PERIOD, (2019, 2020), 10)
+    assert advised["raw"] < t._bytes(before) == advised["daily_trend"]
+    assert spark.conf.get(ADVISED) == before
+    assert built["hourly_kpi"].count() == raw.count()
