@@ -188,10 +188,19 @@ class MultiIndex:
                 yield _batch([*batch.columns[:3], [r.tobytes() for r in table]], padded)
 
         self.rows = stored(rows.select("row", "id", "label", "v").mapInArrow(pad, "row long, id long, label long, v binary"), "vectors")
-        sample = self.rows.orderBy(F.xxhash64("row"), "row").limit(SAMPLE).select("v").collect()  # SAMPLE vectors at most
+        sample = self._sample().collect()  # SAMPLE vectors at most
         self.cells = self._learned(_matrix([r["v"] for r in sample], dim, kind).astype(float))
         self.blocks = self._filed()
 
+    def _sample(self) -> DataFrame:
+        """Vectors of the SAMPLE smallest digests. Each task sends the driver that many rows
+        to choose from, so all but about twice as many are left out before. Should there be
+        fewer, by chance, codebooks are learned from those: they decide on speed only."""
+        digest, rows = F.xxhash64("row"), self.rows
+        if self.n > 2 * SAMPLE:
+            rows = rows.where(digest < -(2**63) + 2**64 * 2 * SAMPLE // self.n)
+        return rows.orderBy(digest, "row").limit(SAMPLE).select("v")
+
     def _learned(self, points: np.ndarray) -> Cells:
         size = max(1, min(CODEWORDS, isqrt(self.n // CELL_ROWS)))
         half = self.dim // 2
@@ -267,7 +276,8 @@ class MultiIndex:
 
         chunk = F.pmod(F.xxhash64("row"), F.lit(chunks))
         asked = queries.select(chunk.alias("chunk"), "row", "label", "v", "low", "high")
-        dealt = asked.repartition("chunk").sortWithinPartitions("chunk", "row")
+        # a task per chunk: few bytes, but a heap per query, and merged they were one task
+        dealt = asked.repartition(chunks, "chunk").sortWithinPartitions("chunk", "row")
         return dealt.mapInArrow(plan, "shelf long, from long, " + ", ".join(f"{c} binary" for c in names))
 
     def _scored(self, queries: DataFrame, chunks: int, windows: int, k: int, same: bool, first: bool) -> DataFrame:
@@ -297,7 +307,9 @@ class MultiIndex:
                             told = pa.array(ids[r], mask=none[r] > 0)
                             yield _batch([q_rows[q], np.full(len(q), w), scores[q, r], told, rows[r]], schema)
 
-        return visits.join(self.blocks, "shelf").mapInArrow(score, "query long, window long, score long, id long, row long")
+        # chunks come again with each shelf, which files keep once: by the size of its files
+        # Spark would send the table whole through the driver, a hundred times as large there
+        return visits.hint("merge").join(self.blocks, "shelf").mapInArrow(score, "query long, window long, score long, id long, row long")
 
     def search(self, queries: DataFrame, asks: DataFrame, n: int, windows: int, k: int, same: bool) -> DataFrame:
         """The k best rows of each window, exactly: (query, window, score, id, row, rank).

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import struct
 import zlib
 
@@ -246,6 +247,23 @@ def test_hard_negatives_equal_brute_force(spark, monkeypatch):
     assert sorted(got) == sorted(plain_negatives(rows)) and len(got) > 1000
 
 
+def test_the_driver_gets_a_bounded_part_of_the_index(spark, monkeypatch):
+    rows = spark.range(0, 4000, 1, 40).select(
+        F.col("id").alias("row"), "id", (F.col("id") % 3).alias("label"), F.array(*[F.col("id") * k % 11 for k in (1, 3, 5, 7)]).alias("v")
+    )
+    monkeypatch.setattr(multi_index, "SAMPLE", 100)
+    index = multi_index.MultiIndex(rows)
+    digest = F.xxhash64("row")
+    want = [r["v"] for r in index.rows.orderBy(digest, "row").limit(100).collect()]
+    assert [r["v"] for r in index._sample().collect()] == want
+    # of the rows most are left out before tasks send the driver theirs to choose from
+    assert re.search(r"Filter .*xxhash64\(row", index._sample()._jdf.queryExecution().optimizedPlan().toString())
+    # queries with the shelves they visit are small in files and large in memory
+    asks = index.rows.select("row", "label", "v", F.array(F.lit(multi_index.LEAST)).alias("low"), F.array(F.lit(multi_index.MOST)).alias("high"))
+    plan = index._scored(asks, 16, 1, 5, True, True)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
 def test_hard_negatives_of_odd_rows(spark):
     inf, nan = float("inf"), float("nan")
     rows = [
