@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from gateflow.functions.dates import parse_date
 from gateflow.functions.headers import quoted
 from gateflow.functions.names import byte_view
-from gateflow.functions.numbers import clean_count, round_ratio
+from gateflow.functions.numbers import clean_count, clean_counts, round_ratio
 
 
 def fail_rate(int_flow: DataFrame, col: str = "station_id") -> DataFrame:
@@ -86,16 +86,6 @@ def reject_counts(
     )
 
 
-def _mark(cell: Column) -> Column:
-    """What is wrong with a delivered count; blank when nothing is."""
-    value = clean_count(cell, keep_null=True)
-    return F.when(cell.isNull(), "none").when(value.isNull(), "bad").when(value < 0, "negative").otherwise("")
-
-
-def _marked(mark: str) -> Column:
-    return F.size(F.filter("_marks", lambda m: m == mark))
-
-
 class ObservedLoad:
     """reject_counts without a pass of its own: the action that writes `rows`, or what is
     made of them, counts as it goes.
@@ -110,18 +100,22 @@ class ObservedLoad:
         no_date = F.coalesce(F.trim(raw_date), F.lit("")) == ""
         bad_date = F.coalesce((F.trim(raw_date) != "") & parse_date(raw_date).isNull(), F.lit(False))
         cells = F.array(*[F.col(quoted(c)) for c in counts]).cast("array<string>")
+        n = range(len(counts))
+        several = lambda flags: reduce(lambda a, b: a + b, [f.cast("int") for f in flags], F.lit(0))
+        no_count = several(F.col("_cells")[i].isNull() for i in n)
         flags = {
             "n_rows": F.lit(1),
             "n_no_date": no_date.cast("int"),
             "n_bad_date": bad_date.cast("int"),
-            "n_bad_count": _marked("bad"),
-            "n_no_count": _marked("none"),
-            "n_negative": _marked("negative"),
+            "n_bad_count": several(F.col("_values")[i].isNull() for i in n) - no_count,
+            "n_no_count": no_count,
+            "n_negative": several(F.coalesce(F.col("_values")[i] < 0, F.lit(False)) for i in n),
         }
         self.names = list(flags)
         # flags are columns of the row, so a metric only adds a number: metrics that read
         # the cells would each read all of them, in every group
-        told = df.withColumn("_marks", F.transform(cells, _mark)).withColumns({f"_{n}": f for n, f in flags.items()})
+        told = df.withColumn("_cells", cells).withColumn("_values", clean_counts(F.col("_cells"), keep_null=True))
+        told = told.withColumns({f"_{n}": f for n, f in flags.items()})
         here = [F.col(quoted(group)).eqNullSafe(F.lit(v)) for v in values]
         here.append(~reduce(lambda a, b: a | b, here))
         metrics = [
@@ -129,7 +123,7 @@ class ObservedLoad:
             for i, own in enumerate(here)
             for name in flags
         ]
-        told = told.drop("_marks").observe(self.seen, *metrics)
+        told = told.drop("_cells", "_values").observe(self.seen, *metrics)
         self.rows = told.drop(*[f"_{n}" for n in flags])
 
     def counts(self, spark: SparkSession) -> DataFrame:

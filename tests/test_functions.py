@@ -125,3 +125,18 @@ def test_counts_with_commas_and_other_signs(spark):
     texts = ["6,850", "0,05", "-1,000", ",", "40d", "1,2.5", "5,", "+3"]
     assert values(spark, texts, numbers.clean_count) == [6850, 5, -1000, 0, 0, 12, 5, 3]
     assert values(spark, texts, lambda c: numbers.clean_count(c, strip=" ")) == [0, 0, 0, 0, 0, 0, 0, 3]
+
+
+def test_counts_of_an_array_are_cleaned_as_each_is(spark):
+    odd = ["5", "4,932", "1,2,3", "", None, " 8 ", "007", "+7", "-5", "-5,000", "5d", "7f", "1e3", "2.7", ".5", "abc", ",", "9" * 30, '"1"', "1\x012", "\x01"]
+    pick = random.Random(6)
+    rows = [[x] for x in odd] + [[], ["1", "2"], ["1", None], ["1,000", None, ""], ["1,000", "7"], ["1\x01", "2"], ["\x01", "1"], ["3,0", "1\x012"]]
+    rows += [[pick.choice(odd) for _ in range(pick.randint(2, 5))] for _ in range(200)]
+    df = spark.createDataFrame([(r,) for r in rows], "cells array<string>")
+    for strip in (",", numbers.STRIP, r"[;,]"):
+        for keep in (True, False):
+            got, want = df.select(
+                numbers.clean_counts(F.col("cells"), strip, keep).alias("got"),
+                F.transform("cells", lambda c: numbers.clean_count(c, strip, keep)).alias("want"),
+            ).toPandas().T.values.tolist()
+            assert [list(x) for x in got] == [list(x) for x in want]
