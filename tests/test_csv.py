@@ -216,3 +216,33 @@ def test_the_rule_of_a_count_does_not_stand_in_the_plan_per_slot(spark, folder):
     wide = csv.ingest_directions(df, ["승차", "하차"], "구분")
     assert wide.first()[SLOTS[0]] == 1000
     assert plan_of(wide).count("[eE]") <= 2  # not once per slot
+
+
+def test_methods_over_a_delivery_are_short_enough_to_be_compiled(spark, folder):
+    # the JVM leaves methods over 8,000 bytes to its interpreter
+    path = folder("a", "\n".join([HEAD, line("2019-01-02"), line("2019-01-02", kind="하차")]))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        wide = csv.ingest_directions(csv.read_wide_csv(spark, path), ("승차", "하차"), "구분")
+        for df in (wide, raw_from_files(spark, [path], columns={path: "구분"}), flow_stats(spark, [path])):
+            stages = df._jdf.queryExecution().debug().codegenToSeq()
+            assert max(stages.apply(i)._3().maxMethodCodeSize() for i in range(stages.size())) < 8000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_dates_are_not_parsed_again_by_the_condition(spark, folder):
+    path = folder("a", "\n".join([HEAD, line("2019-01-02"), line("미상"), line("2019-01-03", kind="-")]))
+    wide = csv.ingest_directions(csv.read_wide_csv(spark, path), ("승차", "하차"), "구분")
+    plan = wide._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("substring" in x for x in plan.split("\n") if x.lstrip(" +-:").startswith("Filter"))
+    assert [str(r["base_date"]) for r in wide.collect()] == ["2019-01-02"]
+
+
+def test_wide_rows_are_dealt_before_they_become_twenty(spark, folder):
+    path = folder("a", "\n".join([HEAD, line("2019-01-02"), line("2019-01-02", kind="하차"), line("2019-01-04", station="역삼")]))
+    dealt = raw_from_files(spark, [path], columns={path: "구분"}, together=["station", "line"])
+    plan = plan_of(dealt)
+    assert plan.index("Expand") < plan.index("hashpartitioning(station")
+    told = lambda df: sorted(tuple(r) for r in df.collect())
+    assert told(dealt) == told(raw_from_files(spark, [path], columns={path: "구분"}))

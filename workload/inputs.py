@@ -410,7 +410,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     paths = [fx.deliveries(spark, sf)[k] for k in "abc"]
-    raw = raw_from_files(spark, paths, columns={p: "구분" for p in paths})
+    raw = raw_from_files(spark, paths, columns={p: "구분" for p in paths}, together=["station", "line"])
     return raw.groupBy("hour", "station", "line").agg(
         n_rows(), _sum("boarding", "boarding"), _sum("alighting", "alighting")
     )
